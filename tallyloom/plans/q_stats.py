@@ -275,11 +275,11 @@ def _(spark, sf):
                                               sig(stats.normal_density(F.col("l_quantity"), F.col("mean"), F.col("sd"))).alias("density"))
 
 
-@query("share", f"""select o_orderpriority, {sqlsig('sum(o_totalprice)')} "value", {sqlsig('any_value(t)')} total,
+@query("share", f"""select o_orderpriority, round(sum(o_totalprice),2) "value", round(any_value(t),2) total,
  {sqlsig('sum(o_totalprice)/any_value(t)*100')} percent from orders, (select sum(o_totalprice) t from orders) group by 1""")
 def _(spark, sf):
     s = stats.share(table(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice")
-    return s.select("o_orderpriority", *[sig(c).alias(c) for c in ("value", "total", "percent")])
+    return s.select("o_orderpriority", *[F.round(c, 2).alias(c) for c in ("value", "total")], sig("percent").alias("percent"))
 
 
 _PRI = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
