@@ -51,3 +51,34 @@ def papers_sql() -> str:
     for a, b in SWAPS:
         text = f"replace({text}, {quote(a)}, {quote(b)})"
     return f"paper as materialized (select doc_id, source, lang, {text} \"text\" from documents)"
+
+
+def page_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Words with geometry: each text line is a page, set in rows over two columns, or three on every third page."""
+    from pyspark.sql import Window as W
+
+    d = table(spark, sf, "documents")
+    lines = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("page", "_line"))
+    w = lines.select("doc_id", "page", F.posexplode(F.split("_line", " ", -1)).alias("word_id", "text")).where(F.col("text") != "")
+    n = F.length("text")
+    before = W.partitionBy("doc_id", "page").orderBy("word_id").rowsBetween(W.unboundedPreceding, -1)
+    o = F.coalesce(F.sum(n + 1).over(before), F.lit(0))
+    three = F.col("page") % 3 == 0
+    w = w.withColumn("_o", o).withColumn("_row", F.when(three, F.floor(F.col("_o") / 66)).otherwise(F.floor(F.col("_o") / 90))) \
+        .withColumn("_r", F.when(three, F.col("_o") % 66).otherwise(F.col("_o") % 90))
+    x0 = F.when(three, F.floor(F.col("_r") / 22) * 180 + F.col("_r") % 22 * 5 + 50.0).when(
+        F.col("_r") < 45, F.col("_r") * 5 + 50.0).otherwise((F.col("_r") - 45) * 5 + 320.0)
+    size = F.when(F.col("_row") == 0, 16.0).otherwise(n % 3 + 10.0)
+    y0 = F.lit(780.0) - F.col("_row") * 14
+    font = F.when(F.col("text").rlike("^[A-Z]"), "ABCDEF+Times-Bold").when(n % 7 == 0, "Arial-Italic").otherwise("Times")
+    return w.select("doc_id", "page", "word_id", "text", x0.alias("x0"), y0.alias("y0"), (x0 + n * 5).alias("x1"), (y0 + size).alias("y1"), size.alias("size"),
+                    font.alias("font"), F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"))
+
+
+PAGE_WORDS_SQL = """w0 as (select doc_id, cast(unnest(range(len(l))) as int) page, unnest(l) line from (select doc_id, string_split(text, chr(10)) l from documents)),
+w1 as (select doc_id, page, unnest(range(len(k))) word_id, unnest(k) t from (select doc_id, page, string_split(line, ' ') k from w0)),
+w2 as (select *, length(t) n, coalesce(sum(length(t)+1) over (partition by doc_id, page order by word_id rows between unbounded preceding and 1 preceding), 0) o from w1 where t<>''),
+w3 as (select *, case when page%3=0 then o//66 else o//90 end rw, case when page%3=0 then (o%66)//22*180+o%66%22*5+50 when o%90<45 then o%90*5+50 else (o%90-45)*5+320 end x from w2),
+wd as materialized (select doc_id, page, cast(word_id as int) word_id, t "text", n, x::double x0, (780-rw*14)::double y0, (x+n*5)::double x1, (case when rw=0 then 16 else n%3+10 end)::double sz,
+ (780-rw*14)::double + (case when rw=0 then 16 else n%3+10 end)::double y1,
+ case when regexp_matches(t,'^[A-Z]') then 'ABCDEF+Times-Bold' when n%7=0 then 'Arial-Italic' else 'Times' end font from w3)"""
