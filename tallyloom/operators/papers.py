@@ -30,7 +30,7 @@ def as_records(df: DataFrame) -> DataFrame:
 
 # --- normalisation ---------------------------------------------------------------
 
-_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000"
 _NARROW = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
 
 
@@ -48,7 +48,7 @@ def norm_text(col: Column, full: bool = False) -> Column:
     c = F.coalesce(col, F.lit(""))
     c = nfkc(c) if full else F.when(c.rlike("[\uff01-\uff5e\u3000]"), F.translate(c, _WIDE, _NARROW)).otherwise(c)
     c = F.regexp_replace(c, r"[\x00-\x1f\x7f-\x9f]", "")
-    return F.trim(F.regexp_replace(F.lower(c), r"[\s  -     ]+", " "))
+    return F.trim(F.regexp_replace(F.lower(c), r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " "))
 
 
 def norm_doi(col: Column) -> Column:
@@ -144,7 +144,7 @@ def _evaluate(node: tuple, recall: bool) -> tuple[Column, Column]:
     text = F.col(f"_f_{field}")
     hit = F.contains(text, F.lit(needle)) if needle else F.lit(False)
     said = F.when(hit, F.array(F.lit(f"{field}:{value}"))).otherwise(empty)
-    if recall and any("一" <= ch <= "鿿" for ch in needle):
+    if recall and any("\u4e00" <= ch <= "\u9fff" for ch in needle):
         odd = ~hit & ~has_cjk(text)
         hit, said = hit | odd, F.when(odd, F.array(F.lit(f"{field}:{value}(recall-cjk-mismatch)"))).otherwise(said)
     if field == "FT":

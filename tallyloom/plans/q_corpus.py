@@ -459,7 +459,7 @@ _MARKED = "replace(replace(text, 'erst', chr(57345)||chr(65533)), 'onre', chr(10
 @query("text_quality", f"""with m as (select doc_id, {_MARKED} t from documents), n as (select doc_id, length(regexp_replace(t, '[\\s\\x00-\\x1f\\x7f-\\x{{9f}}]', '', 'g')) c, length(t)-length(regexp_replace(t, '{_BAD}', '', 'g')) b from m)
 select doc_id, cast(c as int) characters, cast(b as int) suspicious, {sqlsig('coalesce(b/nullif(c,0),0)')} ratio, {sqlsig('coalesce(least(1.0,b*1.5/nullif(c,0)),0)')} score from n""")
 def _(spark, sf):
-    t = F.replace(F.replace("text", F.lit("erst"), F.lit("�")), F.lit("onre"), F.lit("⠀"))
+    t = F.replace(F.replace("text", F.lit("erst"), F.lit("\ue001\ufffd")), F.lit("onre"), F.lit("\u2800"))
     q = co.text_quality(table(spark, sf, "documents").withColumn("text", t), "doc_id", "text")
     return q.withColumn("ratio", sig("ratio")).withColumn("score", sig("score"))
 

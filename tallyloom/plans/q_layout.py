@@ -44,7 +44,7 @@ def _(spark, sf):
 a as (select doc_id, font, cast(sum(length(regexp_replace(t, '[\\s\\x00-\\x1f\\x7f-\\x{9f}]', '', 'g'))) as bigint) characters, cast(sum(length(t)-length(regexp_replace(t, '[\\x{e000}-\\x{f8ff}]', '', 'g'))) as bigint) suspicious from w group by 1,2)
 select doc_id, font, characters, suspicious from a where characters>=3 and (suspicious::double/characters>0.30 or (font='ABCDEF+Odd' and suspicious::double/characters>0.05))""")
 def _(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.replace("text", F.lit("eren"), F.lit("")), " ", -1)).alias("t"))
+    d = table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.translate("text", "e", "\ue001"), " ", -1)).alias("t"))
     w = d.withColumn("font", F.when(F.length("t") % 7 == 0, "ABCDEF+Odd").otherwise("Plain"))
     return co.suspect_fonts(w, ["doc_id"], "font", "t").select("doc_id", "font", "characters", "suspicious")
 
