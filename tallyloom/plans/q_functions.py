@@ -167,12 +167,12 @@ def _(spark, sf):
 _BIN = "exp(lgamma(n+1)-lgamma(i+1)-lgamma(n-i+1))*pow(p, i)*pow(1-p, n-i)"
 
 
-@query("binom_dist", f"""with g as (select distinct l_linenumber x, l_quantity n, l_discount p from lineitem where l_quantity>=l_linenumber)
-select x, n, p, {sqlsig(_BIN.replace('(i', '(x').replace(', i)', ', x)').replace('n-i', 'n-x'), 11)} pmf, {sqlsig(f'list_sum(list_transform(range(0, x+1), lambda i: {_BIN}))', 11)} cdf from g""")
+@query("binom_dist", f"""with g as (select distinct l_linenumber x, l_quantity n, l_discount+0.0037::double p from lineitem where l_quantity>=l_linenumber)
+select x, n, round(p, 6) p, {sqlsig(_BIN.replace('(i', '(x').replace(', i)', ', x)').replace('n-i', 'n-x'), 9)} pmf, {sqlsig(f'list_sum(list_transform(range(0, x+1), lambda i: {_BIN}))', 9)} cdf from g""")
 def _(spark, sf):
-    g = table(spark, sf, "lineitem").where("l_quantity >= l_linenumber").select(F.col("l_linenumber").alias("x"), F.col("l_quantity").alias("n"), F.col("l_discount").alias("p")).distinct()
+    g = table(spark, sf, "lineitem").where("l_quantity >= l_linenumber").select(F.col("l_linenumber").alias("x"), F.col("l_quantity").alias("n"), (F.col("l_discount") + 0.0037).alias("p")).distinct()
     x, n, p = F.col("x"), F.col("n"), F.col("p")
-    return g.select("x", "n", "p", sig(ce.binom_dist(x, n, p), 11).alias("pmf"), sig(ce.binom_dist(x, n, p, True), 11).alias("cdf"))
+    return g.select("x", "n", F.round("p", 6).alias("p"), sig(ce.binom_dist(x, n, p), 9).alias("pmf"), sig(ce.binom_dist(x, n, p, True), 9).alias("cdf"))
 
 
 @query("fisher", f"select o_orderkey, {sqlsig('atanh(o_totalprice/600000)', 8)} fisher from orders")

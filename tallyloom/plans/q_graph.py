@@ -115,7 +115,7 @@ def _(spark, sf):
 
 @query("pivot_distances", f"""with recursive {_NAT}, {_AP}, p0 as (select 0 k, min(id) p from pd), p1 as (select 1 k, arg_max(id, struct_pack(d := distance, i := -id)) p from pd where source=(select p from p0)),
 p2 as (select 2 k, arg_max(id, struct_pack(d := d, i := -id)) p from (select id, min(distance) d from pd where source in (select p from p0 union select p from p1) group by 1))
-select cast(k as int) pivot_no, p pivot, id, round(distance, 6) distance from (from p0 union all from p1 union all from p2) join pd on source=p""")
+select cast(k as int) pivot_no, p "pivot", id, round(distance, 6) distance from (from p0 union all from p1 union all from p2) join pd on source=p""")
 def _(spark, sf):
     return gr.pivot_distances(nations(spark, sf), 3).withColumn("distance", F.round("distance", 6))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,15 +27,23 @@ def build_session(app: str = "tallyloom", cores: str | None = None) -> SparkSess
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder a cluster names in ``spark.checkpoint.dir``; a scratch folder only where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(named)
+        named = spark.sparkContext.getCheckpointDir()
+    return named
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
+    """Write a step of a loop to the shared folder and go on from the written table.
 
-    A cluster names that folder; only when it is unset (tests, local runs) is a
-    scratch folder chosen here.  Reliable checkpoints survive executor loss,
-    unlike locally cached blocks.
+    The table outlives lost executors, and its file sizes give the next round's joins
+    real statistics: estimates carried through many self-joins would grow without end.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
