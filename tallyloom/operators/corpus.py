@@ -2,6 +2,10 @@
 
 Splitting, segmenting and rule checks are array expressions, so text is never
 shuffled between tasks and each whole text is read once.
+
+Arrays are unrolled with the outer form of explode and a null check behind it: for the
+plain form the optimizer adds a size check in front, which would evaluate the whole
+array expression again.
 """
 
 from __future__ import annotations
@@ -98,7 +102,7 @@ def with_sections(df: DataFrame, text: str) -> DataFrame:
 
 
 def doc_sections(df: DataFrame, key: str, text: str) -> DataFrame:
-    return with_sections(df, text).select(key, F.posexplode("_p.sections").alias("section_no", "_s")).select(key, "section_no", "_s.*")
+    return with_sections(df, text).select(key, F.posexplode_outer("_p.sections").alias("section_no", "_s")).where("section_no is not null").select(key, "section_no", "_s.*")
 
 
 def section_assign(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -112,8 +116,8 @@ def section_assign(df: DataFrame, key: str, text: str) -> DataFrame:
                                                     F.slice(p["lines"], r["s"] + 1, r["e"] - r["s"]).alias("l")))
 
     packed = let(normalize_text(F.col(text)), lambda t: F.struct(F.split(t, "\n", -1).alias("lines"), section_list(t).alias("sections")))
-    parts = df.select(key, F.explode(let(packed, spans)).alias("_r"))
-    body = parts.select(key, "_r.title", "_r.s", F.posexplode("_r.l").alias("_i", "line"))
+    parts = df.select(key, F.explode_outer(let(packed, spans)).alias("_r")).where("_r is not null")
+    body = parts.select(key, "_r.title", "_r.s", F.posexplode_outer("_r.l").alias("_i", "line")).where("_i is not null")
     return body.select(key, (F.col("s") + F.col("_i") + 1).alias("line_no"), "line", F.col("title").alias("section"))
 
 
@@ -148,7 +152,7 @@ def keyword_list(norm: Column) -> Column:
 
 
 def doc_keywords(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(key, F.posexplode(keyword_list(normalize_text(F.col(text)))).alias("rank", "keyword"))
+    return df.select(key, F.posexplode_outer(keyword_list(normalize_text(F.col(text)))).alias("rank", "keyword")).where("rank is not null")
 
 
 def doc_tables(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -168,7 +172,7 @@ def doc_tables(df: DataFrame, key: str, text: str) -> DataFrame:
 
     lines = F.transform(F.split(normalize_text(F.col(text)), "\n", -1), strip)
     kept = let(lines, lambda ls: let(_where(ls, lambda x: x.rlike(lx.TABLE_CAPTION)), lambda caps: tables(ls, caps)))
-    return df.select(key, F.posexplode(kept).alias("_i", "_t")).select(
+    return df.select(key, F.posexplode_outer(kept).alias("_i", "_t")).where("_i is not null").select(
         key, (F.col("_i") + 1).alias("table_no"), F.coalesce("_t.caption", F.concat(F.lit("表"), (F.col("_i") + 1).cast("string"))).alias("caption"),
         F.col("_t.source_line").alias("source_line"), F.col("_t.rows").alias("rows"))
 
@@ -199,7 +203,7 @@ def doc_classify(df: DataFrame, key: str, text: str, classes: dict[str, list[str
     """Score of every class per document; ``rank`` 1 is the label (class order breaks ties)."""
     scores = let(F.lower(text), lambda low: _class_scores(low, classes or lx.PAPER_CLASSES))
     best = F.array_sort(scores, lambda a, b: F.when(a["score"] != b["score"], b["score"] - a["score"]).otherwise(a["ord"] - b["ord"]))
-    out = df.select(key, F.posexplode(best).alias("_i", "_c"))
+    out = df.select(key, F.posexplode_outer(best).alias("_i", "_c")).where("_i is not null")
     return out.select(key, (F.col("_i") + 1).alias("rank"), "_c.label", "_c.score", "_c.hits",
                       F.when(F.col("_c.score") == 0, "high").when(F.col("_c.score") < 50, "medium").otherwise("low").alias("risk"))
 
@@ -257,7 +261,7 @@ def _data(text: Column) -> Column:
 
 
 def _flag_rows(df: DataFrame, key: str, flags: Column) -> DataFrame:
-    return df.select(key, F.explode(flags).alias("_r")).select(
+    return df.select(key, F.explode_outer(flags).alias("_r")).where("_r is not null").select(
         key, "_r.item", "_r.ok", F.when(F.col("_r.ok"), "medium").otherwise("high").alias("priority"))
 
 
@@ -288,7 +292,7 @@ def doc_gap_grade(df: DataFrame, key: str, text: str, classes=None) -> DataFrame
 def doc_charts_needed(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = let(F.lower(text), lambda low: F.array(*[
         F.struct(F.lit(n).alias("item"), has_any(low, w).alias("present")) for n, w in lx.CHART_WORDS.items()]))
-    return df.select(key, F.explode(rows).alias("_r")).select(key, "_r.*")
+    return df.select(key, F.explode_outer(rows).alias("_r")).where("_r is not null").select(key, "_r.*")
 
 
 def doc_semantics(df: DataFrame, key: str, text: str, label: Column | None = None) -> DataFrame:
@@ -308,7 +312,7 @@ def doc_semantics(df: DataFrame, key: str, text: str, label: Column | None = Non
     ]
     hits = F.filter(F.array(*[F.when(c, F.struct(F.lit(n).alias("rule"), F.lit(r).alias("risk"))) for n, r, c in rules]), lambda x: x.isNotNull())
     none = F.array(F.struct(F.lit("none").alias("rule"), F.lit("low").alias("risk")))
-    return df.select(key, hits.alias("_h")).select(key, F.explode(F.when(F.size("_h") > 0, F.col("_h")).otherwise(none)).alias("_r")).select(key, "_r.*")
+    return df.select(key, hits.alias("_h")).select(key, F.explode_outer(F.when(F.size("_h") > 0, F.col("_h")).otherwise(none)).alias("_r")).where("_r is not null").select(key, "_r.*")
 
 
 # Verdict by grade.
@@ -372,7 +376,7 @@ def var_candidates(df: DataFrame, key: str, text: str) -> DataFrame:
 
     scan = let(F.col("_p"), lambda p: F.concat_ws("\n", let(_title_lines(p["lines"]), _title), _abstract(p), F.array_join(keyword_list(p["norm"]), "、"), F.col(text)))
     kept = let(let(scan, lambda t: F.struct(t.alias("scan"), named(t).alias("c"))), complete)
-    return with_sections(df, text).select(key, F.posexplode(kept).alias("_i", "_v")).select(key, (F.col("_i") + 1).alias("rank"), "_v.label", "_v.role")
+    return with_sections(df, text).select(key, F.posexplode_outer(kept).alias("_i", "_v")).where("_i is not null").select(key, (F.col("_i") + 1).alias("rank"), "_v.label", "_v.role")
 
 
 # --- references and citations -------------------------------------------------------------
@@ -391,7 +395,7 @@ def entry_list(text: Column) -> Column:
 
 
 def ref_extract(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(key, F.posexplode(entry_list(F.col(text))).alias("_i", "entry")).select(key, (F.col("_i") + 1).alias("entry_no"), "entry")
+    return df.select(key, F.posexplode_outer(entry_list(F.col(text))).alias("_i", "entry")).where("_i is not null").select(key, (F.col("_i") + 1).alias("entry_no"), "entry")
 
 
 def entry_number(entry: Column) -> Column:
@@ -424,10 +428,10 @@ def ref_parse(entries: DataFrame, entry: str = "entry") -> DataFrame:
 
 def cite_inline(df: DataFrame, key: str, text: str) -> DataFrame:
     """Inline citations of four forms with their line number."""
-    lines = df.select(key, F.posexplode(F.split(text, "\n", -1)).alias("_i", "_line"))
+    lines = df.select(key, F.posexplode_outer(F.split(text, "\n", -1)).alias("_i", "_line")).where("_i is not null")
     tagged = lambda n, p: F.transform(F.regexp_extract_all("_line", F.lit(p), 0), lambda x: F.struct(F.lit(n).alias("form"), x.alias("citation")))
     found = F.concat(*[tagged(n, p) for n, p in enumerate(lx.INLINE_CITATIONS, 1)])
-    return lines.select(key, (F.col("_i") + 1).alias("line_no"), F.explode(found).alias("_c")).select(key, "line_no", "_c.*")
+    return lines.select(key, (F.col("_i") + 1).alias("line_no"), F.explode_outer(found).alias("_c")).where("_c is not null").select(key, "line_no", "_c.*")
 
 
 def _numbers_cited(text: Column) -> Column:
@@ -449,7 +453,7 @@ def cite_crosscheck(df: DataFrame, key: str, text: str) -> DataFrame:
     pair = F.struct(_numbers_cited(t).alias("c"), _numbers_listed(t).alias("l"))
     rows = let(pair, lambda p: F.when((F.size(p["c"]) > 0) & (F.size(p["l"]) > 0), F.concat(
         tag("cited_not_listed", F.array_except(p["c"], p["l"])), tag("listed_not_cited", F.array_except(p["l"], p["c"])))))
-    return df.select(key, F.explode(rows).alias("_r")).select(key, "_r.*")
+    return df.select(key, F.explode_outer(rows).alias("_r")).where("_r is not null").select(key, "_r.*")
 
 
 def ref_risks(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -468,7 +472,7 @@ def ref_risks(df: DataFrame, key: str, text: str) -> DataFrame:
 
     inline = reduce(lambda a, b: a | b, [t.rlike(p) for p in lx.INLINE_CITATIONS])
     parts = F.struct(entry_list(t).alias("e"), inline.alias("i"), _numbers_cited(t).alias("c"))
-    return df.select(key, F.explode(let(parts, risks)).alias("_r")).select(key, "_r.*")
+    return df.select(key, F.explode_outer(let(parts, risks)).alias("_r")).where("_r is not null").select(key, "_r.*")
 
 
 def cited_keys(text: Column) -> Column:
@@ -478,7 +482,7 @@ def cited_keys(text: Column) -> Column:
 
 def cite_order(df: DataFrame, key: str, text: str) -> DataFrame:
     """Citation number = order of first appearance in the document."""
-    return df.select(key, F.posexplode(F.array_distinct(cited_keys(F.col(text)))).alias("_i", "cite_key")).select(
+    return df.select(key, F.posexplode_outer(F.array_distinct(cited_keys(F.col(text)))).alias("_i", "cite_key")).where("_i is not null").select(
         key, "cite_key", (F.col("_i") + 1).alias("number"))
 
 
@@ -492,12 +496,12 @@ def cite_resolve(text: Column) -> Column:
 
 
 def cite_missing(df: DataFrame, key: str, text: str, references: DataFrame, ref_key: str) -> DataFrame:
-    cited = df.select(key, F.explode(F.array_distinct(cited_keys(F.col(text)))).alias("cite_key"))
+    cited = df.select(key, F.explode_outer(F.array_distinct(cited_keys(F.col(text)))).alias("cite_key")).where("cite_key is not null")
     return cited.join(references, cited["cite_key"] == references[ref_key], "left_anti")
 
 
 def cite_uncited(df: DataFrame, text: str, references: DataFrame, ref_key: str) -> DataFrame:
-    cited = df.select(F.explode(F.array_distinct(cited_keys(F.col(text)))).alias("cite_key")).distinct()
+    cited = df.select(F.explode_outer(F.array_distinct(cited_keys(F.col(text)))).alias("cite_key")).where("cite_key is not null").distinct()
     return references.join(cited, references[ref_key] == cited["cite_key"], "left_anti")
 
 
@@ -515,8 +519,8 @@ def batch_queries(df: DataFrame, key: str, text: str, pattern: str, section_patt
             F.array_join(F.slice(lines, r["s"] + 2, r["e"] - r["s"] - 1), "\n").alias("_t")))
 
     cut = let(F.split(text, "\n", -1), lambda ls: let(_where(ls, lambda x: x.rlike(section_pattern)), lambda heads: parts(ls, heads)))
-    part = df.select(key, F.explode(cut).alias("_p")).select(key, "_p.*")
-    hits = part.select(key, "section", F.explode(F.regexp_extract_all("_t", F.lit(pattern), 1)).alias("query"))
+    part = df.select(key, F.explode_outer(cut).alias("_p")).where("_p is not null").select(key, "_p.*")
+    hits = part.select(key, "section", F.explode_outer(F.regexp_extract_all("_t", F.lit(pattern), 1)).alias("query")).where("query is not null")
     return hits.groupBy(key, "section", "query").agg(F.count(F.lit(1)).alias("uses"))
 
 
@@ -531,8 +535,8 @@ def secret_scan(df: DataFrame, key: str, text: str, ext: Column | None = None) -
     kind = F.lower(ext) if ext is not None else F.lit("")
     allowed = lambda kinds: F.lit(True) if kinds is None else F.col("_kind").isin(kinds)
     src = df.select(key, F.col(text).alias("_t"), kind.alias("_kind"))
-    touched = src.where(reduce(lambda a, b: a | b, [F.col("_t").rlike(p) & allowed(k) for _, _, p, k in lx.SECRET_RULES]))
-    lines = touched.select(key, "_kind", F.posexplode(F.split("_t", "\n", -1)).alias("_i", "_line"))
+    touched = src.where(let(F.col("_t"), lambda t: reduce(lambda a, b: a | b, [t.rlike(p) & allowed(k) for _, _, p, k in lx.SECRET_RULES])))
+    lines = touched.select(key, "_kind", F.posexplode_outer(F.split("_t", "\n", -1)).alias("_i", "_line")).where("_i is not null")
     line = F.col("_line")
     guard = {
         "EMAIL_EXPOSED": ~strip(line).startswith("//"), "UNSAFE_INNERHTML": ~line.rlike(lx.INNERHTML_SAFE),
@@ -541,7 +545,7 @@ def secret_scan(df: DataFrame, key: str, text: str, ext: Column | None = None) -
     found = F.filter(F.array(*[
         F.when(line.rlike(p) & allowed(k) & guard.get(rule, F.lit(True)), F.struct(F.lit(rule).alias("rule"), F.lit(sev).alias("severity")))
         for rule, sev, p, k in lx.SECRET_RULES]), lambda x: x.isNotNull())
-    return lines.select(key, (F.col("_i") + 1).alias("line_no"), F.explode(found).alias("_f")).select(key, "_f.rule", "_f.severity", "line_no")
+    return lines.select(key, (F.col("_i") + 1).alias("line_no"), F.explode_outer(found).alias("_f")).where("_f is not null").select(key, "_f.rule", "_f.severity", "line_no")
 
 
 def dedupe_findings(findings: DataFrame, key: str) -> DataFrame:
@@ -586,7 +590,7 @@ def formula_audit(df: DataFrame, key: list[str], formula: str, value: str) -> Da
     f = F.upper(formula)
     risky = (F.contains(f, F.lit("/")) | F.contains(f, F.lit("VLOOKUP"))) & ~F.contains(f, F.lit("IFERROR"))
     found = F.filter(F.array(F.when(risky, F.lit("unguarded")), F.when(F.startswith(value, F.lit("#")), F.lit("error_value"))), lambda x: x.isNotNull())
-    return df.select(*key, F.explode(found).alias("problem"))
+    return df.select(*key, F.explode_outer(found).alias("problem")).where("problem is not null")
 
 
 # --- text quality ----------------------------------------------------------------------------

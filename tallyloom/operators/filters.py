@@ -258,7 +258,7 @@ def validate_rules(df: DataFrame, key: str, rules: list[tuple]) -> DataFrame:
             good = good & (c == F.floor(c))
         found.append(F.when(c.isNotNull() & ~good, F.struct(F.lit(name).alias("rule"), c.cast("string").alias("value"))))
     hits = F.filter(F.array(*found), lambda x: x.isNotNull())
-    return df.select(key, F.explode(hits).alias("_h")).select(key, "_h.rule", "_h.value")
+    return df.select(key, F.explode_outer(hits).alias("_h")).where("_h is not null").select(key, "_h.rule", "_h.value")
 
 
 def column_profile(df: DataFrame, numbers: list[str], texts: list[str], dates: list[str]) -> DataFrame:
@@ -278,7 +278,7 @@ def column_profile(df: DataFrame, numbers: list[str], texts: list[str], dates: l
             (F.date_format(F.min(x), "yyyy-MM-dd HH:mm:ss") if dt else none_t).alias("min_date"),
             (F.date_format(F.max(x), "yyyy-MM-dd HH:mm:ss") if dt else none_t).alias("max_date")))
     return df.agg(*[c.alias(f"c{i}") for i, c in enumerate(cells)]).select(
-        F.explode(F.array(*[f"c{i}" for i in range(len(cells))])).alias("p")).select("p.*")
+        F.explode_outer(F.array(*[f"c{i}" for i in range(len(cells))])).alias("p")).where("p is not null").select("p.*")
 
 
 # --- criteria aggregates --------------------------------------------------------

@@ -10,7 +10,7 @@ def block_view(blocks: DataFrame, structure: DataFrame, assets: DataFrame, doc:
     low = lambda c: F.lower(F.col(c))
     mentions = F.array_distinct(F.filter(F.concat(F.array(low("id"), low("name"), low("shape_id")), F.coalesce(
         F.transform("used_by", F.lower), F.array().cast("array<string>"))), lambda x: x.isNotNull()))
-    used = assets.select(doc, F.col("id").alias("_asset"), F.explode(mentions).alias("_bid"))
+    used = assets.select(doc, F.col("id").alias("_asset"), F.explode_outer(mentions).alias("_bid")).where("_bid is not null")
     per = used.groupBy(doc, "_bid").agg(F.array_sort(F.collect_set("_asset")).alias("asset_ids"))
     entries = structure.select(doc, F.lower("block_id").alias("_bid"), "provenance")
     return blocks.withColumn("_bid", F.lower("block_id")).join(entries, [doc, "_bid"], "left").join(per, [doc, "_bid"], "left").drop("_bid") \
@@ -45,7 +45,7 @@ def package_check(structure: DataFrame, expected: Column, doc: str = "doc_id") -
         ("error", "word position missing", has & (fmt == "docx") & p["position"].isNull()),
     ]
     found = F.filter(F.array(*[F.when(c, F.struct(F.lit(s).alias("severity"), F.lit(m).alias("problem"))) for s, m, c in rules]), lambda x: x.isNotNull())
-    return structure.select(doc, "block_id", F.explode(found).alias("_f")).select(doc, "block_id", "_f.*")
+    return structure.select(doc, "block_id", F.explode_outer(found).alias("_f")).where("_f is not null").select(doc, "block_id", "_f.*")
 
 
 def font_counts(runs: DataFrame, fields: dict[str, str], keys: list[str] | None = None) -> DataFrame:
@@ -53,5 +53,5 @@ def font_counts(runs: DataFrame, fields: dict[str, str], keys: list[str] | None
     keys = keys or []
     roles = F.flatten(F.array(*[F.array(F.struct(F.lit(r).alias("role"), F.col(c).alias("font")), F.struct(F.lit("any").alias("role"), F.col(c).alias("font")))
                                 for r, c in fields.items()]))
-    long = runs.select(*keys, F.explode(roles).alias("_f")).select(*keys, "_f.*").where(F.trim("font") != "")
+    long = runs.select(*keys, F.explode_outer(roles).alias("_f")).where("_f is not null").select(*keys, "_f.*").where(F.trim("font") != "")
     return long.groupBy(*keys, "role", "font").agg(F.count(F.lit(1)).alias("uses"))

@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
+from tallyloom.operators.corpus import let
 from tallyloom.operators.ordering import with_prefix
 
 # The record's text fields, list fields and other fields.
@@ -114,20 +115,23 @@ def concept_terms(node: tuple) -> list[str]:
     return sorted({" ".join(unicodedata.normalize("NFKC", t[2]).lower().split()) for t in _terms(node) if t[1].upper() not in skip} - {""})
 
 
-def _evaluate(node: tuple, recall: bool) -> tuple[Column, Column]:
-    """(match, reasons) of a node; reasons follow short-circuit evaluation from left to right."""
+def _evaluate(node: tuple, recall: bool, fields: Column) -> tuple[Column, Column]:
+    """(match, reasons) of a node; reasons follow short-circuit evaluation from left to right.
+
+    ``fields`` is a struct of the normalised field texts.
+    """
     empty = F.array().cast("array<string>")
     kind = node[0]
     if kind == "between":
         c = F.col("year" if node[1].upper() == "YE" else "citation_count")
         return F.coalesce(c.between(node[2], node[3]), F.lit(False)), empty
     if kind == "not":
-        m, r = _evaluate(node[1], recall)
+        m, r = _evaluate(node[1], recall, fields)
         return ~m, r
     if kind in ("and", "or"):
-        m, r = _evaluate(node[1], recall)
+        m, r = _evaluate(node[1], recall, fields)
         for child in node[2:]:
-            m2, r2 = _evaluate(child, recall)
+            m2, r2 = _evaluate(child, recall, fields)
             go = m if kind == "and" else ~m
             r = F.concat(r, F.when(go, r2).otherwise(empty))
             m = (m & m2) if kind == "and" else (m | m2)
@@ -141,7 +145,7 @@ def _evaluate(node: tuple, recall: bool) -> tuple[Column, Column]:
         hit = F.coalesce(norm_doi(F.col("doi")) == norm_doi(F.lit(value)), F.lit(False))
         return hit, F.when(hit, F.array(F.lit("DOI"))).otherwise(empty)
     needle = " ".join(value.lower().split())
-    text = F.col(f"_f_{field}")
+    text = fields[field]
     hit = F.contains(text, F.lit(needle)) if needle else F.lit(False)
     said = F.when(hit, F.array(F.lit(f"{field}:{value}"))).otherwise(empty)
     if recall and any("\u4e00" <= ch <= "\u9fff" for ch in needle):
@@ -158,13 +162,14 @@ def _evaluate(node: tuple, recall: bool) -> tuple[Column, Column]:
 def bool_filter(records: DataFrame, node: tuple, recall: bool = False, full_nfkc: bool = False) -> DataFrame:
     """Records satisfying a Boolean field expression, with the reasons in ``match_reasons``.
 
-    Every searched field is normalised once; the expression is one boolean column.
+    Every searched field is normalised once per evaluation; the expression is one
+    boolean column.  Reasons are worked out for the kept records only.
     """
-    fields = sorted(_fields_used(node))
+    names = sorted(_fields_used(node)) or ["SU"]
     default = lambda: _join(F.col("title"), F.col("abstract"), _list("keywords"))
-    src = records.select("*", *[norm_text(FIELDS.get(f, default)(), full_nfkc).alias(f"_f_{f}") for f in fields])
-    match, reasons = _evaluate(node, recall)
-    return src.where(match).withColumn("match_reasons", F.concat("match_reasons", reasons)).drop(*[f"_f_{f}" for f in fields])
+    texts = F.struct(*[norm_text(FIELDS.get(f, default)(), full_nfkc).alias(f) for f in names])
+    kept = records.where(let(texts, lambda f: _evaluate(node, recall, f)[0]))
+    return kept.withColumn("match_reasons", F.concat("match_reasons", let(texts, lambda f: _evaluate(node, recall, f)[1])))
 
 
 # --- duplicates -----------------------------------------------------------------------
@@ -208,7 +213,7 @@ def merge_papers(grouped: DataFrame) -> DataFrame:
     tagged = [F.transform(F.filter(F.col(c), lambda x: F.trim(x) != ""), _tag(c)) for c in LISTS]
     ids = F.transform(F.map_entries("source_ids"), lambda e: F.struct(
         F.lit("source_ids").alias("list"), e["key"].alias("fold"), F.lit(0).alias("i"), e["value"].alias("item")))
-    items = grouped.select("group_id", "pos", F.explode(F.concat(*tagged, ids)).alias("_x")).groupBy(
+    items = grouped.select("group_id", "pos", F.explode_outer(F.concat(*tagged, ids)).alias("_x")).where("_x is not null").groupBy(
         "group_id", "_x.list", "_x.fold").agg(F.min(F.struct("pos", F.col("_x.i").alias("i"), F.col("_x.item").alias("item"))).alias("_first"))
     one = lambda name: F.array_sort(F.collect_list(F.when(F.col("list") == name, F.col("_first"))))
     lists = items.groupBy("group_id").agg(
@@ -239,7 +244,6 @@ def _unit(c: Column) -> Column:
 def score(concepts: list[str], profile: str, this_year: int) -> Column:
     text = norm_text(F.concat_ws(" ", "title", "abstract", _list("keywords"), _list("concepts"), _list("topics")))
     if concepts:
-        from tallyloom.operators.corpus import let
         covered = let(text, lambda t: reduce(lambda a, b: a + b, [F.contains(t, F.lit(c)).cast("int") for c in concepts])) / len(concepts)
     else:
         covered = F.lit(1.0)

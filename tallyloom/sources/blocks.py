@@ -21,11 +21,11 @@ def parse_content(raw: DataFrame, doc: str, column: str) -> DataFrame:
 def parse_structure(raw: DataFrame, doc: str, column: str) -> DataFrame:
     """The blockIndex map as rows."""
     index = F.from_json(column, f"struct<blockIndex:map<string,struct<provenance:{PROVENANCE}>>>")["blockIndex"]
-    return raw.select(doc, F.explode(index).alias("block_id", "_e")).select(doc, "block_id", F.col("_e.provenance").alias("provenance"))
+    return raw.select(doc, F.explode_outer(index).alias("block_id", "_e")).where("block_id is not null").select(doc, "block_id", F.col("_e.provenance").alias("provenance"))
 
 
 def parse_assets(raw: DataFrame, doc: str, column: str) -> DataFrame:
-    return raw.select(doc, F.explode(F.from_json(column, ASSETS)["items"]).alias("_a")).select(
+    return raw.select(doc, F.explode_outer(F.from_json(column, ASSETS)["items"]).alias("_a")).where("_a is not null").select(
         doc, "_a.id", "_a.name", F.col("_a.shapeId").alias("shape_id"), F.col("_a.usedBy").alias("used_by"))
 
 
@@ -65,5 +65,5 @@ def src_md_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
                 F.when(head["kind"] == "table", F.filter(F.transform(part, lambda r: r["line"]), lambda x: ~x.rlike(r"^\|?[\s:|-]+\|?$"))).alias("rows"))))))
 
     packed = let(let(lined, rows), blocks)
-    return df.select(key, F.posexplode(packed).alias("idx", "_b")).select(
+    return df.select(key, F.posexplode_outer(packed).alias("idx", "_b")).where("idx is not null").select(
         key, "idx", F.concat(F.lit("b"), F.col("idx").cast("string")).alias("block_id"), "_b.kind", "_b.level", "_b.text", "_b.rows")

@@ -14,7 +14,7 @@ def parse_papers(raw: DataFrame, column: str = "value", keep: list[str] | None =
     """JSON texts holding a bare record array or an object with ``records``."""
     bare = F.ltrim(F.col(column)).startswith("[")
     wrapped = F.from_json(column, f"struct<records:{_RECORDS}>")["records"]
-    rows = raw.select(*(keep or []), F.explode(F.when(bare, F.from_json(column, _RECORDS)).otherwise(wrapped)).alias("_r"))
+    rows = raw.select(*(keep or []), F.explode_outer(F.when(bare, F.from_json(column, _RECORDS)).otherwise(wrapped)).alias("_r")).where("_r is not null")
     return as_records(rows.select(*(keep or []), "_r.*")) if not keep else rows.select(*keep, "_r.*")
 
 
