@@ -16,8 +16,8 @@ def _money(x, d):
     return f"regexp_replace(printf('%.{d}f', round(abs({x}), {d})), '(\\d)(\\d{{3}})(\\d{{3}})(\\.|$)', '\\1,\\2,\\3\\4')"
 
 
-@query("fn_text", f"""select p_partkey, chr(p_size+65) char_, p_size+65 code_, 'ab' || p_size clean_, p_name||'-'||p_size concat_, p_name=lower(p_type) exact_, nullif(strpos(p_name,'r'),0) find_,
- nullif(strpos(lower(p_name),'re'),0) search_, left(p_name,3) left_, right(p_name,4) right_, substr(p_name,2,5) mid_, length(p_name)::int len_, lower(p_type) lower_, upper(p_name) upper_,
+@query("fn_text", f"""select p_partkey, chr(p_size+65) char_, p_size+65 code_, 'ab' || p_size clean_, p_name||'-'||p_size concat_, p_name=lower(p_type) exact_, cast(nullif(strpos(p_name,'r'),0) as int) find_,
+ cast(nullif(strpos(lower(p_name),'re'),0) as int) search_, left(p_name,3) left_, right(p_name,4) right_, substr(p_name,2,5) mid_, length(p_name)::int len_, lower(p_type) lower_, upper(p_name) upper_,
  {_PROPER.format(x="(p_name||'-x2y')")} proper_, left(p_name,2)||'##'||substr(p_name,6) replace_, repeat('ab', p_size//20) rept_, replace(p_name,'e','E') subst_,
  case when strpos(substr(p_name, strpos(p_name,'e')+1),'e')>0 and strpos(p_name,'e')>0 then substr(p_name,1,strpos(p_name,'e')+strpos(substr(p_name,strpos(p_name,'e')+1),'e')-1)||'_'||substr(p_name,strpos(p_name,'e')+strpos(substr(p_name,strpos(p_name,'e')+1),'e')+1) else p_name end subst2_,
  p_name||'/'||p_type join_, trim('a  b '||p_size||' ') ||'' trim0_, p_retailprice value_, p_retailprice/100 number_ from (select * from part)""".replace("trim('a  b '||p_size||' ') ||'' trim0_", "'a b '||p_size trim_"))

@@ -35,19 +35,23 @@ def _(spark, sf):
     return gr.pagerank(trade(spark, sf), inverse=True).withColumn("rank", sig("rank", 8))
 
 
-# Orders of a customer hang together through parts bought on the same day: a sparse graph with many components.
-_SPARSE = "sp as materialized (select distinct l_orderkey src, l_partkey+10000000 dst from lineitem where l_quantity=50 and l_discount=0.1)"
+# Region - nation - customer - order links: one component per region over the whole tables.
+_LINKS = """lk as materialized (select n_nationkey+1000::bigint src, n_regionkey::bigint dst from nation union all select c_custkey+1000000, c_nationkey+1000 from customer
+ union all select o_orderkey+1000000000, o_custkey+1000000 from orders)"""
 
 
-def sparse(spark, sf):
-    return table(spark, sf, "lineitem").where("l_quantity = 50 and l_discount = 0.1").select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + 10000000).alias("dst")).distinct()
+def links(spark, sf):
+    n = table(spark, sf, "nation").select((F.col("n_nationkey") + 1000).cast("long").alias("src"), F.col("n_regionkey").cast("long").alias("dst"))
+    c = table(spark, sf, "customer").select((F.col("c_custkey") + 1000000).alias("src"), (F.col("c_nationkey") + 1000).cast("long").alias("dst"))
+    o = table(spark, sf, "orders").select((F.col("o_orderkey") + 1000000000).alias("src"), (F.col("o_custkey") + 1000000).alias("dst"))
+    return n.union(c).union(o)
 
 
-@query("connected_components", f"""with recursive {_SPARSE}, e as materialized (select src, dst from sp union select dst, src from sp), vt as (select distinct src id from e),
-cc as (select id, id c from vt union select e.dst, cc.c from cc join e on e.src=cc.id where cc.c<=e.dst)
-select id, min(c) component from cc group by 1""")
+@query("connected_components", f"""with recursive {_LINKS}, e as materialized (select src, dst from lk union select dst, src from lk),
+cc as (select 0 r, src id, src c from (select distinct src from e) union all select r+1, id, min(c) from (select r, dst id, c from cc join e on e.src=cc.id union all select r, id, c from cc) group by r, id having r<8)
+select id, c component from cc where r=8""")
 def _(spark, sf):
-    return gr.connected_components(sparse(spark, sf))
+    return gr.connected_components(links(spark, sf))
 
 
 # A DAG over the whole tables.
