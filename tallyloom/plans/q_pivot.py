@@ -46,11 +46,11 @@ def _(spark, sf):
     return t.select("n_name", "c_mktsegment", "o_orderstatus", "grouping", F.col("level").cast("bigint").alias("level"), F.round("sum_o_totalprice", 2).alias("total"), F.col("count_o_totalprice").alias("n"))
 
 
-@query("pivot_totals_cube", f"""select c_mktsegment, o_orderpriority, {sqlsig('avg(o_totalprice)')} mean, cast(grouping(c_mktsegment)*2+grouping(o_orderpriority) as bigint) "grouping"
+@query("pivot_totals_cube", f"""select c_mktsegment, o_orderpriority, {sqlsig('avg(o_totalprice)', 12)} mean, cast(grouping(c_mktsegment)*2+grouping(o_orderpriority) as bigint) "grouping"
  from {_JOIN} group by cube(c_mktsegment, o_orderpriority)""")
 def _(spark, sf):
     t = pv.pivot_totals(sales(spark, sf), ["c_mktsegment", "o_orderpriority"], [("o_totalprice", "average")], at_cube=True)
-    return t.select("c_mktsegment", "o_orderpriority", sig("average_o_totalprice").alias("mean"), "grouping")
+    return t.select("c_mktsegment", "o_orderpriority", sig("average_o_totalprice", 12).alias("mean"), "grouping")
 
 
 _SHOW = {
@@ -64,12 +64,15 @@ _SHOW = {
 }
 
 
-@query("pivot_show_as", "select n_name, o_orderpriority, " + ", ".join(f"{sqlsig(s, 7)} {k}" for k, s in _SHOW.items()) +
+_MONEY = ("normal", "difference_prev", "difference_next", "difference_base", "running_total")
+
+
+@query("pivot_show_as", "select n_name, o_orderpriority, " + ", ".join(f"{f'round({s}, 2)' if k in _MONEY else sqlsig(s, 7)} {k}" for k, s in _SHOW.items()) +
        f" from (select n_name, o_orderpriority, sum(o_totalprice) v from {_JOIN} group by 1,2) window w as (partition by n_name order by o_orderpriority)")
 def _(spark, sf):
     cells = sales(spark, sf).groupBy("n_name", "o_orderpriority").agg(F.sum("o_totalprice").alias("v"))
     t = pv.show_as(cells, "n_name", "o_orderpriority", "v", "1-URGENT")
-    return t.select("n_name", "o_orderpriority", *[sig(c, 7).alias(c) for c in _SHOW])
+    return t.select("n_name", "o_orderpriority", *[(F.round(c, 2) if c in _MONEY else sig(c, 7)).alias(c) for c in _SHOW])
 
 
 # --- lookups ---------------------------------------------------------------------
