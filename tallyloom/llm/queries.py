@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.llm import topk, warc
+from tallyloom.llm import packing, topk, warc
 from tallyloom.llm.common import read
 
 QUERIES: dict = {}
@@ -45,3 +45,8 @@ select page_id, strlen(html)::bigint payload_bytes, {_BASE32} payload_digest,
   case when page_id = head then 'response' else 'revisit' end record_type, case when page_id <> head then head end refers_to from g""")
 def _(spark, sf):
     return warc.round_trip(read(spark, sf, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_best_fit_packing")
+def _(spark, sf):
+    return packing.pack(read(spark, sf, "documents"))
