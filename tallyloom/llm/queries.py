@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.llm import packing, topk, warc
+from tallyloom.llm import language, packing, topk, warc
 from tallyloom.llm.common import read
 
 QUERIES: dict = {}
@@ -50,3 +50,8 @@ def _(spark, sf):
 @query("op8_best_fit_packing")
 def _(spark, sf):
     return packing.pack(read(spark, sf, "documents"))
+
+
+@query("op1_language_id")
+def _(spark, sf):
+    return language.identify(read(spark, sf, "documents"))
