@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.llm import language, packing, topk, warc
+from tallyloom.llm import language, packing, topk, toxicity, warc
 from tallyloom.llm.common import read
 
 QUERIES: dict = {}
@@ -55,3 +55,8 @@ def _(spark, sf):
 @query("op1_language_id")
 def _(spark, sf):
     return language.identify(read(spark, sf, "documents"))
+
+
+@query("op2_toxicity")
+def _(spark, sf):
+    return toxicity.toxicity(read(spark, sf, "documents"), read(spark, sf, "labels"))
