@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.llm import language, packing, topk, toxicity, warc
+from tallyloom.llm import language, packing, pii, topk, toxicity, warc
 from tallyloom.llm.common import read
 
 QUERIES: dict = {}
@@ -60,3 +60,8 @@ def _(spark, sf):
 @query("op2_toxicity")
 def _(spark, sf):
     return toxicity.toxicity(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
+@query("op6_pii")
+def _(spark, sf):
+    return pii.pii(read(spark, sf, "documents"))
