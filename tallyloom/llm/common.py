@@ -68,3 +68,56 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+_TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BASE = 0xD1342543DE82EF95
+_GAP = np.zeros(256, bool)
+_GAP[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, where each text's words start, and the words' byte bounds.
+
+    A-Z are lower-cased; words are runs of anything but space and the characters 9 to 13.
+    Returns (hashes, starts with the total as last entry, (first byte, end byte) per word in the joined texts).
+    """
+    parts = [t.encode().lower() for t in texts]
+    buf = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
+    gap = _GAP[buf]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8)))
+    lo, hi = edge[::2], edge[1::2]
+    heads = np.cumsum([0, *[len(p) + 1 for p in parts]])
+    starts = np.searchsorted(lo, heads)
+    if not len(lo):
+        return np.zeros(0, np.uint64), starts, np.stack([lo, hi])
+    size = hi - lo
+    inside = np.flatnonzero(~gap)
+    place = np.arange(len(inside)) - np.repeat(np.cumsum(size) - size, size)
+    power = np.full(int(size.max()), _BASE, np.uint64)
+    power[0] = 1
+    power = np.cumprod(power)
+    summed = np.add.reduceat(_TABLE[buf[inside]] * power[place], np.cumsum(size) - size)
+    return mix64(summed + size.astype(np.uint64)), starts, np.stack([lo, hi])
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, comp): the smallest id reachable, for every id on an edge (a, b); edges are contracted until none is left."""
+    spark = edges.sparkSession
+    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    labels = stored(e.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("comp", F.col("id")), "labels")
+    while not e.isEmpty():
+        both = e.union(e.select("b", "a"))
+        up = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), F.least("a", "m").alias("up")), "up")
+        for _ in range(2):  # look further up
+            next_up = up.select(F.col("x").alias("up"), F.col("up").alias("far"))
+            further = stored(up.join(next_up, "up", "left").select("x", F.coalesce("far", "up").alias("up")), "up")
+            discard(spark, up)
+            up = further
+        new = stored(labels.join(up, labels["comp"] == up["x"], "left").select("id", F.coalesce("up", "comp").alias("comp")), "labels")
+        ua, ub = up.toDF("a", "ua"), up.toDF("b", "ub")
+        rest = stored(e.join(ua, "a").join(ub, "b").where("ua <> ub").select(F.greatest("ua", "ub").alias("a"), F.least("ua", "ub").alias("b")).distinct(), "edges")
+        for old in (labels, e, up):
+            discard(spark, old)
+        labels, e = new, rest
+    return labels

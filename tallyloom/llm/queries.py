@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.llm import language, packing, pii, topk, toxicity, warc
+from tallyloom.llm import language, minmax, packing, pii, topk, toxicity, warc
 from tallyloom.llm.common import read
 
 QUERIES: dict = {}
@@ -65,3 +65,8 @@ def _(spark, sf):
 @query("op6_pii")
 def _(spark, sf):
     return pii.pii(read(spark, sf, "documents"))
+
+
+@query("op9_minmax_near_dedup")
+def _(spark, sf):
+    return minmax.near_duplicates(read(spark, sf, "documents"))
