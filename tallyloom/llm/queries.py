@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.llm import language, minmax, packing, pii, topk, toxicity, warc
+from tallyloom.llm import decontam, language, minmax, packing, pii, topk, toxicity, warc
 from tallyloom.llm.common import read
 
 QUERIES: dict = {}
@@ -70,3 +70,8 @@ def _(spark, sf):
 @query("op9_minmax_near_dedup")
 def _(spark, sf):
     return minmax.near_duplicates(read(spark, sf, "documents"))
+
+
+@query("op7_benchmark_decontamination")
+def _(spark, sf):
+    return decontam.overlaps(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
