@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontam, language, minmax, packing, pii, topk, toxicity, warc
+from tallyloom.llm import decontam, language, minmax, packing, pii, suffix, topk, toxicity, warc
 from tallyloom.llm.common import read
 
 QUERIES: dict = {}
@@ -75,3 +75,8 @@ def _(spark, sf):
 @query("op7_benchmark_decontamination")
 def _(spark, sf):
     return decontam.overlaps(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
+@query("op4_run_length_dedup")
+def _(spark, sf):
+    return suffix.dedup(read(spark, sf, "documents")).drop("spans")
