@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontam, language, minmax, packing, pii, suffix, topk, toxicity, warc
+from tallyloom.llm import decontam, language, minmax, packing, pii, suffix, topk, toxicity, warc, windows
 from tallyloom.llm.common import read
 
 QUERIES: dict = {}
@@ -80,3 +80,8 @@ def _(spark, sf):
 @query("op4_run_length_dedup")
 def _(spark, sf):
     return suffix.dedup(read(spark, sf, "documents")).drop("spans")
+
+
+@query("op10_compact_windows")
+def _(spark, sf):
+    return windows.passages(read(spark, sf, "documents"))
