@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyloom.operators.filters import criteria_match
-from tallyloom.operators.ordering import carry_forward
+from tallyloom.operators.ordering import carry_forward, join_same
 
 
 def _fold(df: DataFrame, name: str) -> Column:
@@ -34,7 +34,8 @@ def lookup_asof(left: DataFrame, right: DataFrame, by: list[str], left_on: str,
     Both sides are unioned and the latest right row is carried to the left rows: one
     shuffle on (by, chunk), no range join.  Equal keys count as a match; of equal
     right keys the last position is taken looking back, the first looking ahead.
-    ``chunk`` maps the order column to its coarse bucket.
+    ``chunk`` maps the order column to its coarse bucket.  Every left row comes back; one
+    without a lookup value is unmatched.
     """
     pack = F.struct(F.col("_k").alias("key"), *take)
     rows_l = left.withColumn("_id", F.struct(*left.columns)).select(
@@ -46,7 +47,10 @@ def lookup_asof(left: DataFrame, right: DataFrame, by: list[str], left_on: str,
     out = carry_forward(both, by, [F.col("_k"), F.col("_side"), F.col("_p")], chunk(F.col("_k")),
                         {"_hit": F.col("_row")}, ascending=not forward)
     hits = out.where(F.col("_id").isNotNull())
-    return hits.select("_id.*", F.col("_hit.key").alias("matched_key"), *[F.col(f"_hit.{c}").alias(c) for c in take])
+    found = hits.select("_id.*", F.col("_hit.key").alias("matched_key"), *[F.col(f"_hit.{c}").alias(c) for c in take])
+    kinds = dict(found.dtypes)
+    lone = left.where(F.col(left_on).isNull()).select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in ("matched_key", *take)])
+    return found.unionByName(lone)
 
 
 def lookup_nearest(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, pos: str, take: list[str],
@@ -56,7 +60,7 @@ def lookup_nearest(left: DataFrame, right: DataFrame, by: list[str], left_on: st
     ahead = lookup_asof(left, right, by, left_on, right_on, pos, take, chunk, forward=True)
     b = back.select(*left.columns, F.struct("matched_key", *take).alias("_b"))
     a = ahead.select(*[F.col(k) for k in key], F.struct("matched_key", *take).alias("_a"))
-    both = b.join(a, key, "left")
+    both = join_same(b, a, key, "left")
     closer = F.when(F.col("_b").isNull() | F.col("_b.matched_key").isNull(), F.col("_a")).when(
         F.col("_a.matched_key").isNull(), F.col("_b")).when(
         F.col(left_on) - F.col("_b.matched_key") <= F.col("_a.matched_key") - F.col(left_on), F.col("_b")).otherwise(F.col("_a"))

@@ -18,13 +18,25 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 CHUNK = "_chunk"
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL, so that no group is lost; the left side's keys stay."""
+    names = {k: f"_same_{i}" for i, k in enumerate(keys)}
+    other = right.withColumnsRenamed(names)
+    cond = None
+    for k, n in names.items():
+        one = F.col(k).eqNullSafe(F.col(n))
+        cond = one if cond is None else cond & one
+    return left.join(other, cond, how).drop(*names.values())
+
+
 def number_chunk(value: Column, grain: int = 256) -> Column:
     """Monotone bucket of a number with about 1/grain relative width.
 
     Needs no pass over the data for bounds, and outliers do not widen it.
     """
-    return F.when(value.isNotNull() & ~F.isnan(value.cast("double")),
-                  (F.signum(value.cast("double")) * F.floor(F.log1p(F.abs(value.cast("double"))) * grain)).cast("long"))
+    x = value.cast("double")
+    # NaN sorts last, and so does its chunk; NULL sorts first, as a NULL chunk does
+    return F.when(F.isnan(x), F.lit(2 ** 62)).when(x.isNotNull(), (F.signum(x) * F.floor(F.log1p(F.abs(x)) * grain)).cast("long"))
 
 
 def time_chunk(ts: Column, unit: str = "hour") -> Column:
@@ -71,7 +83,7 @@ def with_prefix(
         local = local.withColumn("_l_pos", F.row_number().over(inside) - 1)
     for s in sums:
         local = local.withColumn(f"_l_{s}", F.sum(f"_in_{s}").over(running))
-    out = local.join(offsets, [*keys, CHUNK])
+    out = join_same(local, offsets, [*keys, CHUNK])
     cols = [F.col(c) for c in df.columns]
     if pos:
         cols.append((F.col("_o_pos") + F.col("_l_pos")).cast("long").alias(pos))
@@ -135,7 +147,7 @@ def carry_forward(
     inside = W.partitionBy(*keys, CHUNK).orderBy(*[(c.asc() if ascending else c.desc()) for c in order]).rowsBetween(
         W.unboundedPreceding, 0)
     local = src.select("*", *[F.last(f"_v_{n}", ignorenulls=True).over(inside).alias(f"_l_{n}") for n in values])
-    out = local.join(carried, [*keys, CHUNK])
+    out = join_same(local, carried, [*keys, CHUNK])
     return out.select(*df.columns, *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in values])
 
 
@@ -166,13 +178,13 @@ def order_stats(
         wanted, lambda w: (w["at"] >= F.col("_start")) & (w["at"] < F.col("_start") + F.col("_n"))))
     hits = targets.where(F.size("_w") > 0).select(*keys, CHUNK, "_start", "_w")
     order = W.partitionBy(*keys, CHUNK).orderBy(v.desc() if descending else v.asc())
-    upto = counts.join(hits, [*keys, CHUNK], "inner").withColumn(
+    upto = join_same(counts, hits, [*keys, CHUNK]).withColumn(
         "_hi", F.col("_start") + F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, 0)))
     found = upto.select(*keys, "_v", F.explode(F.filter(
         "_w", lambda w: (w["at"] >= F.col("_hi") - F.col("_n")) & (w["at"] < F.col("_hi")))).alias("_p"))
     cols = [F.max(F.when(F.col("_p.pick") == n, v)).alias(n) for n in picks]
     sizes = totals.groupBy(*keys).agg(F.sum("_n").alias("n"))
     if keys:
-        return sizes.join(found.groupBy(*keys).agg(*cols), keys, "left")
+        return join_same(sizes, found.groupBy(*keys).agg(*cols), keys, "left")
     one = found.agg(*cols)
     return sizes.select("n", one.select(F.struct("*")).scalar().alias("_s")).select("n", "_s.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyloom.operators.ordering import with_neighbours, with_prefix
+from tallyloom.operators.ordering import join_same, with_neighbours, with_prefix
 
 
 def positioned(df: DataFrame, keys: list[str], order: list[Column], chunk: Column) -> DataFrame:
@@ -65,7 +65,7 @@ def last_n(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, v
     sized = with_prefix(df, keys, order, chunk, pos="pos", size="total")
     kept = sized.where(F.col("pos") >= F.col("total") - n)
     ends = df.groupBy(*keys).agg(F.min(value).alias("all_min"), F.max(value).alias("all_max"))
-    return kept.join(ends, keys).withColumn("newest", F.col("pos") == F.col("total") - 1)
+    return join_same(kept, ends, keys).withColumn("newest", F.col("pos") == F.col("total") - 1)
 
 
 def range_in(df: DataFrame, keys: list[str], x: str, lo, hi, value: str) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from tallyloom.operators.ordering import order_stats
+from tallyloom.operators.ordering import join_same, order_stats
 
 # Critical ranges of the multiple-range test at alpha 0.05 and
 # unlimited degrees of freedom, for 1..20 spanned means.
@@ -39,7 +39,7 @@ def anova_oneway(df: DataFrame, group: str, value: str, by: list[str] | None = N
     per = df.where(v.isNotNull()).groupBy(*by, group).agg(
         F.count(v).alias("_n"), F.avg(v).alias("_m"), F.coalesce(F.var_samp(v), F.lit(0.0)).alias("_s2"))
     grand = per.groupBy(*by).agg((F.sum(F.col("_n") * F.col("_m")) / F.sum("_n")).alias("grand_mean"))
-    met = per.join(grand, by) if by else per.withColumn("grand_mean", grand.scalar())
+    met = join_same(per, grand, by) if by else per.withColumn("grand_mean", grand.scalar())
     tab = met.groupBy(*by).agg(
         F.count(F.lit(1)).alias("k"), F.sum("_n").alias("n_total"), F.max("grand_mean").alias("grand_mean"),
         F.sum((F.col("_n") - 1) * F.col("_s2")).alias("ssw"),
@@ -88,6 +88,18 @@ def anova_pvalue(table: DataFrame) -> DataFrame:
     return table.withColumn("p_value", f_tail("f", F.col("df_b").cast("double"), F.col("df_w").cast("double")))
 
 
+def step_letters(step: Column) -> Column:
+    """a, b, ..., z, aa, ab, ...: every step of 0 or more has letters of its own."""
+    def last(n: Column) -> Column:
+        return F.char(F.lit(97) + F.pmod(n, F.lit(26)))
+
+    rest = F.floor(step / 26) - 1
+    far = F.floor(rest / 26) - 1
+    two = F.concat(last(rest), last(step))
+    three = F.when(far < 0, two).when(far < 26, F.concat(last(far), two)).otherwise(F.concat(F.lit("s"), step.cast("string")))
+    return F.when(rest < 0, last(step)).otherwise(three)
+
+
 def duncan(df: DataFrame, group: str, value: str, by: list[str] | None = None) -> DataFrame:
     """Group letters by descending mean; a letter step at each neighbour gap ≥ q(2)·se.
 
@@ -107,7 +119,7 @@ def duncan(df: DataFrame, group: str, value: str, by: list[str] | None = None) -
         stats.withColumn("_msw", msw).withColumn("_nbar", n_all / k).withColumn("_q", q2)
         .withColumn("_step", F.when(step, 1).otherwise(0))
         .withColumn("_run", F.sum("_step").over(ranked.rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn("letter", F.char(F.lit(97) + F.least(F.col("_run"), F.lit(25))))
+        .withColumn("letter", step_letters(F.col("_run")))
         .select(*by, group, "n", "mean", "sd", "sem", "letter"))
 
 
@@ -205,7 +217,7 @@ def population(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"),
         F.var_samp(v).alias("variance"), F.stddev_samp(v).alias("sd"),
         (F.stddev_samp(v) / F.sqrt(F.count(v))).alias("sem"))
-    return stats.join(median(df, keys, value).select(*keys, "median"), keys)
+    return join_same(stats, median(df, keys, value).select(*keys, "median"), keys, "left")
 
 
 def describe(df: DataFrame, value: str, keys: list[str] | None = None, ignore_nan: bool = False) -> DataFrame:
