@@ -26,7 +26,7 @@ HEADING = (r"^\s*(?:(#{1,6})|第[一二三四五六七八九十百\d]+[章节部
 TITLE_SKIP = ["摘要", "关键词", "关键字", "abstract", "keywords"]
 AUTHOR_LINE = r"(?i)(作者|姓名|学院|学校|指导教师|author)"
 ABSTRACT_BODY = r"(?is)摘要[:：]?\s*(.+?)(?:关键词|关键字|Abstract|Keywords)"
-KEYWORD_BODY = r"(?i)(?:关键词|关键字|Keywords)[:：]?\s*([^\n]{1,300})"
+KEYWORD_BODY = r"(?i)(?:关键词|关键字|Keywords)[:：]?\s*([^\n]+)"
 KEYWORD_SPLIT = r"[;；,，、\s]+"
 TABLE_CAPTION = r"(?i)^(?:表|Table)\s*[\d一二三四五六七八九十\-\.]*\s*[:：.]?\s*(.+)$"
 TABLE_RULE_CELL = r"^:?-{2,}:?$"
@@ -86,8 +86,8 @@ CHART_WORDS = {
     "evidence_matrix": ["文献综述", "研究综述"],
 }
 
-VARIABLE_ROLES = {"因变量": ("因变量", 80), "自变量": ("自变量", 80), "中介变量": ("中介变量", 80), "调节变量": ("调节变量", 80),
-                  "控制变量": ("控制变量", 100), "处理组变量": ("(?:处理变量|处理组变量)", 80), "时间变量": ("时间变量", 80)}
+VARIABLE_ROLES = {"因变量": "因变量", "自变量": "自变量", "中介变量": "中介变量", "调节变量": "调节变量",
+                  "控制变量": "控制变量", "处理组变量": "(?:处理变量|处理组变量)", "时间变量": "时间变量"}
 VARIABLE_STOP = ["变量", "指标", "模型", "数据", "研究", "影响"]
 EFFECT_OF = r"([一-龥A-Za-z0-9_]{2,30})对([一-龥A-Za-z0-9_]{2,30})的(?:影响|作用|效应)"
 AFFECTS = r"([一-龥A-Za-z0-9_]{2,30})(?:是否|如何)?(?:影响|促进|抑制)([一-龥A-Za-z0-9_]{2,30})"
@@ -114,7 +114,7 @@ SECRET_RULES = [
     ("HTTP_URL", 0, r"http://[^\s\"'<>]+", None),
     ("EXTERNAL_CDN", 2, r"(?i)cdn\.sheetjs\.com|fonts\.googleapis\.com|cdn\.jsdelivr\.net", None),
     ("EXTERNAL_CDN", 1, r"(?i)cdnjs\.cloudflare\.com|unpkg\.com", None),
-    ("UNSAFE_INNERHTML", 2, r"\.innerHTML\s*=", ["html", "js"]),
+    ("UNSAFE_INNERHTML", 2, r"\.innerHTML\s*=", ["html", "htm", "js"]),
 ]
 SEVERITIES = ["Low", "Medium", "High", "Critical"]
 INNERHTML_SAFE = r"\.innerHTML\s*=\s*['\"]\s*['\"]\s*;?|\.innerHTML\s*=.*sanitize|escapeHtml|DOMPurify|textContent"

@@ -153,7 +153,7 @@ def numbervalue(text: Column, decimal: str = ".", group: str = ",") -> Column:
     good = ~F.contains(tail, F.lit(group))
     plain = F.concat(F.replace(head, F.lit(group), F.lit("")), F.replace(tail, F.lit(decimal), F.lit(".")))
     number = F.regexp_replace(plain, "%+$", "").try_cast("double")
-    return F.when(bare == "", 0.0).when(good & (F.length(text) < 256), number / F.pow(F.lit(100.0), marks))
+    return F.when(bare == "", 0.0).when(good, number / F.pow(F.lit(100.0), marks))
 
 
 def _java_date(pattern: str) -> str:

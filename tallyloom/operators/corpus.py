@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyloom.functions import lexicon as lx
+from tallyloom.functions.cells import ERRORS
 
 
 def strip(c: Column) -> Column:
@@ -139,7 +140,7 @@ def doc_title_authors(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def _abstract(p: Column) -> Column:
     named = F.get(F.filter(p["sections"], lambda s: s["canonical"] == "abstract"), F.lit(0))["body"]
-    return F.left(F.coalesce(named, strip(F.regexp_extract(p["norm"], lx.ABSTRACT_BODY, 1))), F.lit(1500))
+    return F.coalesce(named, strip(F.regexp_extract(p["norm"], lx.ABSTRACT_BODY, 1)))
 
 
 def doc_abstract(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -148,7 +149,7 @@ def doc_abstract(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def keyword_list(norm: Column) -> Column:
     parts = F.split(F.regexp_extract(norm, lx.KEYWORD_BODY, 1), lx.KEYWORD_SPLIT, -1)
-    return F.slice(F.filter(parts, lambda x: x != ""), 1, 12)
+    return F.filter(parts, lambda x: x != "")
 
 
 def doc_keywords(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -320,7 +321,7 @@ VERDICT = {"D": "redesign", "E": "redesign", "C": "major revision", "B": "streng
 
 
 def doc_quality(df: DataFrame, key: str, text: str, classes=None) -> DataFrame:
-    """Issues by class (fatal, structural, surface), the first five core issues and the verdict."""
+    """Issues by class (fatal, structural, surface), the core issues and the verdict."""
     t = F.col(text)
     deadly = F.array(F.lit("causal_language"), F.lit("material"))
     name = lambda level, prefix, flags: F.transform(flags, lambda x: F.struct(
@@ -342,7 +343,7 @@ def doc_quality(df: DataFrame, key: str, text: str, classes=None) -> DataFrame:
     verdict = F.create_map(*[F.lit(x) for kv in VERDICT.items() for x in kv])
     out = let(let(seen, judge), lambda j: F.struct(
         j["grade"].alias("grade"), verdict[j["grade"]].alias("verdict"), F.concat(j["core"], j["surface"]).alias("issues"),
-        F.transform(F.slice(j["core"], 1, 5), lambda x: x["issue"]).alias("core_issues")))
+        F.transform(j["core"], lambda x: x["issue"]).alias("core_issues")))
     return df.select(key, out.alias("_q")).select(key, "_q.*")
 
 
@@ -350,17 +351,17 @@ def doc_quality(df: DataFrame, key: str, text: str, classes=None) -> DataFrame:
 
 def _clean_label(c: Column) -> Column:
     bare = F.regexp_replace(strip(c), "[\"'“”‘’（）()]", "")
-    return F.left(F.regexp_replace(F.regexp_replace(bare, "^(本文|本研究|主要|核心)", ""), "^[ ：:，,。；;]+|[ ：:，,。；;]+$", ""), F.lit(30))
+    return F.regexp_replace(F.regexp_replace(bare, "^(本文|本研究|主要|核心)", ""), "^[ ：:，,。；;]+|[ ：:，,。；;]+$", "")
 
 
 def var_candidates(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Variables named by role phrases and "A affects B" phrases, unique, in order, at most 24 (the report's size)."""
+    """Variables named by role phrases and "A affects B" phrases, unique, in order."""
     pair = lambda label, role: F.struct(label.alias("label"), F.lit(role).alias("role"))
 
     def named(scan):
         found = []
-        for role, (name, width) in lx.VARIABLE_ROLES.items():
-            bodies = F.regexp_extract_all(scan, F.lit(name + r"(?:为|是|包括|：|:)\s*([^。；;\n]{1," + str(width) + "})"), 1)
+        for role, name in lx.VARIABLE_ROLES.items():
+            bodies = F.regexp_extract_all(scan, F.lit(name + r"(?:为|是|包括|：|:)\s*([^。；;\n]+)"), 1)
             found.append(F.transform(bodies, lambda b: F.struct(F.split(b, r"[、，,及和与\s]+", -1).alias("labels"), F.lit(role).alias("role"))))
         roles = F.flatten(F.transform(F.concat(*found), lambda r: F.transform(
             r["labels"], lambda x: F.struct(_clean_label(x).alias("label"), r["role"].alias("role")))))
@@ -372,7 +373,7 @@ def var_candidates(df: DataFrame, key: str, text: str) -> DataFrame:
         did = (F.contains(d["scan"], F.lit("DID")) | F.contains(d["scan"], F.lit("双重差分"))) & ~F.exists(d["c"], lambda x: x["role"] == "处理组变量")
         extra = F.array(pair(F.lit("处理组"), "处理组变量"), pair(F.lit("政策后时期"), "时间变量"), pair(F.lit("政策冲击"), "政策冲击变量"))
         every = F.when(did, F.concat(d["c"], extra)).otherwise(d["c"])
-        return F.slice(F.array_distinct(F.filter(every, lambda x: (x["label"] != "") & ~x["label"].isin(lx.VARIABLE_STOP))), 1, 24)
+        return F.array_distinct(F.filter(every, lambda x: (x["label"] != "") & ~x["label"].isin(lx.VARIABLE_STOP)))
 
     scan = let(F.col("_p"), lambda p: F.concat_ws("\n", let(_title_lines(p["lines"]), _title), _abstract(p), F.array_join(keyword_list(p["norm"]), "、"), F.col(text)))
     kept = let(let(scan, lambda t: F.struct(t.alias("scan"), named(t).alias("c"))), complete)
@@ -407,13 +408,13 @@ def _entry_parts(entry: Column) -> dict[str, Column]:
     cut = lambda sep: strip(F.substring_index(body, sep, 1))
     year = F.regexp_extract(entry, r"(?:19|20)\d{2}", 0)
     before = F.regexp_replace(F.get(F.split(body, r"(?:19|20)\d{2}", 2), F.lit(0)), "^[ .，,()（）]+|[ .，,()（）]+$", "")
-    author = F.when(body == "", "").when(F.contains(body, F.lit(".")), F.left(cut("."), F.lit(80))) \
-        .when(F.contains(body, F.lit("，")), F.left(cut("，"), F.lit(80))).when(F.contains(body, F.lit(",")), F.left(cut(","), F.lit(80))) \
-        .when(body.rlike(r"(?:19|20)\d{2}"), F.left(before, F.lit(80))).when(F.length(body) <= 60, F.left(body, F.lit(30))).otherwise("")
+    author = F.when(body == "", "").when(F.contains(body, F.lit(".")), cut(".")) \
+        .when(F.contains(body, F.lit("，")), cut("，")).when(F.contains(body, F.lit(",")), cut(",")) \
+        .when(body.rlike(r"(?:19|20)\d{2}"), before).when(F.length(body) <= 60, body).otherwise("")
     second = strip(F.get(F.split(body, "[.。]", 2), F.lit(1)))
     no_year = F.regexp_replace(body, r"[\(（]?(?:19|20)\d{2}[\)）]?[.，, ]*", "")
     rest = F.regexp_replace(F.when(author == "", no_year).otherwise(F.replace(no_year, author, F.lit(""))), "^[ .，,]+|[ .，,]+$", "")
-    title = F.when(F.coalesce(second, F.lit("")) != "", F.left(second, F.lit(120))).otherwise(F.left(rest, F.lit(120)))
+    title = F.when(F.coalesce(second, F.lit("")) != "", second).otherwise(rest)
     risks = F.filter(F.array(
         F.when(year == "", "year missing"), F.when(F.length(body) < 12, "too short"), F.when(author == "", "author unclear"),
         F.when(title == "", "title unclear")), lambda x: x.isNotNull())
@@ -442,14 +443,15 @@ def _numbers_listed(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(entry_list(text), entry_number), lambda x: x != ""))
 
 
-def _first_eight(numbers: Column) -> Column:
-    return F.slice(F.array_sort(F.transform(numbers, lambda x: x.cast("long"))), 1, 8)
+def _in_order(numbers: Column) -> Column:
+    # a digit string beyond the range of longs is no entry number
+    return F.array_sort(F.array_compact(F.transform(numbers, lambda x: x.try_cast("long"))))
 
 
 def cite_crosscheck(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Cited numbers without an entry and entries never cited: the first eight of each in numeric order."""
+    """Cited numbers without an entry and entries never cited: in numeric order."""
     t = F.col(text)
-    tag = lambda kind, arr: F.transform(_first_eight(arr), lambda n: F.struct(F.lit(kind).alias("problem"), n.alias("number")))
+    tag = lambda kind, arr: F.transform(_in_order(arr), lambda n: F.struct(F.lit(kind).alias("problem"), n.alias("number")))
     pair = F.struct(_numbers_cited(t).alias("c"), _numbers_listed(t).alias("l"))
     rows = let(pair, lambda p: F.when((F.size(p["c"]) > 0) & (F.size(p["l"]) > 0), F.concat(
         tag("cited_not_listed", F.array_except(p["c"], p["l"])), tag("listed_not_cited", F.array_except(p["l"], p["c"])))))
@@ -465,8 +467,8 @@ def ref_risks(df: DataFrame, key: str, text: str) -> DataFrame:
         single = F.array_compact(F.array(F.when(F.size(d["e"]) == 0, row("no_list", F.lit("references"))), F.when(~d["i"], row("no_citations", F.lit("text")))))
         formal = F.array_compact(F.transform(d["e"], lambda e, i: F.when(_entry_parts(e)["risks"] != "", row("format", i + 1))))
         listed = F.array_distinct(F.filter(F.transform(d["e"], entry_number), lambda x: x != ""))
-        cross = let(listed, lambda l: F.concat(F.transform(_first_eight(F.array_except(d["c"], l)), lambda n: row("cited_not_listed", n)),
-                                               F.transform(_first_eight(F.array_except(l, d["c"])), lambda n: row("listed_not_cited", n))))
+        cross = let(listed, lambda l: F.concat(F.transform(_in_order(F.array_except(d["c"], l)), lambda n: row("cited_not_listed", n)),
+                                               F.transform(_in_order(F.array_except(l, d["c"])), lambda n: row("listed_not_cited", n))))
         none = F.slice(F.array(row("none", F.lit(""))), 1, 0)
         return F.concat(single, formal, F.when((F.size(d["e"]) > 0) & d["i"], cross).otherwise(none), F.array(row("not_verified", F.lit("all"))))
 
@@ -589,7 +591,7 @@ def eval_readiness(items: DataFrame, keys: list[str], prompt: str, expected: str
 def formula_audit(df: DataFrame, key: list[str], formula: str, value: str) -> DataFrame:
     f = F.upper(formula)
     risky = (F.contains(f, F.lit("/")) | F.contains(f, F.lit("VLOOKUP"))) & ~F.contains(f, F.lit("IFERROR"))
-    found = F.filter(F.array(F.when(risky, F.lit("unguarded")), F.when(F.startswith(value, F.lit("#")), F.lit("error_value"))), lambda x: x.isNotNull())
+    found = F.filter(F.array(F.when(risky, F.lit("unguarded")), F.when(F.col(value).isin(*ERRORS), F.lit("error_value"))), lambda x: x.isNotNull())
     return df.select(*key, F.explode_outer(found).alias("problem")).where("problem is not null")
 
 

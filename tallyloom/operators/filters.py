@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tallyloom.functions.cells import ERRORS
 from tallyloom.operators.ordering import order_stats
 
 _PREFIX = re.compile(r"^(<>|>=|<=|=|>|<)?(.*)$", re.S)
@@ -14,10 +15,8 @@ _PREFIX = re.compile(r"^(<>|>=|<=|=|>|<)?(.*)$", re.S)
 
 # --- wildcards and criteria -------------------------------------------------
 
-def wildcard_regex(pattern: str, whole: bool = True) -> str | None:
-    """Java regex of a ``* ? ~`` pattern; None when the pattern is too long to match."""
-    if len(pattern) > 255:
-        return None
+def wildcard_regex(pattern: str, whole: bool = True) -> str:
+    """Java regex of a ``* ? ~`` pattern."""
     out = []
     for esc, star, one, other in re.findall(r"~(.)|(\*)|(\?)|(.)", re.sub(r"(?<!~)((?:~~)*)~$", r"\1", pattern), re.S):
         out.append(".*" if star else "." if one else re.escape(esc or other))
@@ -26,8 +25,7 @@ def wildcard_regex(pattern: str, whole: bool = True) -> str | None:
 
 
 def wildcard_match(col: Column, pattern: str, whole: bool = True) -> Column:
-    rx = wildcard_regex(pattern, whole)
-    return F.lit(False) if rx is None else F.coalesce(col.rlike(rx), F.lit(False))
+    return F.coalesce(col.rlike(wildcard_regex(pattern, whole)), F.lit(False))
 
 
 def _compare(op: str | None, left: Column, right: Column) -> Column:
@@ -86,12 +84,20 @@ def filter_values(df: DataFrame, allowed: dict[str, list]) -> DataFrame:
 
 
 def custom_condition(col: Column, op: str, *args) -> Column:
-    """One custom filter condition; text is compared without case, blanks never satisfy a comparison."""
+    """One custom filter condition; text is compared without case, blanks satisfy only negations.
+
+    Equal and not-equal take ``* ? ~`` patterns on text.
+    """
     text = isinstance(args[0], str)
+    if text and op in ("eq", "ne"):
+        same = wildcard_match(col.cast("string"), args[0])
+        return same if op == "eq" else ~same
+    if op == "ne":
+        return ~F.coalesce(col == F.lit(args[0]), F.lit(False))
     c = F.lower(col) if text else col
     a = [F.lit(x.lower() if text else x) for x in args]
     yes = {
-        "eq": lambda: c == a[0], "ne": lambda: c != a[0], "gt": lambda: c > a[0], "lt": lambda: c < a[0],
+        "eq": lambda: c == a[0], "gt": lambda: c > a[0], "lt": lambda: c < a[0],
         "ge": lambda: c >= a[0], "le": lambda: c <= a[0],
         "between": lambda: (c >= a[0]) & (c <= a[1]), "notBetween": lambda: (c < a[0]) | (c > a[1]),
         "begins": lambda: c.startswith(a[0]), "ends": lambda: c.endswith(a[0]), "contains": lambda: c.contains(a[0]),
@@ -124,14 +130,16 @@ def filter_date_group(df: DataFrame, column: str, moment: datetime, unit: str) -
 def filter_top_n(df: DataFrame, column: str, n: int, percent: bool = False, bottom: bool = False) -> DataFrame:
     """Rows at or beyond the n-th largest (smallest) number, ties kept.
 
-    Item counts are limited to 500, so the threshold comes from a distributed
-    top-n; a percent is a share of all rows, so it comes from exact order statistics.
+    A count takes its threshold from a distributed top-n up to 10,000 items, beyond that
+    from exact order statistics, as does a percent, which is a share of all rows.
     """
-    if not 1 <= n <= 500:
-        raise ValueError("n must be between 1 and 500")
+    if n < 1:
+        raise ValueError("n must be at least 1")
     v = F.col(column)
     if percent:
         edge = order_stats(df, [], v, {"t": lambda c: F.ceil(c * float(n) / 100) - 1}, descending=not bottom).select("t").scalar()
+    elif n > 10_000:
+        edge = order_stats(df, [], v, {"t": lambda c: F.least(F.lit(n), c) - 1}, descending=not bottom).select("t").scalar()
     else:
         best = df.select(v.alias("v")).where(v.isNotNull()).orderBy(F.col("v").asc() if bottom else F.col("v").desc()).limit(n)
         edge = best.agg(F.max("v") if bottom else F.min("v")).scalar()
@@ -192,8 +200,8 @@ def rule(col: Column, kind: str, *args) -> Column:
         "startsWith": lambda: F.startswith(text(), word()), "endsWith": lambda: F.endswith(text(), word()),
         "isBlank": lambda: F.coalesce(F.trim(col.cast("string")) == "", F.lit(True)),
         "notBlank": lambda: F.coalesce(F.trim(col.cast("string")) != "", F.lit(False)),
-        "isError": lambda: F.startswith(col.cast("string"), F.lit("#")),
-        "notError": lambda: ~F.startswith(col.cast("string"), F.lit("#")),
+        "isError": lambda: col.cast("string").isin(*ERRORS),
+        "notError": lambda: ~col.cast("string").isin(*ERRORS),
         "expression": lambda: args[0],
     }
     found = table[kind]() if kind in table else custom_condition(col, kind, *args)

@@ -45,10 +45,12 @@ def sort_multi(df: DataFrame, keys: list[tuple[str, bool, bool, bool]], pos: str
     return df.orderBy(*order, F.col(pos))
 
 
-def clamp_limit(limit: int | None, default: int = 50) -> int:
-    return max(1, min(500, default if not limit or limit <= 0 else limit))
+def clamp_limit(limit: int | None, default: int = 50, most: int | None = None) -> int:
+    """The asked number of rows, or ``default`` if none is asked; ``most`` bounds it only where it is given."""
+    asked = default if not limit or limit <= 0 else limit
+    return asked if most is None else max(1, min(most, asked))
 
 
-def limit_clamp(df: DataFrame, order: list[Column], limit: int | None = None, default: int = 50) -> DataFrame:
-    """A top-k report whose k is at most 500; executed as a distributed top-k."""
-    return df.orderBy(*order).limit(clamp_limit(limit, default))
+def limit_clamp(df: DataFrame, order: list[Column], limit: int | None = None, default: int = 50, most: int | None = None) -> DataFrame:
+    """A top-k report, executed as a distributed top-k."""
+    return df.orderBy(*order).limit(clamp_limit(limit, default, most))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.functions import lexicon as lx
+from tallyloom.functions.cells import ERRORS
 from tallyloom.operators import corpus as co
 from tallyloom.plans.derived import papers, papers_sql, quote
 from tallyloom.plans.registry import query, sqlsig, sig
@@ -67,8 +68,8 @@ def _(spark, sf):
     return co.doc_title_authors(papers(spark, sf), "doc_id", "text").withColumn("authors", F.array_join("authors", " / "))
 
 
-_ABS = f"""left(coalesce((select body from sec where sec.doc_id=ln.doc_id and canonical='abstract' order by start_line limit 1),
- {_strip(f"regexp_extract(t, {_q(lx.ABSTRACT_BODY)}, 1)")}), 1500)"""
+_ABS = f"""coalesce((select body from sec where sec.doc_id=ln.doc_id and canonical='abstract' order by start_line limit 1),
+ {_strip(f"regexp_extract(t, {_q(lx.ABSTRACT_BODY)}, 1)")})"""
 
 
 @query("doc_abstract", f"with {_SECT} select doc_id, {_ABS} abstract from ln")
@@ -76,7 +77,7 @@ def _(spark, sf):
     return co.doc_abstract(papers(spark, sf), "doc_id", "text")
 
 
-_KW = f"list_filter(regexp_split_to_array(regexp_extract(t, {_q(lx.KEYWORD_BODY)}, 1), {_q(lx.KEYWORD_SPLIT)}), lambda x: x<>'')[1:12]"
+_KW = f"list_filter(regexp_split_to_array(regexp_extract(t, {_q(lx.KEYWORD_BODY)}, 1), {_q(lx.KEYWORD_SPLIT)}), lambda x: x<>'')"
 
 
 @query("doc_keywords", f"with {_NORM} select doc_id, cast(unnest(range(len(k))) as int) \"rank\", unnest(k) keyword from (select doc_id, {_KW} k from ln)")
@@ -214,7 +215,7 @@ _CORE, _SURF = _issues_sql()
 @query("doc_quality", f"""with {_SECT}, {_FULL}, {_CLASSED}, {_GRADED},
 qs as (select doc_id, list_filter({_CORE}, lambda x: x is not null) core, list_filter({_SURF}, lambda x: x is not null) surf from pc)
 select doc_id, grade, case grade when 'A' then 'sound' when 'B' then 'strengthen' when 'C' then 'major revision' else 'redesign' end verdict,
- array_to_string(list_concat(core, surf), ',') issues, array_to_string(list_transform(core[1:5], lambda x: string_split(x, ':')[2]), ',') core_issues from qs join gr using (doc_id)""")
+ array_to_string(list_concat(core, surf), ',') issues, array_to_string(list_transform(core, lambda x: string_split(x, ':')[2]), ',') core_issues from qs join gr using (doc_id)""")
 def _(spark, sf):
     d = co.doc_quality(papers(spark, sf), "doc_id", "text")
     return d.select("doc_id", "grade", "verdict", F.array_join(F.transform("issues", lambda x: F.concat_ws(":", x["level"], x["issue"])), ",").alias("issues"),
@@ -223,13 +224,13 @@ def _(spark, sf):
 
 def _clean(x):
     a = f"regexp_replace({_strip(x)}, '[\"''“”‘’（）()]', '', 'g')"
-    return f"left(regexp_replace(regexp_replace({a}, '^(本文|本研究|主要|核心)', ''), '^[ ：:，,。；;]+|[ ：:，,。；;]+$', '', 'g'), 30)"
+    return f"regexp_replace(regexp_replace({a}, '^(本文|本研究|主要|核心)', ''), '^[ ：:，,。；;]+|[ ：:，,。；;]+$', '', 'g')"
 
 
 _ROLE_SQL = ", ".join(
-    "list_transform(flatten(list_transform(regexp_extract_all(t, " + _q(name + r"(?:为|是|包括|：|:)\s*([^。；;\n]{1," + str(w) + "})") +
+    "list_transform(flatten(list_transform(regexp_extract_all(t, " + _q(name + r"(?:为|是|包括|：|:)\s*([^。；;\n]+)") +
     f", 1), lambda b: regexp_split_to_array(b, {_q('[、，,及和与' + chr(92) + 's]+')}))), lambda x: struct_pack(l := {_clean('x')}, r := '{role}'))"
-    for role, (name, w) in lx.VARIABLE_ROLES.items())
+    for role, name in lx.VARIABLE_ROLES.items())
 _PAIR_SQL = ", ".join(
     f"flatten(list_transform(list_zip(regexp_extract_all(t, {_q(p)}, 1), regexp_extract_all(t, {_q(p)}, 2)), "
     f"lambda z: [struct_pack(l := {_clean('z[1]')}, r := '自变量'), struct_pack(l := {_clean('z[2]')}, r := '因变量')]))" for p in (lx.EFFECT_OF, lx.AFFECTS))
@@ -243,7 +244,7 @@ cb as (select doc_id, case when (contains(t,'DID') or contains(t,'双重差分')
 cc as (select doc_id, unnest(range(len(c))) i, unnest(c) v from cb),
 cd as (select doc_id, v.l l, v.r r, min(i) i from cc where v.l<>'' and v.l not in ({', '.join(quote(w) for w in lx.VARIABLE_STOP)}) group by 1,2,3),
 ce as (select *, row_number() over (partition by doc_id order by i) k from cd)
-select doc_id, cast(k as int) "rank", l "label", r "role" from ce where k<=24""")
+select doc_id, cast(k as int) "rank", l "label", r "role" from ce""")
 def _(spark, sf):
     return co.var_candidates(papers(spark, sf), "doc_id", "text")
 
@@ -271,11 +272,11 @@ def _edge(x, chars):
 
 
 _PARSED = f"""pa as (select *, {_strip(f"regexp_replace(entry, {_q(lx.ENTRY_NUMBER)}, '')")} body, regexp_extract(entry, '(?:19|20)\\d{{2}}') "year" from ent),
-pb as (select *, case when body='' then '' when contains(body,'.') then left({_strip("string_split(body,'.')[1]")},80) when contains(body,'，') then left({_strip("string_split(body,'，')[1]")},80)
- when contains(body,',') then left({_strip("string_split(body,',')[1]")},80) when regexp_matches(body, '(?:19|20)\\d{{2}}') then left({_edge("regexp_split_to_array(body, '(?:19|20)[0-9]{2}')[1]", ' .，,()（）')},80)
- when length(body)<=60 then left(body,30) else '' end author_hint from pa),
+pb as (select *, case when body='' then '' when contains(body,'.') then {_strip("string_split(body,'.')[1]")} when contains(body,'，') then {_strip("string_split(body,'，')[1]")}
+ when contains(body,',') then {_strip("string_split(body,',')[1]")} when regexp_matches(body, '(?:19|20)\\d{{2}}') then {_edge("regexp_split_to_array(body, '(?:19|20)[0-9]{2}')[1]", ' .，,()（）')}
+ when length(body)<=60 then body else '' end author_hint from pa),
 pc_ as (select *, {_strip("substr(body, length(regexp_split_to_array(body, '[.。]')[1])+2)")} sec_, regexp_replace(body, '[\\(（]?(?:19|20)\\d{{2}}[\\)）]?[.，, ]*', '', 'g') ny from pb),
-pd_ as (select *, case when regexp_matches(body,'[.。]') and sec_<>'' then left(sec_,120) else left({_edge("case when author_hint='' then ny else replace(ny, author_hint, '') end", ' .，,')},120) end title_hint from pc_),
+pd_ as (select *, case when regexp_matches(body,'[.。]') and sec_<>'' then sec_ else {_edge("case when author_hint='' then ny else replace(ny, author_hint, '') end", ' .，,')} end title_hint from pc_),
 prs as materialized (select doc_id, entry_no, entry, coalesce(nullif(regexp_extract(entry, {_q(lx.ENTRY_NUMBER)}, 1), ''), regexp_extract(entry, {_q(lx.ENTRY_NUMBER)}, 2)) "number", "year",
  regexp_extract(entry, {_q(lx.DOI_PATTERN)}) doi, author_hint, title_hint,
  array_to_string(list_filter([case when "year"='' then 'year missing' end, case when length(body)<12 then 'too short' end, case when author_hint='' then 'author unclear' end,
@@ -300,10 +301,10 @@ _CROSS = f"""cn as (select distinct doc_id, unnest(regexp_extract_all(text, '\\[
 en as (select distinct doc_id, "number" n from prs where "number"<>''),
 cx as (select 'cited_not_listed' problem, doc_id, n::bigint n from cn where doc_id in (select doc_id from en) and not exists (select 1 from en where en.doc_id=cn.doc_id and en.n=cn.n)
  union all select 'listed_not_cited', doc_id, n::bigint from en where doc_id in (select doc_id from cn) and not exists (select 1 from cn where en.doc_id=cn.doc_id and en.n=cn.n)),
-cy as (select *, row_number() over (partition by problem, doc_id order by n) k from cx)"""
+cy as (select * from cx)"""
 
 
-@query("cite_crosscheck", f"with {_PAPER}, {_REFS}, {_PARSED}, {_CROSS} select doc_id, problem, n \"number\" from cy where k<=8")
+@query("cite_crosscheck", f"with {_PAPER}, {_REFS}, {_PARSED}, {_CROSS} select doc_id, problem, n \"number\" from cy")
 def _(spark, sf):
     return co.cite_crosscheck(papers(spark, sf), "doc_id", "text")
 
@@ -318,7 +319,7 @@ cx as (select 'cited_not_listed' risk, doc_id, n::bigint n from ca where doc_id
 select doc_id, 'no_list' risk, 'references' place from paper where doc_id not in (select doc_id from ent)
 union all select doc_id, 'no_citations', 'text' from paper where not {_INL}
 union all select doc_id, 'format', entry_no::varchar from prs where risks<>''
-union all select doc_id, risk, n::varchar from (select *, row_number() over (partition by risk, doc_id order by n) k from cx) where k<=8
+union all select doc_id, risk, n::varchar from cx
 union all select doc_id, 'not_verified', 'all' from paper""")
 def _(spark, sf):
     return co.ref_risks(papers(spark, sf), "doc_id", "text")
@@ -440,7 +441,7 @@ _FORM = """(select l_orderkey, l_linenumber, l_partkey, case l_linenumber when 1
 
 
 @query("formula_audit", f"""select l_orderkey, l_linenumber, l_partkey, 'unguarded' problem from {_FORM} where (contains(upper(fm),'/') or contains(upper(fm),'VLOOKUP')) and not contains(upper(fm),'IFERROR')
- union all select l_orderkey, l_linenumber, l_partkey, 'error_value' from {_FORM} where starts_with(v,'#')""")
+ union all select l_orderkey, l_linenumber, l_partkey, 'error_value' from {_FORM} where v in ({', '.join(quote(e) for e in ERRORS)})""")
 def _(spark, sf):
     n = F.col("l_linenumber")
     f = table(spark, sf, "lineitem").select(

@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from tallyloom.functions.cells import ERRORS
 from tallyloom.operators import filters as fl, sorting as so
 from tallyloom.operators.ordering import number_chunk, time_chunk, with_prefix
 from tallyloom.plans.registry import query, sig, sqlsig
@@ -74,7 +75,11 @@ def _(spark, sf):
         .select("o_orderkey", "o_orderstatus", "o_orderpriority")
 
 
+_ERRORS_SQL = ", ".join(f"'{e}'" for e in ERRORS)
+
 _CUSTOM = [
+    ("eq_pattern", ("p_name", ("eq", "*re?*")), "regexp_matches(p_name, '(?is)^.*re..*$')"),
+    ("ne_pattern", ("p_type", ("ne", "s*")), "not regexp_matches(p_type, '(?is)^s.*$')"),
     ("eq", ("p_type", ("eq", "economy")), "lower(p_type)='economy'"),
     ("ne", ("p_type", ("ne", "economy")), "lower(p_type)<>'economy'"),
     ("gt_and_le", ("p_size", ("gt", 10), ("le", 20)), "p_size>10 and p_size<=20"),
@@ -174,7 +179,7 @@ _RULES = {
     "has": ("v", "contains", ("ring",), "contains(lower(v),'ring')"), "hasnt": ("v", "notContains", ("ring",), "not contains(lower(v),'ring')"),
     "starts": ("v", "startsWith", ("b",), "starts_with(lower(v),'b')"), "ends": ("v", "endsWith", ("t",), "ends_with(lower(v),'t')"),
     "blank": ("v", "isBlank", (), "v is null or trim(v)=''"), "notblank": ("v", "notBlank", (), "v is not null and trim(v)<>''"),
-    "err": ("v", "isError", (), "starts_with(v,'#')"), "noterr": ("v", "notError", (), "not starts_with(v,'#')"),
+    "err": ("v", "isError", (), f"v in ({_ERRORS_SQL})"), "noterr": ("v", "notError", (), f"v not in ({_ERRORS_SQL})"),
 }
 
 
@@ -342,6 +347,6 @@ def _(spark, sf):
     return so.sort_multi(o, [("o_orderstatus", True, True, False), ("o_orderdate", False, True, False), ("o_totalprice", True, True, False)], "o_orderkey")
 
 
-@query("limit_clamp", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 500")
+@query("limit_clamp", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 9000")
 def _(spark, sf):
     return so.limit_clamp(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 9000)

@@ -21,6 +21,7 @@ def build_session(app: str = "tallyloom", cores: str | None = None) -> SparkSess
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TL_DRIVER_MEM", "12g"))
+        .config("tallyloom.text.partitions", cores)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

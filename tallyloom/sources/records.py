@@ -123,7 +123,7 @@ def norm_metaso(raw: DataFrame, column: str = "value", pos: str = "pos") -> Data
     authors = F.array_distinct(F.filter(F.coalesce("authors", F.array().cast("array<string>")), lambda x: F.trim(x) != ""))
     link = F.coalesce("link", F.lit(""))
     return as_records(w.select(
-        "pos", F.coalesce(F.nullif(link, F.lit("")), F.left(F.md5(F.coalesce("title", F.lit(""))), F.lit(8))).alias("id"), F.coalesce("title", F.lit("")).alias("title"),
+        "pos", F.coalesce(F.nullif(link, F.lit("")), F.md5(F.coalesce("title", F.lit("")))).alias("id"), F.coalesce("title", F.lit("")).alias("title"),
         F.coalesce("snippet", F.lit("")).alias("abstract"), F.left("date", F.lit(4)).try_cast("int").alias("year"), link.alias("landing_page_url"),
         authors.alias("authors"), F.get(authors, F.lit(0)).alias("first_author"), F.array(F.lit("metaso")).alias("retrieved_from"),
         F.when(link != "", F.create_map(F.lit("metaso"), link)).otherwise(F.create_map().cast("map<string,string>")).alias("source_ids")))

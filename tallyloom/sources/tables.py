@@ -14,16 +14,13 @@ TABLES = (
 TEXT_TABLES = ("documents", "pages", "conversations")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer splits than the cluster has cores.
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the folder.
 
-    One small file is one split and would leave every core but one idle.  Tables with
-    enough splits, which is every large one, are left as they are and never shuffled here.
+    Where the session names a number in ``tallyloom.text.partitions``, text tables are dealt
+    to so many partitions: a local run over one small file would otherwise use one core.
+    Unset, as on a cluster, they stay as the scan splits them.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    parts = spark.conf.get("tallyloom.text.partitions", None)
+    return df.repartition(int(parts)) if parts and name in TEXT_TABLES else df
