@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyloom.session import cut_lineage
+from tallyloom.session import Steps, cut_lineage
 
 
 def vertices_of(edges: DataFrame) -> DataFrame:
@@ -37,12 +37,12 @@ def pagerank(edges: DataFrame, vertices: DataFrame | None = None, rounds: int =
     if n == 0:
         return nodes.withColumn("rank", F.lit(0.0))
     base = nodes.select("id", F.lit((1 - omega) / n).alias("p"))
-    rank = nodes.select("id", F.lit(1.0 / n).alias("p"))
+    rank, steps = nodes.select("id", F.lit(1.0 / n).alias("p")), Steps()
     for i in range(1, rounds + 1):
         sent = links.join(rank, links["u"] == rank["id"]).select(F.col("v").alias("id"), (F.col("share") * F.col("p") * omega).alias("p"))
         rank = base.unionByName(sent).groupBy("id").agg(F.sum("p").alias("p"))
         if i % cut_every == 0 and i < rounds:
-            rank = cut_lineage(rank)
+            rank = steps.cut(rank)
     return rank.withColumnRenamed("p", "rank")
 
 
@@ -55,7 +55,8 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
     """
     pairs = cut_lineage(both_ways(edges.select("src", "dst")).where("src <> dst").distinct())
     nodes = (vertices if vertices is not None else vertices_of(edges)).select("id")
-    labels = cut_lineage(nodes.select("id", F.col("id").alias("component")))
+    steps = Steps()
+    labels = steps.cut(nodes.select("id", F.col("id").alias("component")))
     while True:
         own = labels.select(F.col("id").alias("src"), F.col("component").alias("_own"))
         theirs = labels.select(F.col("id").alias("dst"), F.col("component").alias("_near"))
@@ -66,7 +67,7 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
         jump = low.select(F.col("id").alias("component"), F.col("component").alias("_root"))
         after = low.join(jump, "component").select("id", F.col("_root").alias("component"))
         before = labels.select("id", F.col("component").alias("_old"))
-        after = cut_lineage(after)
+        after = steps.cut(after)
         changed = after.join(before, "id").where("component <> _old").limit(1).count()
         labels = after
         if not changed:
@@ -80,27 +81,30 @@ def topo_order(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame
     no row.
     """
     links = cut_lineage(edges.select("src", "dst").distinct())
-    left = cut_lineage((vertices if vertices is not None else vertices_of(edges)).select("id"))
-    done, level = None, 0
-    while True:
-        blocked = links.select(F.col("dst").alias("id")).distinct()
-        free = cut_lineage(left.join(blocked, "id", "left_anti").withColumn("level", F.lit(level)))
-        if free.isEmpty():
-            return done if done is not None else free
-        done = free if done is None else done.unionByName(free)
-        gone = free.select("id")
-        links = cut_lineage(links.join(gone.withColumnRenamed("id", "src"), "src", "left_anti"))
-        left = cut_lineage(left.join(gone, "id", "left_anti"))
+    nodes = (vertices if vertices is not None else vertices_of(edges)).select("id").distinct()
+    waiting = links.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("open"))
+    steps, level = Steps(), 0
+    open_edges = steps.cut(waiting)
+    done = free = cut_lineage(nodes.join(open_edges, "id", "left_anti").withColumn("level", F.lit(0)))
+    while not free.isEmpty():
         level += 1
+        # the edges of the last level alone are subtracted from the counts of what they point at
+        met = free.join(links, free["id"] == links["src"]).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("gone"))
+        open_edges = steps.cut(open_edges.join(met, "id", "left").select("id", (F.col("open") - F.coalesce("gone", F.lit(0))).alias("open")).where("open >= 0"))
+        free = cut_lineage(open_edges.where("open = 0").select("id", F.lit(level).alias("level")))
+        open_edges = open_edges.where("open > 0")
+        done = done.unionByName(free)
+    return done
 
 
 def cyclic_core(edges: DataFrame) -> DataFrame:
     """Edges left after sources and sinks are trimmed round by round."""
-    core = cut_lineage(edges.select("src", "dst").distinct())
+    steps = Steps()
+    core = steps.cut(edges.select("src", "dst").distinct())
     size = core.count()
     while size:
         heads, tails = core.select(F.col("dst").alias("src")).distinct(), core.select(F.col("src").alias("dst")).distinct()
-        kept = cut_lineage(core.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst"))
+        kept = steps.cut(core.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst"))
         now = kept.count()
         core = kept
         if now == size:
@@ -130,7 +134,8 @@ def mst(edges: DataFrame) -> DataFrame:
     edge leaving each component, joins the components it links, and drops inner edges.
     """
     low, high = F.least("src", "dst"), F.greatest("src", "dst")
-    live = cut_lineage(edges.where("src <> dst").groupBy(low.alias("src"), high.alias("dst")).agg(F.min("weight").alias("weight"))
+    steps = Steps()
+    live = steps.cut(edges.where("src <> dst").groupBy(low.alias("src"), high.alias("dst")).agg(F.min("weight").alias("weight"))
                        .withColumn("a", F.col("src")).withColumn("b", F.col("dst")))
     chosen = None
     while not live.isEmpty():
@@ -147,7 +152,7 @@ def mst(edges: DataFrame) -> DataFrame:
             "src", "dst", "weight", F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
         # parallel edges between two components can never all be needed: keep the lightest
         pair = moved.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(key).alias("k"))
-        live = cut_lineage(pair.select("k.src", "k.dst", "k.weight", "a", "b"))
+        live = steps.cut(pair.select("k.src", "k.dst", "k.weight", "a", "b"))
     return chosen if chosen is not None else live.select("src", "dst", "weight")
 
 
@@ -159,16 +164,17 @@ def distances(edges: DataFrame, sources: DataFrame, directed: bool = False) -> D
     """
     links = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
     links = cut_lineage((links if directed else both_ways(links)).groupBy("src", "dst").agg(F.min("weight").alias("weight")))
-    known = cut_lineage(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("distance")))
+    steps, front = Steps(), Steps()
+    known = steps.cut(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("distance")))
     moved = known
     while True:
         sent = moved.join(links, moved["id"] == links["src"]).select(
             "source", F.col("dst").alias("id"), (F.col("distance") + F.col("weight")).alias("_d")).groupBy("source", "id").agg(F.min("_d").alias("_d"))
-        better = cut_lineage(sent.join(known, ["source", "id"], "left").where(F.col("distance").isNull() | (F.col("_d") < F.col("distance")))
+        better = front.cut(sent.join(known, ["source", "id"], "left").where(F.col("distance").isNull() | (F.col("_d") < F.col("distance")))
                              .select("source", "id", F.col("_d").alias("distance")))
         if better.isEmpty():
             return known
-        known = cut_lineage(known.unionByName(better).groupBy("source", "id").agg(F.min("distance").alias("distance")))
+        known = steps.cut(known.unionByName(better).groupBy("source", "id").agg(F.min("distance").alias("distance")))
         moved = better
 
 

@@ -1,7 +1,8 @@
 """Queries over live series.
 
-``stream_buckets`` and ``stream_stats`` run the streaming operator on the events file
-with an available-now trigger and return the sink; the SQL states the batch result.
+Each query replays the events table as a stream of several micro-batches (one file per
+trigger) through the streaming operator and returns the sink; the SQL states the batch
+result, so state carried from batch to batch is part of what is checked.
 """
 
 from __future__ import annotations
@@ -10,28 +11,37 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tallyloom.operators import series as se
 from tallyloom.plans.registry import query, sig, sqlsig
 from tallyloom.session import shared_folder
 from tallyloom.sources.tables import table
 from tallyloom.streaming import live
 
 
-def _events(spark, sf):
-    schema = table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+def _events(spark, sf, files=4):
+    """The events table as files that arrive one by one."""
+    events = table(spark, sf, "events")
+    folder = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
+    events.repartition(files).write.parquet(folder)
+    return live.events_stream(spark, folder, events.schema, files_per_batch=1)
 
 
-def _sink(spark, stream, mode):
-    """Rows of the finished stream, written by its batches to the shared folder."""
-    tag = uuid.uuid4().hex
-    root = f"{shared_folder(spark)}/stream-{tag}"
+def _sink(spark, stream, mode, keys=()):
+    """Rows of the finished stream: the last batch (complete), the last row of each key (update) or all rows (append)."""
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def put(batch, number):
-        batch.write.mode("overwrite").parquet(f"{root}/out")
+        # a batch that is run again replaces its own files only
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
     q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+    out = spark.read.option("basePath", f"{root}/out").parquet(f"{root}/out/*")
+    if mode == "complete":
+        return out.where(F.col("batch") == out.agg(F.max("batch")).scalar()).drop("batch")
+    if mode == "update":
+        return out.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("_last")).select("_last.*")
+    return out.drop("batch")
 
 
 @query("stream_buckets", """select event_type, date_trunc('hour', ts) bucket, count(*) n, round(sum(value),4) total from events group by 1,2""")
@@ -49,6 +59,14 @@ def _(spark, sf):
 @query("stream_lastn_live", f"""select event_type series, {sqlsig('arg_max(value, event_id)')} newest, min(value) all_min, max(value) all_max, count(*) total,
  (select array_to_string(list_transform(list(e2.value order by e2.event_id), lambda v: printf('%.2f', v)), ',') from (select * from events e1 where e1.event_type=e.event_type order by event_id desc limit 20) e2) last_values from events e group by 1""")
 def _(spark, sf):
-    d = _sink(spark, live.stream_lastn(_events(spark, sf), "event_type", "event_id", "value", 20), "update")
+    d = _sink(spark, live.stream_lastn(_events(spark, sf), "event_type", "event_id", "value", 20), "update", ["series"])
     shown = F.array_join(F.transform("values", lambda v: F.format_string("%.2f", v)), ",")
     return d.select("series", sig("newest").alias("newest"), "all_min", "all_max", "total", shown.alias("last_values"))
+
+
+@query("stream_log_live", "select user_id, min(value) y_min, max(value) y_max, count(*) n from events where ts>=timestamp '2024-01-05' and ts<timestamp '2024-01-20' group by 1")
+def _(spark, sf):
+    at = lambda s: F.lit(s).cast("timestamp_ntz")
+    lo, hi = at("2024-01-05 00:00:00"), at("2024-01-20 00:00:00")
+    logged = _sink(spark, live.stream_log(_events(spark, sf), "ts", lo, hi), "append")
+    return se.range_in(logged, ["user_id"], "ts", lo, hi, "value")

@@ -29,9 +29,15 @@ def build_session(app: str = "tallyloom", cores: str | None = None) -> SparkSess
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder a cluster names in ``spark.checkpoint.dir``; a scratch folder only where that is unset."""
+    """The folder that driver and executors share: the one the session names in ``spark.checkpoint.dir``.
+
+    Only a local session, where both are one process, may do without; it gets a scratch
+    folder.  On a cluster a folder of one machine would lose what other machines write.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -48,3 +54,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Steps:
+    """The versions of one table of a loop: each cut keeps the new one and the one before, and removes older files."""
+
+    def __init__(self):
+        self.held: list[DataFrame] = []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.held.append(cut_lineage(df))
+        if len(self.held) > 2:
+            remove(self.held.pop(0))
+        return self.held[-1]
+
+
+def remove(df: DataFrame) -> None:
+    """Delete the files of a written step that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
