@@ -11,7 +11,8 @@ sent to each part once.  No block is ever compared through the driver.
 
 Defined cases: vectors that are null, hold null or non-finite components, or have no id
 take no part; only vectors of equal length are compared; repeated candidate rows all
-count; of repeated query ids the smallest vector is asked; extra columns are ignored.
+count; of repeated query ids the smallest vector is asked; a score beyond the range of
+a long stands at its end; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -111,7 +112,7 @@ def _exact(q: np.ndarray, own: int, ids: np.ndarray, m: np.ndarray, k: int) -> l
     """Whole-number scores of components too large for exact doubles."""
     whole = [int(x) for x in q]
     scores = [(-sum(a * int(b) for a, b in zip(whole, col)), int(i)) for i, col in zip(ids, m.T) if i != own]
-    return [(i, -s) for s, i in sorted(scores)[:k]]
+    return [(i, max(-(1 << 63), min((1 << 63) - 1, -s))) for s, i in sorted(scores)[:k]]
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, scale: float = 1024.0, step: int = 8, block: int = 4096, query_block: int = 512,

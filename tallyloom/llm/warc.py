@@ -128,7 +128,7 @@ def _writer(folder: str, archive_bytes: int, sample_bytes: int, dictionary_bytes
             where, base = _place(folder)
             where.create_dir(base, recursive=True)
             total = 0
-            with where.open_output_stream(f"{base}/{name}") as f:
+            with where.open_output_stream(f"{base}/{name}", compression=None) as f:
                 for x in frames(held, train(sample, dictionary_bytes), level):
                     total += len(x)
                     f.write(x)
@@ -157,7 +157,7 @@ def _reader(folder: str, payloads: bool):
             for b in it:
                 for name in b.column(0).to_pylist():
                     where, base = _place(folder)
-                    with where.open_input_stream(f"{base}/{name}") as f:
+                    with where.open_input_stream(f"{base}/{name}", compression=None) as f:
                         for raw in read_archive(f):
                             row = parse(raw)
                             yield row if payloads else (*row[:6], None)
