@@ -5,7 +5,7 @@ the other five.  Seeds of all training positions meet the seeds of all benchmark
 positions in a hash join, and each hit names a diagonal on which the two texts are
 compared word by word.  The overlap reported for a document and an item is the longest
 run on a diagonal with at least ``percent`` % equal words.  It counts from ``words`` words
-on, or from the whole item if that is shorter.
+on, or if that share of the whole item is there.
 
 With 20 % of the words replaced, any overlap of 13 words or more has six words in a row
 with at most one replaced, so one of the five masks hits it: nothing of that kind is
@@ -111,7 +111,7 @@ def _verify(percent: int, words: int):
                             continue
                         equal = item[lo:hi] == h[lo + c["diagonal"]:hi + c["diagonal"]]
                         at, n = longest_run(equal, percent)
-                        if n >= min(words, len(item)):
+                        if n >= min(words, len(item)) or 100 * int(equal.sum()) >= percent * len(item):
                             yield doc_id, c["item_id"], lo + at + c["diagonal"], lo + at, n, int(equal[at:at + n].sum())
 
         yield from batches(out(), kinds)
