@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -31,23 +32,26 @@ def as_records(df: DataFrame) -> DataFrame:
 
 # --- normalisation ---------------------------------------------------------------
 
-_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000"
-_NARROW = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
+# Characters that compatibility composition leaves alone wherever they stand: ASCII, Latin-1
+# letters and signs, Cyrillic letters, common punctuation, CJK ideographs.  A text of only
+# these needs no composition; tests hold the class against Unicode data.
+STABLE = r"\x00-\x7f\xa1-\xa7\xa9\xab-\xae\xb0\xb1\xb6\xb7\xbb\xbf-\xff\u0400-\u0482\u2010\u2012-\u2016\u2018-\u201f\u3001-\u3029\u4e00-\u9fff"
 
 
 @F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
-    """Full compatibility composition in Arrow batches, for callers that ask for it."""
+    """Full compatibility composition in Arrow batches."""
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-def norm_text(col: Column, full: bool = False) -> Column:
-    """Fold width, drop control characters, lower-case, single spaces.
+def norm_text(col: Column) -> Column:
+    """Compatibility composition, no control characters, lower case, single spaces.
 
-    The built-in path folds full-width ASCII; ``full`` applies complete NFKC.
+    Only texts with a character outside ``STABLE`` go to Python; for all others a NULL goes
+    there.
     """
     c = F.coalesce(col, F.lit(""))
-    c = nfkc(c) if full else F.when(c.rlike("[\uff01-\uff5e\u3000]"), F.translate(c, _WIDE, _NARROW)).otherwise(c)
+    c = F.coalesce(nfkc(F.when(c.rlike(f"[^{STABLE}]"), c)), c)
     c = F.regexp_replace(c, r"[\x00-\x1f\x7f-\x9f]", "")
     return F.trim(F.regexp_replace(F.lower(c), r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " "))
 
@@ -109,10 +113,16 @@ def _terms(node: tuple, positive: bool = True) -> list[tuple]:
     return [t for n in node[1:] for t in _terms(n, positive != (node[0] == "not"))]
 
 
+def norm_term(value: str) -> str:
+    """:func:`norm_text` of a search term, worked out while planning."""
+    bare = re.sub(r"[\x00-\x1f\x7f-\x9f]", "", unicodedata.normalize("NFKC", value))
+    return " ".join(bare.lower().split())
+
+
 def concept_terms(node: tuple) -> list[str]:
     """Distinct normalised positive text terms of an expression, sorted (computed while planning)."""
     skip = {"CF", "YE", "DOI"}
-    return sorted({" ".join(unicodedata.normalize("NFKC", t[2]).lower().split()) for t in _terms(node) if t[1].upper() not in skip} - {""})
+    return sorted({norm_term(t[2]) for t in _terms(node) if t[1].upper() not in skip} - {""})
 
 
 def _evaluate(node: tuple, recall: bool, fields: Column) -> tuple[Column, Column]:
@@ -144,7 +154,7 @@ def _evaluate(node: tuple, recall: bool, fields: Column) -> tuple[Column, Column
     if field == "DOI":
         hit = F.coalesce(norm_doi(F.col("doi")) == norm_doi(F.lit(value)), F.lit(False))
         return hit, F.when(hit, F.array(F.lit("DOI"))).otherwise(empty)
-    needle = " ".join(value.lower().split())
+    needle = norm_term(value)
     text = fields[field]
     hit = F.contains(text, F.lit(needle)) if needle else F.lit(False)
     said = F.when(hit, F.array(F.lit(f"{field}:{value}"))).otherwise(empty)
@@ -159,7 +169,7 @@ def _evaluate(node: tuple, recall: bool, fields: Column) -> tuple[Column, Column
     return hit, said
 
 
-def bool_filter(records: DataFrame, node: tuple, recall: bool = False, full_nfkc: bool = False) -> DataFrame:
+def bool_filter(records: DataFrame, node: tuple, recall: bool = False) -> DataFrame:
     """Records satisfying a Boolean field expression, with the reasons in ``match_reasons``.
 
     Every searched field is normalised once per evaluation; the expression is one
@@ -167,7 +177,7 @@ def bool_filter(records: DataFrame, node: tuple, recall: bool = False, full_nfkc
     """
     names = sorted(_fields_used(node)) or ["SU"]
     default = lambda: _join(F.col("title"), F.col("abstract"), _list("keywords"))
-    texts = F.struct(*[norm_text(FIELDS.get(f, default)(), full_nfkc).alias(f) for f in names])
+    texts = F.struct(*[norm_text(FIELDS.get(f, default)()).alias(f) for f in names])
     kept = records.where(let(texts, lambda f: _evaluate(node, recall, f)[0]))
     return kept.withColumn("match_reasons", F.concat("match_reasons", let(texts, lambda f: _evaluate(node, recall, f)[1])))
 
