@@ -358,18 +358,25 @@ def _(spark, sf):
 
 # Generators run along the orders table: row i of n gets the i-th sample.
 @query("gen_series", f"""with o as (select o_orderkey i, o_custkey k, (select count(*) from orders) n from orders)
-select i, round(5+i*0.5::double, 6) cons, {sqlsig('-1+i*(2.0::double/(14999))', 8)} rng, round(sin(i*(2*pi()*3/14999)+0.5*pi())*2+1, 6) sn, case when (i//100)%2=0 then -1.0::double else 1.0::double end sq,
+select i, round(5+i*0.5::double, 6) cons, {sqlsig('-1+i*(2.0::double/(n-1))', 8)} rng, round(sin(i*(2*pi()*3/(n-1))+0.5*pi())*2+1, 6) sn, case when (i//100)%2=0 then -1.0::double else 1.0::double end sq,
  cast(sum(i%3-1) over (partition by k order by i rows unbounded preceding) as double) walk from o""")
 def _(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("i"), F.col("o_custkey").alias("k"))
-    i = F.col("i")
+    orders = table(spark, sf, "orders")
+    o = orders.select(F.col("o_orderkey").alias("i"), F.col("o_custkey").alias("k"), orders.agg(F.count(F.lit(1))).scalar().alias("n"))
+    i, n = F.col("i"), F.col("n")
     w = ge.random_walk(o, ["k"], "i", (i % 3 - 1).cast("double"))
-    return w.select("i", F.round(ge.consecutive(i, 5, 0.5), 6).alias("cons"), sig(ge.linear_range(i, 15000, -1, 1), 8).alias("rng"),
-                    F.round(ge.sin(i, 15000, 2, 1, 3, 0.25), 6).alias("sn"), ge.square(i, 100, -1, 1).alias("sq"), "walk")
+    return w.select("i", F.round(ge.consecutive(i, 5, 0.5), 6).alias("cons"), sig(ge.linear_range(i, n, -1, 1), 8).alias("rng"),
+                    F.round(ge.sin(i, n, 2, 1, 3, 0.25), 6).alias("sn"), ge.square(i, 100, -1, 1).alias("sq"), "walk")
+
 
+def _unit_sql(seed, draw=0):
+    return f"(('0x' || substr(md5('{seed}-' || o_orderkey || '-{draw}'), 1, 13))::bigint::double / {1 << 52}::double)"
 
-@query("gen_noise")
+
+@query("gen_noise", f"""select o_orderkey i, {_unit_sql(1)} uniform, {sqlsig(f"sqrt(-2*ln(1-{_unit_sql(2)}))*cos(2*pi()*{_unit_sql(2, 1)})", 8)} normal,
+ {sqlsig(f"o_totalprice+({_unit_sql(3)}-0.5)*10")} noisy from orders""")
 def _(spark, sf):
-    """Seeded random, normal and noisy values beside each order; the engine's generators have no SQL twin."""
+    """Seeded random, normal and noisy values beside each order."""
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("i"), "o_totalprice")
-    return o.select("i", ge.random_sample(1).alias("uniform"), ge.random_normal(2).alias("normal"), ge.add_noise(F.col("o_totalprice"), F.col("i"), 10, 3).alias("noisy"))
+    i = F.col("i")
+    return o.select("i", ge.random_sample(i, 1).alias("uniform"), sig(ge.random_normal(i, 2), 8).alias("normal"), sig(ge.add_noise(F.col("o_totalprice"), i, 10, 3)).alias("noisy"))
