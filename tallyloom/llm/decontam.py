@@ -87,12 +87,10 @@ def longest_run(equal: np.ndarray, percent: int) -> tuple[int, int]:
         return 0, 0
     sums = np.concatenate([[0], np.cumsum(np.where(equal, 100 - percent, -percent))])
     low = np.minimum.accumulate(sums[:-1][at])  # earliest start whose sum is low enough
-    best = (0, 0)
-    for e in at.tolist():
-        i = int(np.searchsorted(-low, -sums[e + 1]))
-        if i < len(at) and at[i] <= e and e + 1 - at[i] > best[1]:
-            best = (int(at[i]), e + 1 - int(at[i]))
-    return best
+    first = np.minimum(np.searchsorted(-low, -sums[at + 1]), np.arange(len(at)))
+    sizes = np.where(low[first] <= sums[at + 1], at + 1 - at[first], 0)
+    best = int(sizes.argmax())
+    return int(at[first[best]]), int(sizes[best])
 
 
 def _verify(percent: int, words: int):

@@ -248,8 +248,8 @@ def _scorer(model: dict[str, np.ndarray], share: dict[str, float], path: str):
 
 
 def predict(docs: DataFrame, model: dict[str, np.ndarray], share: dict[str, float], path: str = VOCABULARY, text_col: str = "text",
-            chunk: int = 4 << 20) -> DataFrame:
-    """``docs`` with lang_pred and score; the text is the only input."""
+            chunk: int = 4 << 20, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with lang_pred and score (or the names in ``into``); the text is the only input."""
     score = _scorer(model, share, path)
     where = docs.columns.index(text_col)
 
@@ -264,9 +264,9 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], share: dict[str, floa
                     tags += got[0]
                     sure += got[1]
                     lo, size = i + 1, 0
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tags, pa.string()), pa.array(sure, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tags, pa.string()), pa.array(sure, pa.float64())], [*b.schema.names, *into])
 
-    schema = StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType())
+    schema = StructType(list(docs.schema.fields)).add(into[0], StringType()).add(into[1], DoubleType())
     return docs.mapInArrow(run, schema)
 
 

@@ -3,7 +3,7 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).parents[2]))
+sys.path[:0] = [str(Path(__file__).parents[2]), str(Path(__file__).parent)]
 
 
 @pytest.fixture(scope="session")
