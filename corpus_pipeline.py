@@ -23,7 +23,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model, share = language.train(docs)
     if not model:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return language.predict(docs, model, share).where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(*docs.columns)
+    judged = language.predict(docs, model, share, into=("_stage_lang", "_stage_score"))
+    return judged.where((F.col("_stage_lang") != "und") & (F.col("_stage_score") >= SURE)).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
