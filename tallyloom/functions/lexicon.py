@@ -116,6 +116,12 @@ SECRET_RULES = [
     ("EXTERNAL_CDN", 1, r"(?i)cdnjs\.cloudflare\.com|unpkg\.com", None),
     ("UNSAFE_INNERHTML", 2, r"\.innerHTML\s*=", ["html", "htm", "js"]),
 ]
+# Literals without which a rule's pattern cannot match (any of them is enough; compared in lower case).
+SECRET_LITERALS = {
+    "EMAIL_EXPOSED": ["@"], "PRIVATE_KEY": ["-----begin "], "GITHUB_TOKEN": ["ghp_"], "API_KEY": ["key"], "JWT_TOKEN": ["eyj"],
+    "ABSOLUTE_USER_PATH": ["c:\\users\\", "/home/", "/users/"], "HOME_PATH_REFERENCE": ["~/"], "DANGEROUS_RM": ["-rf"], "HTTP_URL": ["http://"],
+    "EXTERNAL_CDN": ["cdn", "fonts.googleapis.com", "unpkg.com"], "UNSAFE_INNERHTML": [".innerhtml"],
+}
 SEVERITIES = ["Low", "Medium", "High", "Critical"]
 INNERHTML_SAFE = r"\.innerHTML\s*=\s*['\"]\s*['\"]\s*;?|\.innerHTML\s*=.*sanitize|escapeHtml|DOMPurify|textContent"
 

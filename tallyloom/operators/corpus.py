@@ -531,21 +531,27 @@ def batch_queries(df: DataFrame, key: str, text: str, pattern: str, section_patt
 def secret_scan(df: DataFrame, key: str, text: str, ext: Column | None = None) -> DataFrame:
     """Findings (key, rule, severity, line_no) of the line rules.
 
-    Texts no rule touches are dropped by one pass of the same patterns over the whole
-    text before any line is split off.
+    Texts and lines without any literal of a rule are dropped before its pattern runs.
     """
     kind = F.lower(ext) if ext is not None else F.lit("")
     allowed = lambda kinds: F.lit(True) if kinds is None else F.col("_kind").isin(kinds)
     src = df.select(key, F.col(text).alias("_t"), kind.alias("_kind"))
-    touched = src.where(let(F.col("_t"), lambda t: reduce(lambda a, b: a | b, [t.rlike(p) & allowed(k) for _, _, p, k in lx.SECRET_RULES])))
+
+    def holds(low, rule):
+        return reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in lx.SECRET_LITERALS[rule]])
+
+    touched = src.where(let(F.lower("_t"), lambda t: reduce(lambda a, b: a | b, [allowed(k) & holds(t, rule) for rule, _, _, k in lx.SECRET_RULES])))
     lines = touched.select(key, "_kind", F.posexplode_outer(F.split("_t", "\n", -1)).alias("_i", "_line")).where("_i is not null")
     line = F.col("_line")
     guard = {
         "EMAIL_EXPOSED": ~strip(line).startswith("//"), "UNSAFE_INNERHTML": ~line.rlike(lx.INNERHTML_SAFE),
         "HTTP_URL": ~F.regexp_extract(line, r"http://[^\s\"'<>]+", 0).rlike(r"localhost|127\.0\.0\.1"),
     }
+    low = F.col("_low")
+    # a line with no literal at all costs no pattern
+    lines = lines.withColumn("_low", F.lower("_line")).where(reduce(lambda a, b: a | b, [holds(low, rule) for rule in lx.SECRET_LITERALS]))
     found = F.filter(F.array(*[
-        F.when(line.rlike(p) & allowed(k) & guard.get(rule, F.lit(True)), F.struct(F.lit(rule).alias("rule"), F.lit(sev).alias("severity")))
+        F.when(allowed(k) & holds(low, rule) & line.rlike(p) & guard.get(rule, F.lit(True)), F.struct(F.lit(rule).alias("rule"), F.lit(sev).alias("severity")))
         for rule, sev, p, k in lx.SECRET_RULES]), lambda x: x.isNotNull())
     return lines.select(key, (F.col("_i") + 1).alias("line_no"), F.explode_outer(found).alias("_f")).where("_f is not null").select(key, "_f.rule", "_f.severity", "line_no")
 

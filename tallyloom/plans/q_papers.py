@@ -167,14 +167,11 @@ def _score_sql(concepts, reasons, weights, sources):
             f"{w[3]}*coalesce(least(1.0,greatest(0.0,1-greatest(0,2026-\"year\")/25.0::double)),0) + {w[4]}*least(1.0,{sources}/3.0::double)))")
 
 
-@query("rank_papers", f"""with {_BOTH}, t as (select *, {_SU} nt from rec) """ + " union all ".join(
-    f"select '{p}' profile, pos, {sqlsig(_score_sql(['ment', 'tion', 'eux'], '0', w, 'len(retrieved_from)'), 8)} score from t" for p, w in pa.PROFILES.items()))
-def _(spark, sf):
-    out = []
-    for p in pa.PROFILES:
-        r = pa.rank_papers(both(spark, sf), ["ment", "tion", "eux"], p)
-        out.append(r.select(F.lit(p).alias("profile"), "pos", sig("relevance_score", 8).alias("score")))
-    return pa.union_sources(out)
+@query("rank_papers", f"""with {_BOTH}, t as (select *, {_SU} nt from rec), s as (""" + " union all ".join(
+    f"select '{p}' profile, pos, {_score_sql(['ment', 'tion', 'eux'], '0', w, 'len(retrieved_from)')} score, citation_count, \"year\", title from t" for p, w in pa.PROFILES.items()) + f""")
+select profile, pos, {sqlsig('score', 8)} score, row_number() over (partition by profile order by round(score, 9) desc, coalesce(citation_count,0) desc, coalesce("year",0) desc, lower(coalesce(title,'')), pos) "rank" from s""")
+def _(spark, sf):
+    return pa.rank_positions(both(spark, sf), ["ment", "tion", "eux"]).select("profile", "pos", sig("relevance_score", 8).alias("score"), "rank")
 
 
 @query("lit_search", f"""with {_BOTH}, fil as materialized (select *, {_REASONS} rs from rec where {_COND}), {_GROUPED.replace('from rec)', 'from fil)')},
