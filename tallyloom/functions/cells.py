@@ -109,32 +109,40 @@ def false() -> Column:
 
 # --- finance ----------------------------------------------------------------------------
 
+# All four follow from one equation: an opening sum and equal payments, each grown at the
+# rate to the end of the last period, balance the closing sum.
+
 def _growth(rate: Column, periods: Column) -> Column:
     return F.pow(rate + 1, periods)
 
 
-def _fv(rate: Column, periods: Column, pmt: Column, pv: Column, at_start: bool) -> Column:
-    paid = pmt * (rate + 1) if at_start else pmt
-    return F.when(rate == 0, -(pmt * periods + pv)).otherwise(
-        -(paid * (_growth(rate, periods) - 1) / F.nullif(rate, F.lit(0.0)) + pv * _growth(rate, periods)))
+def _payments_worth(rate: Column, periods: Column, at_start: bool) -> Column:
+    """Closing worth of a payment of 1 per period."""
+    at_end = F.coalesce((_growth(rate, periods) - 1) / F.nullif(rate, F.lit(0.0)), periods)
+    return at_end * (rate + 1) if at_start else at_end
+
+
+def closing_balance(rate: Column, periods: Column, payment: Column, opening: Column, at_start: bool) -> Column:
+    return opening * _growth(rate, periods) + payment * _payments_worth(rate, periods, at_start)
 
 
 def fv(rate: Column, periods: Column, pmt: Column, pv: Column, at_start: bool = False) -> Column:
-    return F.when(periods == 0, -pv).otherwise(_fv(rate, periods, pmt, pv, at_start))
+    return -closing_balance(rate, periods, pmt, pv, at_start)
 
 
 def pmt(rate: Column, periods: Column, pv: Column, future: Column | None = None, at_start: bool = False) -> Column:
-    end = future if future is not None else F.lit(0.0)
-    r = F.nullif(rate, F.lit(0.0))
-    due = (-end - pv * _growth(r, periods)) / ((r + 1) if at_start else F.lit(1.0)) / F.nullif((_growth(r, periods) - 1) / r, F.lit(0.0))
-    return F.when((periods != 0) & (rate > -1), F.when(rate == 0, -(pv + end) / F.nullif(periods, F.lit(0.0))).otherwise(due))
+    owed = pv * _growth(rate, periods) + (future if future is not None else F.lit(0.0))
+    early = rate + 1 if at_start else F.lit(1.0)
+    level = -owed / early / F.nullif(_payments_worth(rate, periods, False), F.lit(0.0))
+    return F.when((periods != 0) & (rate > -1), level)
 
 
 def ipmt(rate: Column, period: Column, periods: Column, pv: Column, future: Column | None = None, at_start: bool = False) -> Column:
-    whole = F.ceil(periods).cast("double")
-    share = _fv(rate, period - 1, pmt(rate, whole, pv, future, at_start), pv, at_start) * rate
-    share = share / (rate + 1) if at_start else share
-    return F.when((periods > 0) & (rate > -1) & (period >= 1) & (period <= whole), share)
+    """Interest part of one payment: the rate on the balance before it."""
+    last = F.ceil(periods).cast("double")
+    level = pmt(rate, last, pv, future, at_start)
+    interest = -closing_balance(rate, period - 1, level, pv, at_start) * rate
+    return F.when((rate > -1) & (periods > 0) & period.between(F.lit(1), last), interest / (rate + 1) if at_start else interest)
 
 
 # --- combinatorics and distributions ------------------------------------------------------
