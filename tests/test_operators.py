@@ -170,8 +170,9 @@ def test_top_n_keeps_ties(spark):
     assert filters.filter_top_n(df, "v", 3).count() == 4
     assert filters.filter_top_n(df, "v", 1, percent=True).count() == 2
     assert filters.filter_top_n(df, "v", 1, bottom=True).count() == 1
+    assert filters.filter_top_n(df, "v", 501).count() == 5 == filters.filter_top_n(df, "v", 20_000).count()
     with pytest.raises(ValueError):
-        filters.filter_top_n(df, "v", 501)
+        filters.filter_top_n(df, "v", 0)
 
 
 def test_typed_sort(spark):
@@ -180,7 +181,9 @@ def test_typed_sort(spark):
     df = spark.createDataFrame(rows, "pos int, kind string, num double, text string, flag boolean").select("pos", F.struct("kind", "num", "text", "flag").alias("c"))
     assert [r["pos"] for r in sorting.sort_typed(df, "c", "pos").collect()] == [6, 2, 5, 1, 4, 3, 0]
     assert [r["pos"] for r in sorting.sort_typed(df, "c", "pos", ascending=False).collect()] == [3, 4, 1, 5, 2, 6, 0]
-    assert [sorting.clamp_limit(x) for x in (None, 0, 7, 900)] == [50, 50, 7, 500]
+    assert [sorting.clamp_limit(x) for x in (None, 0, 7, 900)] == [50, 50, 7, 900]
+    assert sorting.clamp_limit(900, most=500) == 500
+    assert sorting.limit_clamp(spark.range(2000), [F.col("id")], 1500).count() == 1500
 
 
 def test_lookup_blank_key_is_zero_and_first_row_wins(spark):
