@@ -108,16 +108,14 @@ def components(edges: DataFrame) -> DataFrame:
     labels = stored(e.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("comp", F.col("id")), "labels")
     while not e.isEmpty():
         both = e.union(e.select("b", "a"))
-        up = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), F.least("a", "m").alias("up")), "up")
-        for _ in range(2):  # look further up
-            next_up = up.select(F.col("x").alias("up"), F.col("up").alias("far"))
-            further = stored(up.join(next_up, "up", "left").select("x", F.coalesce("far", "up").alias("up")), "up")
-            discard(spark, up)
-            up = further
+        near = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), F.least("a", "m").alias("up")), "near")
+        # look further up twice, so that chains shrink to a quarter
+        second, third = near.toDF("up", "u2"), near.toDF("u2", "u3")
+        up = stored(near.join(second, "up").join(third, "u2").select("x", F.col("u3").alias("up")), "up")
         new = stored(labels.join(up, labels["comp"] == up["x"], "left").select("id", F.coalesce("up", "comp").alias("comp")), "labels")
         ua, ub = up.toDF("a", "ua"), up.toDF("b", "ub")
         rest = stored(e.join(ua, "a").join(ub, "b").where("ua <> ub").select(F.greatest("ua", "ub").alias("a"), F.least("ua", "ub").alias("b")).distinct(), "edges")
-        for old in (labels, e, up):
+        for old in (labels, e, near, up):
             discard(spark, old)
         labels, e = new, rest
     return labels

@@ -5,13 +5,16 @@ once per shingle and leaves two signature values, the smallest and the largest i
 are unbiased, so half the evaluations give a signature of 2 x ``hashes`` values.  Bands of
 ``rows`` values (minima and maxima in bands of their own) name candidates.
 
-Equal sets are one class from the start.  In each bucket, members are first held against
-the smallest member only; signatures drop pairs that are out of reach, the full sets
-decide.  Linked members become one component, and only then are pairs of the same bucket
-but of different components tried, best estimates first, until none is left, so no group
-of copies is expanded into its pairs and no link between components stays untested.
-With 128 values in bands of 4, a pair of similarity 0.8 shares no bucket with probability
-5e-8, and passes the signature filter but for about 1e-9.
+Equal sets are one class from the start.  Each bucket names a few leaders, and every
+document is held against the few leaders with which it shares most buckets; the full sets
+decide.  Linked documents become one component, and only then are pairs of the same
+bucket but of different components tried, each pair once however many buckets it shares;
+shingles that no other candidate has and signatures drop those out of reach, the full sets
+decide again.  So no group of copies is
+expanded into its pairs, and no likely link between components stays untested.  With 128
+values in bands of 4, a pair of similarity 0.8 shares no bucket with probability 5e-8; the
+signature filter stands four standard deviations below the wanted similarity and only
+matters where a link is the only one between two components.
 
 Defined cases: null or word-less texts have no shingles, link with nothing and keep
 themselves; a text of fewer words than a shingle has is one shingle; rows of one doc_id
@@ -25,9 +28,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tallyloom.llm.common import batches, components, discard, mix64, stored, strings, word_hashes
+from tallyloom.llm.common import batches, components, mix64, stored, strings, word_hashes
 
 HASHES = 64
 ROWS = 4
@@ -111,143 +114,134 @@ def _sign(size: int, hashes: int, rows: int):
     return run
 
 
-def _set_rows(size: int):
-    def run(it):
-        for b in it:
-            ids, texts = b.column(0).to_pylist(), strings(b.column(1))
-            rows = ((ids[lo + i], s.tobytes()) for lo in range(0, len(texts), 512) for i, s in enumerate(shingle_sets(texts[lo:lo + 512], size)))
-            yield from batches(rows, pa.schema([("id", pa.int64()), ("items", pa.binary())]), 512)
-
-    return run
-
-
-def _alike(least: int):
-    """Keep pairs whose signatures agree in ``least`` places."""
+def _linked(size: int, percent: int):
+    """Keep pairs (a, b) whose texts have similar enough full sets."""
 
     def run(it):
         for b in it:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
-            ok = (x == y).sum(axis=1) >= least
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
+            ok = []
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                for p, q in zip(shingle_sets(strings(part.column(2)), size), shingle_sets(strings(part.column(3)), size)):
+                    both = np.concatenate([p, q])
+                    both.sort()
+                    inter = int((both[1:] == both[:-1]).sum())
+                    ok.append(100 * inter >= percent * (len(p) + len(q) - inter))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _linked(percent: int):
-    """Keep pairs whose full sets are similar enough."""
-
+def _items(size: int):
     def run(it):
         for b in it:
-            ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([p, q])
-                both.sort()
-                inter = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * inter >= percent * (len(p) + len(q) - inter))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            ids, texts = b.column(0).to_pylist(), strings(b.column(1))
+            for lo in range(0, len(texts), 512):
+                sets = shingle_sets(texts[lo:lo + 512], size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids[lo:lo + 512], np.int64), [len(s) for s in sets])), pa.array(np.concatenate(sets).view(np.int64))], ["id", "item"])
 
     return run
 
 
-def _across(least: int, most: int):
-    """In sorted rows (bucket, id, component, n, signature): pairs of a bucket in different components that may be alike.
+def _across(least: int, percent: int):
+    """In sorted rows (bucket, id, component, n, common, keys, signature): pairs of different components that may be alike.
 
-    For each id and other component, the ``most`` best by estimate; the caller asks again for the rest.
+    ``common`` counts the shingles that some other candidate has as well: no intersection is
+    larger.  A pair is named in the first of the buckets it shares only.
     """
     kinds = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def group(ids, comp, n, sig):
-        for i in range(len(ids)):
-            other = np.flatnonzero((comp != comp[i]) & (5 * np.minimum(n, n[i]) >= 4 * np.maximum(n, n[i])) if least else comp != comp[i])
-            other = other[other > i]
-            if not len(other):
-                continue
-            agree = (sig[other] == sig[i]).sum(axis=1)
-            keep = agree >= least
-            other, agree = other[keep], agree[keep]
-            for c in np.unique(comp[other]):
-                mine = np.flatnonzero(comp[other] == c)
-                for j in mine[np.argsort(-agree[mine], kind="stable")[:most]]:
-                    yield int(max(ids[i], ids[other[j]])), int(min(ids[i], ids[other[j]]))
+    def group(bucket, ids, comp, n, common, keys, sig):
+        band = (keys == bucket).argmax(axis=1)
+        for i in range(len(ids) - 1):
+            most = np.minimum(common[i + 1:], common[i])
+            other = i + 1 + np.flatnonzero((comp[i + 1:] != comp[i]) & (100 * most >= percent * (n[i + 1:] + n[i] - most)))
+            other = other[(sig[other] == sig[i]).sum(axis=1) >= least]
+            if len(other):
+                other = other[(keys[other] == keys[i]).argmax(axis=1) == band[i]]
+            yield from zip([int(ids[i])] * len(other), ids[other].tolist())
+
+    def flush(bucket, rows):
+        if len(rows) > 1:
+            ids, comp, n, common, keys, sig = zip(*rows)
+            yield from group(bucket, np.array(ids), np.array(comp), np.array(n), np.array(common), np.array(keys), np.frombuffer(b"".join(sig), np.uint8).reshape(len(ids), -1))
 
     def run(it):
         def out():
             key, rows = None, []
             for b in it:
-                for r in zip(*(c.to_pylist() for c in b.columns)):
-                    if r[0] != key and rows:
-                        yield from flush(rows)
-                        rows = []
-                    key = r[0]
+                for bucket, *r in zip(*(c.to_pylist() for c in b.columns)):
+                    if bucket != key:
+                        yield from flush(key, rows)
+                        key, rows = bucket, []
                     rows.append(r)
-            if rows:
-                yield from flush(rows)
-
-        def flush(rows):
-            if len(rows) > 1:
-                _, ids, comp, n, sig = zip(*rows)
-                yield from group(np.array(ids), np.array(comp), np.array(n), np.frombuffer(b"".join(sig), np.uint8).reshape(len(ids), -1))
+            yield from flush(key, rows)
 
-        yield from batches(out(), kinds, 8192)
+        for b in batches(out(), kinds, 8192):
+            x, y = b.column(0), b.column(1)
+            low, high = np.minimum(x, y), np.maximum(x, y)
+            yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(low)], schema=kinds)
 
     return run
 
 
-def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, hashes: int = HASHES, rows: int = ROWS, tries: int = 16,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row; documents of similarity ``percent``/100 or more are linked."""
+def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, hashes: int = HASHES, rows: int = ROWS, leaders: int = 4,
+                    few: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row; documents of similarity ``percent``/100 or more are linked.
+
+    Up to ``few`` ids of texts to compare are broadcast to the scan; more are joined by a shuffle.
+    """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = stored(texts.mapInArrow(_sign(size, hashes, rows), "doc_id long, n long, digest binary, keys array<long>, sig binary"), "signed")
     # one node per distinct set, named by its smallest id
-    nodes = stored(signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(
-        F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "nodes")
+    heads = signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("id"))
+    nodes = stored(signed.join(heads, "digest").where(F.col("doc_id") == F.col("id")).select("id", "n", "keys", "sig").dropDuplicates(["id"]), "nodes")
     banded = nodes.select("id", F.explode("keys").alias("key"))
-    leads = banded.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")
-    members = stored(banded.join(leads, "key"), "members")
-    spread = 6 * (percent / 100 * (1 - percent / 100) / (2 * hashes)) ** 0.5
-    least = max(0, int(2 * hashes * (percent / 100 - spread)))
-    sig = nodes.select("id", "n", "sig")
-
-    def with_both(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
-        a, b = side.select(F.col("id").alias("a"), F.col(value).alias("va")), side.select(F.col("id").alias("b"), F.col(value).alias("vb"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "va", "vb")
-
-    star = members.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
-    n_a, n_b = nodes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("va")), nodes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("vb"))
-    near = star.join(n_a, "a").join(n_b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "va", "vb")
-    todo = stored(near.mapInArrow(_alike(least), "a long, b long"), "pairs")
-    tested = edges = comp = None
-    while True:
-        # of what is still open, each document takes its smallest partner first
-        while not todo.isEmpty():
-            turn = stored(todo.groupBy("a").agg(F.min("b").alias("b")) if tested is None else todo, "turn")
-            ids = turn.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-            reps = texts.join(ids, "doc_id", "left_semi").mapInArrow(_set_rows(size), "id long, items binary").dropDuplicates(["id"])
-            sets = stored(reps, "sets")
-            links = stored(with_both(turn, sets, "items").mapInArrow(_linked(percent), "a long, b long"), "links")
-            discard(spark, sets)
-            edges = links if edges is None else edges.union(links)
-            tested = turn if tested is None else tested.union(turn)
-            if comp is not None:
-                discard(spark, comp)
+    shared = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    members = stored(banded.join(shared, "key", "left_semi"), "members")
+    mean = percent / 100
+    least = max(0, int(2 * hashes * (mean - 4 * (mean * (1 - mean) / (2 * hashes)) ** 0.5)))
+
+    def picked(ids: DataFrame) -> DataFrame:
+        """The texts of some ids, one each."""
+        if ids.limit(few + 1).count() <= few:
+            ids = F.broadcast(ids)
+        some = texts.join(ids, "doc_id", "left_semi")
+        return some.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else some
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        some = picked(pairs.select("a").union(pairs.select("b")).toDF("doc_id").distinct())
+        a, b = some.toDF("a", "va"), some.toDF("b", "vb")
+        return stored(pairs.join(a, "a").join(b, "b").select("a", "b", "va", "vb").mapInArrow(_linked(size, percent), "a long, b long"), "links")
+
+    repeated = not texts.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    none = spark.createDataFrame([], "a long, b long")
+    edges, tested = none, none
+    comp = spark.createDataFrame([], "id long, comp long")
+    for turn in ("leaders", "rest"):
+        of = members.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+        mixed = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array(
+            *[F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(leaders)]).alias("leads")).where("lo < hi")
+        if turn == "leaders":
+            votes = of.join(mixed, "key").select("id", F.explode(F.array_distinct("leads")).alias("lead")).where("id <> lead").groupBy("id", "lead").count()
+            best = W.partitionBy("id").orderBy(F.desc("count"), "lead")
+            pairs = votes.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= leaders).select(
+                F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b")).distinct()
+        else:
+            left = stored(of.join(mixed.select("key"), "key", "left_semi"), "left")
+            # shingles that no other candidate has are in no intersection: they rule most pairs out
+            shingles = picked(left.select(F.col("id").alias("doc_id")).distinct()).mapInArrow(_items(size), "id long, item long")
+            alone = shingles.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+            able = nodes.join(alone, "id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).where(100 * F.col("common") >= percent * F.col("n"))
+            groups = left.join(able, "id").select("key", "id", "comp", "n", "common", "keys", "sig")
+            pairs = groups.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_across(least, percent), "a long, b long")
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        if not pairs.isEmpty():
+            edges, tested = edges.union(linked(pairs)), tested.union(pairs)
             comp = components(edges)
-            ca, cb = comp.toDF("a", "ca"), comp.toDF("b", "cb")
-            todo = stored(todo.join(turn, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left").where(
-                F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "pairs")
-        of = (members.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")) if comp is not None else members.withColumn("comp", F.col("id"))).select("key", "id", "comp")
-        mixed = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        groups = of.join(mixed, "key", "left_semi").join(sig, "id").select("key", "id", "comp", "n", "sig").repartition("key").sortWithinPartitions("key", "id")
-        fresh = groups.mapInArrow(_across(least, tries), "a long, b long").distinct()
-        todo = stored(fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if todo.isEmpty():
-            break
-    named = nodes.select("digest", "id")
-    if comp is not None:
-        named = named.join(comp, "id", "left").select("digest", F.coalesce("comp", "id").alias("component"))
-    else:
-        named = named.withColumnRenamed("id", "component")
+    named = heads.join(comp, "id", "left").select("digest", F.coalesce("comp", "id").alias("component"))
     out = signed.select("doc_id", "n", "digest").join(named, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
