@@ -67,7 +67,17 @@ def _(spark, sf):
     return pii.pii(read(spark, sf, "documents"))
 
 
-@query("op9_minmax_near_dedup")
+@query("op9_minmax_near_dedup", r"""
+with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+  lambda x: x <> '') w from documents),
+s as materialized (select doc_id, unnest(case when len(w) < 2 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end) s from d),
+n as materialized (select doc_id, count(*) n from s group by 1),
+p as (select a.doc_id x, b.doc_id y, count(*) k from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+l as materialized (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * k >= 80 * (a.n + b.n - k)),
+e as materialized (select x a, y b from l union all select y, x from l),
+r(id, c) as (select doc_id, doc_id from d union select e.b, r.c from r join e on e.a = r.id),
+m as (select id, min(c) component_id from r group by 1)
+select d.doc_id, coalesce(n.n, 0) n_shingles, m.component_id, d.doc_id = m.component_id kept from d join m on m.id = d.doc_id left join n on n.doc_id = d.doc_id""")
 def _(spark, sf):
     return minmax.near_duplicates(read(spark, sf, "documents"))
 
