@@ -138,11 +138,16 @@ class RunIndex:
         self.key = self.char[self.by_char] * (len(self.start) + 1) + self.by_char
 
     def common(self, x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-        """Length of the common beginning of suffixes, up to ``most``."""
-        span = np.arange(most)
-        left = self.plain[x[:, None] + span]
-        bad = (left != self.plain[y[:, None] + span]) | (left >= self.stops)
-        return np.where(bad.any(axis=1), bad.argmax(axis=1), most)
+        """Length of the common beginning of suffixes, up to ``most``; looked at in growing pieces."""
+        out, live, at, piece = np.zeros(len(x), np.int64), np.arange(len(x)), 0, 8
+        while len(live) and at < most:
+            span = np.arange(at, min(most, at + piece))
+            left = self.plain[x[live, None] + span]
+            bad = (left != self.plain[y[live, None] + span]) | (left >= self.stops)
+            stop = bad.any(axis=1)
+            out[live] = at + np.where(stop, bad.argmax(axis=1), len(span))
+            live, at, piece = live[~stop], at + piece, 4 * piece
+        return out
 
     def statistics(self, queries: list[np.ndarray], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(query numbers, position, matched length from there, up to ``most``) for each step of a stream from right to left."""
@@ -190,7 +195,10 @@ class RunIndex:
 def earlier(groups: list[list[bytes]], length: int) -> list[list[np.ndarray]]:
     """For each string of each group (in order of first occurrence): which of its windows a string before it in the group has."""
     data = [[np.frombuffer(s, np.uint8).astype(np.int64) for s in g] for g in groups]
-    marks = [[np.zeros(max(0, len(s) - length + 1), bool) for s in g] for g in data]
+    sizes = [max(0, len(s) - length + 1) for g in data for s in g]
+    places = np.cumsum([0, *sizes])
+    firsts = np.cumsum([0, *map(len, data)])
+    flat = np.zeros(int(places[-1]), bool)
     todo = [(i, 0, len(g)) for i, g in enumerate(data) if len(g) > 1]
     while todo:
         index, queries, owner, rest = [], [], [], []
@@ -199,14 +207,37 @@ def earlier(groups: list[list[bytes]], length: int) -> list[list[np.ndarray]]:
             letters = 256 * node  # halves of different ranges never match each other
             index += [s + letters for s in data[i][lo:mid]]
             queries += [s + letters for s in data[i][mid:hi]]
-            owner += [(i, j) for j in range(mid, hi)]
+            owner += range(firsts[i] + mid, firsts[i] + hi)
             rest += [(i, a, b) for a, b in ((lo, mid), (mid, hi)) if b - a > 1]
+        home = places[np.array(owner)]
         for some, pos, got in RunIndex(index, 256 * len(todo)).statistics(queries, length):
-            for k in np.flatnonzero(got >= length):
-                i, j = owner[some[k]]
-                marks[i][j][pos[k]] = True
+            hit = got >= length
+            flat[home[some[hit]] + pos[hit]] = True
         todo = rest
-    return marks
+    parts = np.split(flat, places[1:-1])
+    return [parts[a:b] for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist())]
+
+
+def may_share(group: list[tuple], length: int, mer: int, cuts: int = 4) -> list[tuple]:
+    """Segments (.., body, anchor's place last) that may share a window with another of the group.
+
+    A shared window reaches some way left and the rest of the way right of the anchor, so
+    two segments that share one agree on one of a few stretches around it.
+    """
+    rest = length - mer
+    step = -(-(rest + 1) // cuts)
+    seen: dict[tuple, int] = {}
+    keys = []
+    for n, (*_, body, at) in enumerate(group):
+        mine = []
+        for c in range(cuts):
+            left, right = c * step, max(0, rest - (c + 1) * step + 1)
+            if at >= left and at + mer + right <= len(body):
+                mine.append((c, body[at - left:at + mer + right]))
+        keys.append(mine)
+        for k in mine:
+            seen[k] = seen.get(k, 0) + 1
+    return [g for g, mine in zip(group, keys) if any(seen[k] > 1 for k in mine)]
 
 
 def _spans(mark: np.ndarray, start: int, length: int) -> Iterator[tuple[int, int]]:
@@ -239,7 +270,7 @@ def _anchors(length: int, mer: int, rows: bool):
     return run
 
 
-_SEGMENT = pa.schema([("place", pa.int64()), ("anchor", pa.int64()), ("hot", pa.bool_()), ("digest", pa.binary()), ("doc", pa.int64()), ("start", pa.int64()), ("body", pa.binary())])
+_SEGMENT = pa.schema([("place", pa.int64()), ("anchor", pa.int64()), ("hot", pa.bool_()), ("digest", pa.binary()), ("doc", pa.int64()), ("start", pa.int64()), ("body", pa.binary()), ("at", pa.int32())])
 
 
 def _segments(length: int, mer: int, shares: int):
@@ -256,7 +287,7 @@ def _segments(length: int, mer: int, shares: int):
                         anchor = int(a[k].view(np.int64))
                         # the anchor's place in the segment is part of its identity: equal bytes, equal place
                         digest = hashlib.blake2b(body, digest_size=12, salt=int(at[k] - lo).to_bytes(4, "little")).digest()
-                        yield (doc % shares if hot else -1), anchor, hot, digest, doc, lo, body
+                        yield (doc % shares if hot else -1), anchor, hot, digest, doc, lo, body, int(at[k]) - lo
 
         yield from batches(out(), _SEGMENT, 8192)
 
@@ -266,23 +297,26 @@ def _segments(length: int, mer: int, shares: int):
 _FOUND = pa.schema([("doc", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("window", pa.binary())])
 
 
-def _settle(length: int, batch_bytes: int = 1 << 19, batch_strings: int = 6000):
+def _settle(length: int, mer: int, batch_bytes: int = 1 << 21, batch_strings: int = 15_000):
     """Sorted segments to removed spans; windows of first segments of hot anchors go on to the second pass."""
 
     def run(it):
         def out():
             groups: list[list[tuple]] = []
+            group: list[tuple] = []
             size = count = 0
             key = digest = None
             for b in it:
-                for place, anchor, hot, dg, doc, start, body in zip(*(c.to_pylist() for c in b.columns)):
+                for place, anchor, hot, dg, doc, start, body, at in zip(*(c.to_pylist() for c in b.columns)):
                     if (anchor, place) != key:
+                        if len(group) > 1 and len(group := may_share(group, length, mer)) > 1:
+                            groups.append(group)
+                            size += sum(len(g[2]) for g in group)
+                            count += len(group)
                         if size >= batch_bytes or count >= batch_strings:
                             yield from flush(groups)
                             groups, size, count = [], 0, 0
-                        key, digest = (anchor, place), None
-                        if not hot:
-                            groups.append([])
+                        key, digest, group = (anchor, place), None, []
                     if dg == digest:
                         yield doc, start, start + len(body), None
                         continue
@@ -291,15 +325,15 @@ def _settle(length: int, batch_bytes: int = 1 << 19, batch_strings: int = 6000):
                         for i in range(len(body) - length + 1):
                             yield doc, start + i, start + i + length, hashlib.blake2b(body[i:i + length], digest_size=16).digest()
                     else:
-                        groups[-1].append((doc, start, body))
-                        size += len(body)
-                        count += 1
+                        group.append((doc, start, body, at))
+            if len(group := may_share(group, length, mer)) > 1:
+                groups.append(group)
             yield from flush(groups)
 
         def flush(groups):
-            groups = [sorted(g) for g in groups if len(g) > 1]
-            for g, marks in zip(groups, earlier([[s for _, _, s in g] for g in groups], length)):
-                for (doc, start, _), m in zip(g, marks):
+            groups = [sorted(g) for g in groups]
+            for g, marks in zip(groups, earlier([[x[2] for x in g] for g in groups], length)):
+                for (doc, start, *_), m in zip(g, marks):
                     for lo, hi in _spans(m, start, length):
                         yield doc, lo, hi, None
 
@@ -338,9 +372,9 @@ def repeated_spans(texts: DataFrame, length: int = 100, mer: int = 24, hot: int
     places = placed.join(counts, "anchor").select("doc", (F.col("pos") * 2 + F.when(F.col("n") > hot, 1).otherwise(0)).alias("p")).groupBy("doc").agg(F.collect_list("p").alias("places"))
     places = stored(places, "places")
     segments = long_ones.join(places, "doc").select("doc", "body", "places").mapInArrow(
-        _segments(length, mer, shares), "place long, anchor long, hot boolean, digest binary, doc long, start long, body binary")
+        _segments(length, mer, shares), "place long, anchor long, hot boolean, digest binary, doc long, start long, body binary, at int")
     met = segments.repartition("anchor", "place").sortWithinPartitions("anchor", "place", "digest", "doc", "start")
-    found = stored(met.mapInArrow(_settle(length), "doc long, lo long, hi long, window binary"), "found")
+    found = stored(met.mapInArrow(_settle(length, mer), "doc long, lo long, hi long, window binary"), "found")
     windows = found.where(F.col("window").isNotNull())
     firsts = windows.groupBy("window").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = windows.join(firsts, "window").where(F.struct("doc", "lo") != F.col("first")).select("doc", "lo", "hi")
