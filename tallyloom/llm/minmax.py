@@ -9,16 +9,16 @@ Equal sets are one class from the start.  Each bucket names a few leaders, and e
 document is held against the few leaders with which it shares most buckets; the full sets
 decide.  Linked documents become one component, and only then are pairs of the same
 bucket but of different components tried, each pair once however many buckets it shares;
-shingles that no other candidate has and signatures drop those out of reach, the full sets
-decide again.  So no group of copies is
-expanded into its pairs, and no likely link between components stays untested.  With 128
-values in bands of 4, a pair of similarity 0.8 shares no bucket with probability 5e-8; the
-signature filter stands four standard deviations below the wanted similarity and only
-matters where a link is the only one between two components.
+shingles that no other candidate has and longer signatures drop those out of reach, the
+full sets decide again.  So no group of copies is expanded into its pairs, and no likely
+link between components stays untested.  With 128 values in bands of 4, a pair of
+similarity 0.8 shares no bucket with probability 5e-8; the signature filter stands four
+standard deviations below the wanted similarity and only matters where a link is the only
+one between two components.
 
 Defined cases: null or word-less texts have no shingles, link with nothing and keep
 themselves; a text of fewer words than a shingle has is one shingle; rows of one doc_id
-count as one document with several texts; a row without doc_id stays, with no component;
+are one document, compared by one of its texts; a row without doc_id stays, with no component;
 extra columns are ignored; an empty table gives no rows.
 """
 
@@ -88,7 +88,7 @@ def band_keys(low: np.ndarray, high: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _sign(size: int, hashes: int, rows: int):
-    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
+    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(it):
         def out():
@@ -99,15 +99,13 @@ def _sign(size: int, hashes: int, rows: int):
                     full = [i for i, s in enumerate(sets) if len(s)]
                     low, high = signatures([sets[i] for i in full], hashes)
                     keys = band_keys(low, high, rows)
-                    short = np.concatenate([low, high], axis=1)
-                    short = (mix64(short) & np.uint64(255)).astype(np.uint8)
                     place = dict(zip(full, range(len(full))))
                     for i, s in enumerate(sets):
                         j = place.get(i)
                         if j is None:
-                            yield ids[lo + i], 0, None, None, None
+                            yield ids[lo + i], 0, None, None
                         else:
-                            yield ids[lo + i], len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), keys[j], short[j].tobytes()
+                            yield ids[lo + i], len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), keys[j]
 
         yield from batches(out(), kinds, 4096)
 
@@ -143,6 +141,22 @@ def _items(size: int):
     return run
 
 
+def _long_signatures(size: int, hashes: int):
+    """One byte of each minimum and maximum, for documents that a short signature cannot tell apart."""
+
+    def run(it):
+        for b in it:
+            ids, texts = b.column(0).to_pylist(), strings(b.column(1))
+            for lo in range(0, len(texts), 128):
+                sets = [(i, s) for i, s in zip(ids[lo:lo + 128], shingle_sets(texts[lo:lo + 128], size)) if len(s)]
+                if sets:
+                    sig = np.concatenate(signatures([s for _, s in sets], hashes), axis=1)
+                    sig = (mix64(sig) & np.uint64(255)).astype(np.uint8)
+                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in sets], pa.int64()), pa.array([x.tobytes() for x in sig], pa.binary())], ["id", "long_sig"])
+
+    return run
+
+
 def _across(least: int, percent: int):
     """In sorted rows (bucket, id, component, n, common, keys, signature): pairs of different components that may be alike.
 
@@ -185,7 +199,7 @@ def _across(least: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, hashes: int = HASHES, rows: int = ROWS, leaders: int = 4,
+def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, hashes: int = HASHES, rows: int = ROWS, leaders: int = 4, long_hashes: int = 768,
                     few: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row; documents of similarity ``percent``/100 or more are linked.
 
@@ -193,15 +207,15 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, hashes: i
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = stored(texts.mapInArrow(_sign(size, hashes, rows), "doc_id long, n long, digest binary, keys array<long>, sig binary"), "signed")
+    signed = stored(texts.mapInArrow(_sign(size, hashes, rows), "doc_id long, n long, digest binary, keys array<long>"), "signed")
     # one node per distinct set, named by its smallest id
     heads = signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("id"))
-    nodes = stored(signed.join(heads, "digest").where(F.col("doc_id") == F.col("id")).select("id", "n", "keys", "sig").dropDuplicates(["id"]), "nodes")
+    nodes = stored(signed.join(heads, "digest").where(F.col("doc_id") == F.col("id")).select("id", "n", "keys").dropDuplicates(["id"]), "nodes")
     banded = nodes.select("id", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     members = stored(banded.join(shared, "key", "left_semi"), "members")
     mean = percent / 100
-    least = max(0, int(2 * hashes * (mean - 4 * (mean * (1 - mean) / (2 * hashes)) ** 0.5)))
+    least = max(0, int(2 * long_hashes * (mean - 4 * (mean * (1 - mean) / (2 * long_hashes)) ** 0.5)))
 
     def picked(ids: DataFrame) -> DataFrame:
         """The texts of some ids, one each."""
@@ -231,10 +245,12 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, hashes: i
         else:
             left = stored(of.join(mixed.select("key"), "key", "left_semi"), "left")
             # shingles that no other candidate has are in no intersection: they rule most pairs out
-            shingles = picked(left.select(F.col("id").alias("doc_id")).distinct()).mapInArrow(_items(size), "id long, item long")
+            open_texts = picked(left.select(F.col("id").alias("doc_id")).distinct())
+            shingles = open_texts.mapInArrow(_items(size), "id long, item long")
+            signs = open_texts.mapInArrow(_long_signatures(size, long_hashes), "id long, long_sig binary")
             alone = shingles.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
             able = nodes.join(alone, "id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).where(100 * F.col("common") >= percent * F.col("n"))
-            groups = left.join(able, "id").select("key", "id", "comp", "n", "common", "keys", "sig")
+            groups = left.join(able.join(signs, "id"), "id").select("key", "id", "comp", "n", "common", "keys", "long_sig")
             pairs = groups.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_across(least, percent), "a long, b long")
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
