@@ -119,3 +119,15 @@ def components(edges: DataFrame) -> DataFrame:
             discard(spark, old)
         labels, e = new, rest
     return labels
+
+
+def hot_keys(df: DataFrame, key: str, rows: int, share: int = 1000) -> DataFrame:
+    """Keys that hold more than 1/``share`` of ``rows`` rows; there are fewer than ``share`` of them, whatever the table."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * share > rows).select(key)
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Inner join with a table of unique keys: rows of hot keys (``hot_keys``) stay where they are, the others shuffle."""
+    few = F.broadcast(hot)
+    stay = left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key)
+    return stay.unionByName(left.join(few, key, "left_anti").join(right, key))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontam, language, minmax, packing, pii, suffix, topk, toxicity, warc, windows
+from tallyloom.llm import decontam, interaction, language, minmax, packing, pii, pivots, quality, suffix, topk, toxicity, warc, windows
 from tallyloom.llm.common import read
 
 QUERIES: dict = {}
@@ -95,3 +95,57 @@ def _(spark, sf):
 @query("op10_compact_windows")
 def _(spark, sf):
     return windows.passages(read(spark, sf, "documents"))
+
+
+def _code_sql(rounds: int) -> str:
+    """Product codes in SQL: ``rounds`` times assign and average, then assign again."""
+    assign = """a{i} as materialized (select id, part, unnest(arg_min({{'e': e, 'd': d}}, {{'d': d, 'e': e}})) from (
+        select p.id, p.part, b.e, list_sum(list_transform(range(1, len(p.x) + 1), lambda j: (p.x[j] - b.x[j]) * (p.x[j] - b.x[j])))::bigint d
+        from p join b{i} b using (part)) group by id, part)"""
+    average = """b{k} as materialized (select b.part, b.e, coalesce(m.x, b.x) x from b{i} b left join (
+        select part, e, list(s order by j) x from (select a.part, a.e, j, floor(sum(p.x[j]) / count(*))::bigint s
+          from a{i} a join p using (id, part), unnest(range(1, len(p.x) + 1)) t(j) group by all) group by part, e) m on m.part = b.part and m.e = b.e)"""
+    steps = [assign.format(i=0)]
+    for r in range(rounds):
+        steps += [average.format(i=r, k=r + 1), assign.format(i=r + 1)]
+    return f"""
+with k as materialized (select vec_id id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as materialized (select id, t.part, v[t.part * (len(v) // 16) + 1 : (t.part + 1) * (len(v) // 16)] x from k, unnest(range(16)) t(part)),
+b0 as materialized (select part, row_number() over (partition by part order by id) - 1 e, x from p where id in (select id from k order by id limit 64)),
+{", ".join(steps)},
+h as (select sha256(string_agg(u.v::varchar, ',' order by part, e, u.j)) sha from b{rounds}, unnest(x) with ordinality u(v, j)),
+c as (select id, string_agg(printf('%02x', e), '' order by part) code, sum(d)::bigint error from a{rounds} group by id)
+select id vec_id, code, error, (sum(error) over (partition by label))::bigint label_error, (select sha from h) codebooks_sha256 from c join k using (id)"""
+
+
+@query("op11_pivot_codes", _code_sql(2))
+def _(spark, sf):
+    return pivots.compress(read(spark, sf, "embeddings"))
+
+
+@query("op12_quality")
+def _(spark, sf):
+    return quality.quality(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
+@query("op13_filter_interaction", r"""
+with w as (select doc_id, coalesce(source, '') part, coalesce(text, '') t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+f as materialized (select doc_id, part, len(w) < 200 a, 100 * len(list_distinct(w)) < 50 * len(w) b, 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) c,
+  regexp_matches(t, '[#$%&*|]') d, coalesce(doc_id > min(doc_id) over (partition by t), false) e from w),
+g as (select part, a::int + 2 * b::int + 4 * c::int + 8 * d::int + 16 * e::int mask, coalesce(l.good, false) good, coalesce(l.toxic, false) toxic
+  from f left join (select doc_id, bool_or(quality = 1) good, bool_or(toxic = 1) toxic from labels group by 1) l using (doc_id)),
+n as materialized (select part, mask, count(*) n, count(*) filter (good) good, count(*) filter (toxic) toxic from g group by 1, 2),
+o as (select string_agg(c, '') filter_order from (select r.i, s.j, substr('ABCDE', s.x::int, 1) c from
+  (select row_number() over () i, [a, b, c, d, e] o from range(1, 6) t1(a), range(1, 6) t2(b), range(1, 6) t3(c), range(1, 6) t4(d), range(1, 6) t5(e)
+   where len(list_distinct([a, b, c, d, e])) = 5) r, unnest(r.o) with ordinality s(x, j) order by i, j) group by i),
+s as (select filter_order, step::int step, list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(filter_order, i::int, 1)) - 65)))::int prior_,
+  1 << (ascii(substr(filter_order, step::int, 1)) - 65) bit from o, range(1, 6) t(step)),
+r as materialized (select n.part, s.filter_order, s.step, s.bit, coalesce(sum(n) filter (mask & (coalesce(prior_, 0) | bit) = 0), 0)::bigint kept,
+  coalesce(sum(n) filter (mask & bit <> 0 and mask & coalesce(prior_, 0) = 0), 0)::bigint removed,
+  coalesce(sum(n) filter (mask & bit <> 0 and mask & coalesce(prior_, 0) <> 0), 0)::bigint redundant, coalesce(sum(n) filter (mask = bit), 0)::bigint unique_fails,
+  coalesce(sum(good) filter (mask & bit <> 0 and mask & coalesce(prior_, 0) = 0), 0)::bigint good_lost,
+  coalesce(sum(toxic) filter (mask & bit <> 0 and mask & coalesce(prior_, 0) = 0), 0)::bigint toxic_lost from n, s group by all)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, bit))::bigint shapley from r""")
+def _(spark, sf):
+    return interaction.audit(read(spark, sf, "documents"), read(spark, sf, "labels"))
