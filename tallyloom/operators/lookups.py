@@ -28,14 +28,13 @@ def lookup_exact(left: DataFrame, right: DataFrame, left_key: str, right_key: st
 
 
 def lookup_asof(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, pos: str, take: list[str],
-                chunk, forward: bool = False) -> DataFrame:
+                forward: bool = False) -> DataFrame:
     """Nearest right row at or before (``forward``: at or after) each left key, within ``by``.
 
     Both sides are unioned and the latest right row is carried to the left rows: one
-    shuffle on (by, chunk), no range join.  Equal keys count as a match; of equal
+    shuffle on (by, chunk of keys), no range join.  Equal keys count as a match; of equal
     right keys the last position is taken looking back, the first looking ahead.
-    ``chunk`` maps the order column to its coarse bucket.  Every left row comes back; one
-    without a lookup value is unmatched.
+    Every left row comes back; one without a lookup value is unmatched.
     """
     pack = F.struct(F.col("_k").alias("key"), *take)
     rows_l = left.withColumn("_id", F.struct(*left.columns)).select(
@@ -44,7 +43,7 @@ def lookup_asof(left: DataFrame, right: DataFrame, by: list[str], left_on: str,
     rows_r = right.withColumn("_k", F.col(right_on)).select(
         *by, "_k", F.lit(1 if forward else 0).alias("_side"), F.col(pos).cast("long").alias("_p"), shape.alias("_id"), pack.alias("_row"))
     both = rows_l.unionByName(rows_r, allowMissingColumns=True).where(F.col("_k").isNotNull())
-    out = carry_forward(both, by, [F.col("_k"), F.col("_side"), F.col("_p")], chunk(F.col("_k")),
+    out = carry_forward(both, by, [F.col("_k"), F.col("_side"), F.col("_p")], None,
                         {"_hit": F.col("_row")}, ascending=not forward)
     hits = out.where(F.col("_id").isNotNull())
     found = hits.select("_id.*", F.col("_hit.key").alias("matched_key"), *[F.col(f"_hit.{c}").alias(c) for c in take])
@@ -54,10 +53,10 @@ def lookup_asof(left: DataFrame, right: DataFrame, by: list[str], left_on: str,
 
 
 def lookup_nearest(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, pos: str, take: list[str],
-                   chunk, key: list[str]) -> DataFrame:
+                   key: list[str]) -> DataFrame:
     """Right row with the smallest distance to the left key; the lower key wins a tie."""
-    back = lookup_asof(left, right, by, left_on, right_on, pos, take, chunk)
-    ahead = lookup_asof(left, right, by, left_on, right_on, pos, take, chunk, forward=True)
+    back = lookup_asof(left, right, by, left_on, right_on, pos, take)
+    ahead = lookup_asof(left, right, by, left_on, right_on, pos, take, forward=True)
     b = back.select(*left.columns, F.struct("matched_key", *take).alias("_b"))
     a = ahead.select(*[F.col(k) for k in key], F.struct("matched_key", *take).alias("_a"))
     both = join_same(b, a, key, "left")
@@ -75,10 +74,10 @@ def match_first(df: DataFrame, column: str, pos: str, targets: list[str], dtype:
     return hits.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def match_desc(left: DataFrame, right: DataFrame, left_on: str, right_on: str, pos: str, chunk) -> DataFrame:
+def match_desc(left: DataFrame, right: DataFrame, left_on: str, right_on: str, pos: str) -> DataFrame:
     """MATCH on descending data: first exact hit, else the last row holding the smallest value above the target."""
     per = right.groupBy(F.col(right_on).alias("_v")).agg(F.min(pos).alias("first_pos"), F.max(pos).alias("last_pos"))
-    out = lookup_asof(left, per, [], left_on, "_v", "first_pos", ["first_pos", "last_pos"], chunk, forward=True)
+    out = lookup_asof(left, per, [], left_on, "_v", "first_pos", ["first_pos", "last_pos"], forward=True)
     return out.withColumn("position", F.when(F.col("matched_key") == F.col(left_on), F.col("first_pos")).otherwise(F.col("last_pos")) + 1) \
         .select(*left.columns, "matched_key", "position")
 

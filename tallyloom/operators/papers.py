@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from tallyloom.operators.corpus import let
-from tallyloom.operators.ordering import with_prefix
+from tallyloom.operators.ordering import Down, with_prefix
 
 # The record's text fields, list fields and other fields.
 TEXTS = ["id", "doi", "title", "first_author", "venue", "journal", "publisher", "abstract", "issn", "cn", "isbn", "clc", "volume", "issue",
@@ -292,7 +292,7 @@ def rank_positions(records: DataFrame, concepts: list[str], profiles: list[str]
     rows = judged.select("pos", "_c", "_y", "_t", F.explode(F.array(*[F.struct(F.lit(p).alias("profile"), F.col(f"_s.{p}").alias("relevance_score")) for p in names])).alias("_p"))
     rows = rows.select("_p.*", "pos", "_c", "_y", "_t")
     key = F.round("relevance_score", 9)
-    order = [key.desc(), F.desc("_c"), F.desc("_y"), F.asc("_t"), F.asc("pos")]
+    order = [Down(key), Down(F.col("_c")), Down(F.col("_y")), F.col("_t"), F.col("pos")]
     return with_prefix(rows, ["profile"], order, F.floor(key * -4096).cast("long"), pos="rank").select("profile", "pos", "relevance_score", (F.col("rank") + 1).alias("rank"))
 
 

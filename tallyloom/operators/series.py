@@ -7,17 +7,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyloom.operators.ordering import join_same, with_neighbours, with_prefix
 
 
-def positioned(df: DataFrame, keys: list[str], order: list[Column], chunk: Column) -> DataFrame:
-    return with_prefix(df, keys, order, chunk, pos="pos")
+def positioned(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    return with_prefix(df, keys, order, pos="pos")
 
 
-def rolling(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, value: str, window: int,
+def rolling(df: DataFrame, keys: list[str], order: list[Column], value: str, window: int,
             pad: bool = False, k: float = 2.0) -> DataFrame:
     """Moving mean, sample SD and bands.  Output starts at position ``window`` (0-based):
     the first full window is dropped too.  ``pad`` keeps the earlier rows with NaN."""
     if window < 2:
         raise ValueError("window must be at least 2")
-    at = positioned(df, keys, order, chunk)
+    at = positioned(df, keys, order)
 
     def build(w):
         span = w.rowsBetween(1 - window, 0)
@@ -35,14 +35,14 @@ def rolling(df: DataFrame, keys: list[str], order: list[Column], chunk: Column,
     return out
 
 
-def running_total(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, value: str) -> DataFrame:
-    return with_prefix(df, keys, order, chunk, pos=None, sums={"running_total": F.col(value)})
+def running_total(df: DataFrame, keys: list[str], order: list[Column], value: str) -> DataFrame:
+    return with_prefix(df, keys, order, pos=None, sums={"running_total": F.col(value)})
 
 
-def diff_neighbours(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, value: str) -> DataFrame:
+def diff_neighbours(df: DataFrame, keys: list[str], order: list[Column], value: str) -> DataFrame:
     """Difference from the previous and the next item of the series."""
     v = F.col(value)
-    return with_neighbours(positioned(df, keys, order, chunk), keys, "pos", 1, 1, lambda w: {
+    return with_neighbours(positioned(df, keys, order), keys, "pos", 1, 1, lambda w: {
         "diff_prev": v - F.lag(v).over(w), "diff_next": v - F.lead(v).over(w)})
 
 
@@ -60,9 +60,9 @@ def ohlc_resample(df: DataFrame, keys: list[str], ts: str, tie: str, value: str,
         F.max_by(value, at).alias("close"), F.count(F.lit(1)).alias("ticks"))
 
 
-def last_n(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, value: str, n: int) -> DataFrame:
+def last_n(df: DataFrame, keys: list[str], order: list[Column], value: str, n: int) -> DataFrame:
     """Ring-buffer view of a series: its last n values, with all-time min, max and count beside them."""
-    sized = with_prefix(df, keys, order, chunk, pos="pos", size="total")
+    sized = with_prefix(df, keys, order, pos="pos", size="total")
     kept = sized.where(F.col("pos") >= F.col("total") - n)
     ends = df.groupBy(*keys).agg(F.min(value).alias("all_min"), F.max(value).alias("all_max"))
     return join_same(kept, ends, keys).withColumn("newest", F.col("pos") == F.col("total") - 1)

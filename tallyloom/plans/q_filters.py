@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.cells import ERRORS
 from tallyloom.operators import filters as fl, sorting as so
-from tallyloom.operators.ordering import number_chunk, time_chunk, with_prefix
+from tallyloom.operators.ordering import time_chunk, with_prefix
 from tallyloom.plans.registry import query, sig, sqlsig
 from tallyloom.sources.tables import table
 
@@ -335,16 +335,15 @@ def _(spark, sf):
     d = cells(spark, sf)
     k, num = F.col("kind"), F.when(F.col("kind") == "number", F.col("p_retailprice"))
     text, flag = F.when(k == "text", F.col("p_name")), F.when(k == "boolean", F.col("p_size") > 25)
-    order = so.typed_keys(k, num, text, flag)
-    # the position makes the order visible; type and number bucket split the sort into chunks
-    chunk = so.type_rank(k) * 1000000 + F.coalesce(number_chunk(num), F.coalesce(F.ascii(F.lower(text)).cast("long"), F.lit(0)))
-    return with_prefix(d, [], [*order, F.col("p_partkey")], chunk).select("p_partkey", "pos")
+    d = d.withColumn("cell", F.struct(k.alias("kind"), num.alias("num"), text.alias("text"), flag.alias("flag")))
+    return so.sort_typed(d, "cell", "p_partkey", into="pos").select("p_partkey", "pos")
 
 
-@query("sort_multi", """select o_orderkey, o_orderstatus, o_orderdate, o_totalprice from orders""")
+@query("sort_multi", """select o_orderkey, o_orderstatus, o_orderdate, o_totalprice,
+ row_number() over (order by lower(o_orderstatus) nulls last, o_orderdate desc nulls last, o_totalprice nulls last, o_orderkey)-1 pos from orders""")
 def _(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate", "o_totalprice")
-    return so.sort_multi(o, [("o_orderstatus", True, True, False), ("o_orderdate", False, True, False), ("o_totalprice", True, True, False)], "o_orderkey")
+    return so.sort_multi(o, [("o_orderstatus", True, True, False), ("o_orderdate", False, True, False), ("o_totalprice", True, True, False)], "o_orderkey", into="pos")
 
 
 @query("limit_clamp", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 9000")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.operators import lookups as lk, pivot as pv, series as se
-from tallyloom.operators.ordering import number_chunk, time_chunk, with_prefix
+from tallyloom.operators.ordering import Down, with_prefix
 from tallyloom.plans.registry import query, sig, sqlsig
 from tallyloom.sources.tables import table
 
@@ -95,14 +95,14 @@ def _(spark, sf):
     e = table(spark, sf, "events")
     left = e.where("event_type='purchase'").select("event_id", "user_id", "ts")
     right = e.where("event_type='view'").select("user_id", "ts", F.col("event_id").alias("p"), F.col("value").alias("view_value"))
-    return lk.lookup_asof(left, right, ["user_id"], "ts", "ts", "p", ["view_value"], time_chunk).select("event_id", "user_id", "matched_key", "view_value")
+    return lk.lookup_asof(left, right, ["user_id"], "ts", "ts", "p", ["view_value"]).select("event_id", "user_id", "matched_key", "view_value")
 
 
 @query("lookup_asof_number", """select c_custkey, arg_max(s_acctbal, struct_pack(a := s_acctbal, b := s_suppkey)) matched_key, arg_max(s_name, struct_pack(a := s_acctbal, b := s_suppkey)) s_name
  from customer left join supplier on s_acctbal<=c_acctbal group by 1""")
 def _(spark, sf):
     return lk.lookup_asof(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), table(spark, sf, "supplier"), [], "c_acctbal", "s_acctbal",
-                          "s_suppkey", ["s_name"], number_chunk).select("c_custkey", "matched_key", "s_name")
+                          "s_suppkey", ["s_name"]).select("c_custkey", "matched_key", "s_name")
 
 
 @query("match_first", """select t target, min(pos)+1 "position" from (values ('small ring'), ('*BOLT'), ('green w?dget'), ('zzz')) v(t) left join
@@ -119,15 +119,15 @@ m as (select c_custkey, t, min(v) matched_key from l left join r on v>=t group b
 select c_custkey, matched_key, case when matched_key=t then min(pos) else max(pos) end + 1 "position" from m left join r on v=matched_key group by c_custkey, t, matched_key""")
 def _(spark, sf):
     bal = lambda c: F.floor(F.col(c) / 50).cast("double")
-    r = with_prefix(table(spark, sf, "supplier").withColumn("v", bal("s_acctbal")), [], [F.desc("v"), F.col("s_suppkey")], -number_chunk(F.col("v")))
+    r = with_prefix(table(spark, sf, "supplier").withColumn("v", bal("s_acctbal")), [], [Down(F.col("v")), F.col("s_suppkey")])
     left = table(spark, sf, "customer").select("c_custkey", bal("c_acctbal").alias("t"))
-    return lk.match_desc(left, r, "t", "v", "pos", number_chunk).select("c_custkey", "matched_key", "position")
+    return lk.match_desc(left, r, "t", "v", "pos").select("c_custkey", "matched_key", "position")
 
 
 @query("lookup_nearest", """select c_custkey, arg_min(s_acctbal, struct_pack(d := round(abs(s_acctbal-c_acctbal),6), k := s_acctbal)) matched_key from customer, supplier group by 1""")
 def _(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
-    return lk.lookup_nearest(c, table(spark, sf, "supplier"), [], "c_acctbal", "s_acctbal", "s_suppkey", ["s_suppkey"], number_chunk, ["c_custkey"]) \
+    return lk.lookup_nearest(c, table(spark, sf, "supplier"), [], "c_acctbal", "s_acctbal", "s_suppkey", ["s_suppkey"], ["c_custkey"]) \
         .select("c_custkey", "matched_key")
 
 
@@ -159,7 +159,7 @@ _ROLL = f"""(select event_id, event_type, ts, value, {_POS} pos, avg(value) over
 
 def _rolled(spark, sf, **kw):
     e = table(spark, sf, "events").select("event_id", "event_type", "ts", "value")
-    return se.rolling(e, ["event_type"], [F.col("ts"), F.col("event_id")], time_chunk(F.col("ts")), "value", 20, **kw)
+    return se.rolling(e, ["event_type"], [F.col("ts"), F.col("event_id")], "value", 20, **kw)
 
 
 @query("moving_average", f"select event_id, {sqlsig('m')} moving_average from {_ROLL} where pos>=20")
@@ -184,7 +184,7 @@ def _(spark, sf):
 
 def _bars(spark, sf, k=2.0):
     b = se.ohlc_resample(table(spark, sf, "events"), ["event_type"], "ts", "event_id", "value", "hour")
-    return se.rolling(b, ["event_type"], [F.col("bar")], time_chunk(F.col("bar"), "month"), "close", 10, k=k)
+    return se.rolling(b, ["event_type"], [F.col("bar")], "close", 10, k=k)
 
 
 _SMA = f"(select event_type, bar, close, row_number() over (partition by event_type order by bar)-1 pos, avg(close) over w m, stddev_samp(close) over w s from ({_BAR}) window w as (partition by event_type order by bar rows between 9 preceding and current row))"
@@ -203,27 +203,27 @@ def _(spark, sf):
 @query("running_total", f"select event_id, round(sum(value) over (partition by event_type order by ts, event_id rows unbounded preceding), 4) running_total from events")
 def _(spark, sf):
     e = table(spark, sf, "events")
-    return se.running_total(e, ["event_type"], [F.col("ts"), F.col("event_id")], time_chunk(F.col("ts")), "value").select("event_id", F.round("running_total", 4).alias("running_total"))
+    return se.running_total(e, ["event_type"], [F.col("ts"), F.col("event_id")], "value").select("event_id", F.round("running_total", 4).alias("running_total"))
 
 
 @query("diff_prev", """select event_id, round(value-lag(value) over w, 6) diff_prev, round(value-lead(value) over w, 6) diff_next from events
  window w as (partition by user_id order by ts, event_id)""")
 def _(spark, sf):
     e = table(spark, sf, "events")
-    d = se.diff_neighbours(e, ["user_id"], [F.col("ts"), F.col("event_id")], time_chunk(F.col("ts"), "day"), "value")
+    d = se.diff_neighbours(e, ["user_id"], [F.col("ts"), F.col("event_id")], "value")
     return d.select("event_id", F.round("diff_prev", 6).alias("diff_prev"), F.round("diff_next", 6).alias("diff_next"))
 
 
 @query("minmax_decimate", f"select event_type, cast(pos//100 as bigint) run, min(value) min, max(value) max, count(*) samples from (select *, {_POS} pos from events) group by 1,2")
 def _(spark, sf):
-    e = se.positioned(table(spark, sf, "events"), ["event_type"], [F.col("ts"), F.col("event_id")], time_chunk(F.col("ts")))
+    e = se.positioned(table(spark, sf, "events"), ["event_type"], [F.col("ts"), F.col("event_id")])
     return se.minmax_decimate(e, ["event_type"], "pos", "value", 100)
 
 
 @query("stream_lastn", """select event_type, event_id, value, all_min, all_max, total, r=1 newest from (select *, row_number() over (partition by event_type order by ts desc, event_id desc) r,
  min(value) over (partition by event_type) all_min, max(value) over (partition by event_type) all_max, count(*) over (partition by event_type) total from events) where r<=50""")
 def _(spark, sf):
-    d = se.last_n(table(spark, sf, "events"), ["event_type"], [F.col("ts"), F.col("event_id")], time_chunk(F.col("ts")), "value", 50)
+    d = se.last_n(table(spark, sf, "events"), ["event_type"], [F.col("ts"), F.col("event_id")], "value", 50)
     return d.select("event_type", "event_id", "value", "all_min", "all_max", "total", "newest")
 
 
