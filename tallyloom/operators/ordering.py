@@ -58,6 +58,36 @@ def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(other, cond, how).drop(*names.values())
 
 
+def meet(left: DataFrame, right: DataFrame, keys: list[str], per_task: int, rows: int | None = None) -> DataFrame:
+    """Equality join in which a key with many rows, on either side or both, is dealt over several tasks.
+
+    A key over ``per_task`` rows (or a two-thousandth of its side, if that is more) is split:
+    its left rows are dealt to ``a`` parts and its right rows to ``b``, and each of the a x b
+    pairs of parts meets once.  Fewer than four thousand keys can be that large, so that
+    the table of their parts is broadcast; no row is shuffled to learn its part.  ``rows``
+    is the size of the larger side where it is known; no key of a small table needs splitting.
+    """
+    if rows is not None and rows <= per_task:
+        return left.join(right, keys)
+
+    def loads(df, name):
+        per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+        most = F.greatest(F.lit(per_task), F.floor(df.agg(F.count(F.lit(1))).scalar() / 2000))
+        return per.withColumn(f"{name}_parts", F.ceil(F.col(name) / most).cast("int"))
+
+    split = loads(left, "_l").join(loads(right, "_r"), keys).where("_l_parts > 1 or _r_parts > 1").select(*keys, "_l_parts", "_r_parts")
+    one = F.lit(1)
+
+    def dealt(df, own, other, own_part, other_part):
+        rows = df.join(F.broadcast(split), keys, "left")
+        spread = F.sequence(F.lit(0), F.coalesce(other, one) - 1)
+        return rows.select(*df.columns, F.pmod(F.xxhash64(*df.columns), F.coalesce(own, one)).cast("int").alias(own_part), F.explode(spread).alias(other_part))
+
+    a = dealt(left, F.col("_l_parts"), F.col("_r_parts"), "_meet_l", "_meet_r")
+    b = dealt(right, F.col("_r_parts"), F.col("_l_parts"), "_meet_r", "_meet_l")
+    return a.join(b, [*keys, "_meet_l", "_meet_r"]).drop("_meet_l", "_meet_r")
+
+
 def number_chunk(value: Column, grain: int = 256) -> Column:
     """Monotone bucket of a number with about 1/grain relative width, for callers who know that no bucket is large."""
     x = value.cast("double")
@@ -94,9 +124,9 @@ def chunk_bounds(df: DataFrame, keys: list[str], order: Order, chunks: int) -> D
     src = df.select(place.alias("p"))
     rows = src.agg(F.count(F.lit(1))).scalar()
     span = 1 << 48
-    sample = src.where(F.pmod(F.xxhash64("p"), F.lit(span)).cast("double") * rows < float(span) * _SAMPLES * chunks).distinct()
-    ordered = F.array_sort(F.collect_list("p"), lambda a, b: F.when(_before(a, b, down), -1).when(_before(b, a, down), 1).otherwise(0)) if any(down) \
-        else F.array_sort(F.collect_list("p"))
+    sample = src.where(F.pmod(F.xxhash64("p"), F.lit(span)).cast("double") * rows < float(span) * _SAMPLES * chunks)
+    ordered = F.array_sort(F.collect_set("p"), lambda a, b: F.when(_before(a, b, down), -1).when(_before(b, a, down), 1).otherwise(0)) if any(down) \
+        else F.array_sort(F.collect_set("p"))
     slot = lambda i: F.floor(i * chunks / F.size("s"))
     cut = sample.agg(ordered.alias("s")).select(F.filter("s", lambda _, i: (i > 0) & (slot(i) != slot(i - 1))).alias("bounds"))
     return cut_lineage(cut)

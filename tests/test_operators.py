@@ -345,7 +345,7 @@ def test_hull_by_brute_force(spark):
     rng = random.Random(4)
     pts = [(float(rng.randint(0, 12)), float(rng.randint(0, 12))) for _ in range(60)]
     df = spark.createDataFrame([("a", *p) for p in pts], "k string, x double, y double")
-    got = {(r["x"], r["y"]) for r in spatial.convex_hull(df, "k", "x", "y").collect()}
+    got = {(r["x"], r["y"]) for r in spatial.convex_hull(df, ["k"], "x", "y").collect()}
 
     def inside(p):
         others = [q for q in set(pts) if q != p]

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import spatial
+from tallyloom.operators import ordering, setops, spatial
 
 SHAPE = "id long, min_x double, min_y double, max_x double, max_y double"
 
@@ -54,9 +54,9 @@ def test_a_continent_touches_four_cells(spark):
 def test_a_hot_cell_is_dealt_on_both_sides(spark):
     left = spark.range(3000).select((F.col("id") % 1).alias("k"), F.col("id").alias("a"))
     right = spark.range(900).select((F.col("id") % 1).alias("k"), F.col("id").alias("b"))
-    both = spatial.meet(left, right, ["k"], 100)
+    both = ordering.meet(left, right, ["k"], 100)
     assert both.count() == 3000 * 900 and both.distinct().count() == 3000 * 900
-    one = spatial.meet(left.limit(5), right.limit(3), ["k"], 100)
+    one = ordering.meet(left.limit(5), right.limit(3), ["k"], 100)
     assert one.count() == 15
     plan = both._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
@@ -98,3 +98,83 @@ def test_empty_sides(spark):
     assert spatial.knn(none, pts, 2).count() == 0 and spatial.knn(some, pts.limit(0), 2).count() == 0
     assert spatial.spatial_intersects(none, some, 1.0).count() == 0 and spatial.spatial_contains(some, none, 1.0).count() == 0
     assert spatial.knn(some, pts, 9).count() == 5
+
+
+def ring(points):
+    """Monotone chain, for comparison."""
+    pts = sorted(set(points))
+    if len(pts) < 3:
+        return pts
+    def half(seq):
+        out = []
+        for p in seq:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+    return half(pts) + half(pts[::-1])
+
+
+def test_hulls_of_many_shapes(spark):
+    rng = random.Random(6)
+    shapes = {
+        "one": [(1.0, 1.0)] * 3, "two": [(0.0, 0.0), (2.0, 1.0)], "line": [(float(i), float(2 * i)) for i in range(9)],
+        "flat": [(float(i), 3.0) for i in range(9)], "grid": [(float(i % 7), float(i // 7)) for i in range(49)] * 2,
+        "circle": [(round(1000 * math.cos(t / 10)), round(1000 * math.sin(t / 10))) for t in range(63)],
+        "cloud": [(rng.randint(-500, 500), rng.randint(-500, 500)) for _ in range(3000)], None: [(float(rng.randint(0, 9)), float(rng.randint(0, 9))) for _ in range(40)]}
+    rows = [(k, float(x), float(y)) for k, ps in shapes.items() for x, y in ps] + [("one", None, 1.0), ("one", math.nan, 1.0), ("one", math.inf, 1.0)]
+    got: dict = {}
+    for r in spatial.convex_hull(spark.createDataFrame(rows, "k string, x double, y double"), ["k"], "x", "y", per_task=50).collect():
+        got.setdefault(r.k, []).append((r.i, (r.x, r.y)))
+    want = {k: list(enumerate(ring([(float(x), float(y)) for x, y in ps]))) for k, ps in shapes.items()}
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert spatial.convex_hull(spark.createDataFrame([], "k string, x double, y double"), ["k"], "x", "y").count() == 0
+
+
+def test_hull_needs_no_python(spark):
+    df = spark.range(5000).select((F.col("id") % 3).alias("k"), F.rand(1).alias("x"), F.rand(2).alias("y"))
+    plan = spatial.convex_hull(df, ["k"], "x", "y")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def consolidated(ranges):
+    """Row by row, as defined."""
+    rows: dict = {}
+    for s, t, a, b, z in ranges:
+        for r in range(min(t, b), max(t, b) + 1):
+            rows.setdefault((s, r), set()).update(range(min(a, z), max(a, z) + 1))
+    out, open_ = [], {}
+    for (s, r) in sorted(rows, key=lambda k: (str(k[0]), k[1])):
+        cells, spans = sorted(rows[s, r]), []
+        for c in cells:
+            if spans and spans[-1][1] == c - 1:
+                spans[-1][1] = c
+            else:
+                spans.append([c, c])
+        for a, z in spans:
+            top = open_.pop((s, r - 1, a, z), r)
+            open_[s, r, a, z] = top
+    return sorted(((s, t, a, r, z) for (s, r, a, z), t in open_.items()), key=str)
+
+
+@pytest.mark.parametrize("per_task", [200_000, 5])
+def test_consolidation_by_rows(spark, per_task):
+    rng = random.Random(7)
+    rs = [(rng.choice(["x", "y", None]), t := rng.randint(1, 40), a := rng.randint(1, 12), t + rng.choice([0, 1, 9]), a + rng.choice([0, 1, 4])) for _ in range(120)]
+    rs += [("x", 5, 5, 3, 2), ("z", 1, 1, 1, 1), ("z", 2, 1, 2, 1), ("z", 4, 1, 4, 1), ("z", 1, 2, 4, 2)] + rs[:10]
+    df = spark.createDataFrame(rs, "s string, t int, a int, b int, z int")
+    got = setops.range_consolidate(df, "s", "t", "a", "b", "z", per_task=per_task).select("s", "t", "a", "b", "z").collect()
+    assert sorted(map(tuple, got), key=str) == consolidated(rs)
+    flat = [r for r in rs if abs(r[3] - r[1]) <= 1]
+    got = setops.range_consolidate(spark.createDataFrame(flat, df.schema), "s", "t", "a", "b", "z", per_task=per_task).select("s", "t", "a", "b", "z").collect()
+    assert sorted(map(tuple, got), key=str) == consolidated(flat)
+
+
+def test_tall_ranges_cost_two_events(spark):
+    most = 1_048_576
+    df = spark.range(300).selectExpr("'s' s", "cast(id % 7 + 1 as int) t", "cast(2 * id as int) a", f"cast({most} - id % 5 as int) b", "cast(2 * id as int) z")
+    got = setops.range_consolidate(df, "s", "t", "a", "b", "z").collect()
+    assert len(got) == 300 and {(r.t, r.b) for r in got} == {(i % 7 + 1, most - i % 5) for i in range(300)}
+    both = df.unionByName(spark.createDataFrame([("s", 10, 0, 10, 700)], "s string, t int, a int, b int, z int"))
+    # one row across all columns cuts every tall range in two, and is whole itself
+    assert setops.range_consolidate(both, "s", "t", "a", "b", "z").count() == 601
