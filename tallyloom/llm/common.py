@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyloom.session import shared_folder
@@ -46,6 +47,17 @@ def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def text_slices(column: pa.Array, rows: int = 256, most: int = 1 << 20) -> Iterator[tuple[int, int, list[str]]]:
+    """(from, to, texts) of an Arrow column, so many rows and about so many bytes at a time; one longer text stands alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(column):
+        before = int(ends[lo - 1]) if lo else 0
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(ends, before + most, side="right"))))
+        yield lo, hi, strings(column.slice(lo, hi - lo))
+        lo = hi
+
+
 def batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 2048, weigh=None, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Pack row tuples into Arrow batches of at most ``size`` rows, or about ``most`` weight if rows are weighed."""
     held, weight = [], 0

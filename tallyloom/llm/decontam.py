@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tallyloom.llm.common import batches, mix64, stored, strings, word_hashes
+from tallyloom.llm.common import batches, mix64, stored, text_slices, word_hashes
 
 MASKS = ("11111", "101111", "110111", "111011", "111101")
 _HIT = "id long, seed long, pos int"
@@ -56,9 +56,9 @@ def _seed_rows(screen: np.ndarray | None, bits: int):
     def run(it):
         def out():
             for b in it:
-                ids, texts = b.column(0).to_pylist(), strings(b.column(1))
-                for lo in range(0, len(texts), 256):
-                    h, starts, _ = word_hashes(texts[lo:lo + 256])
+                ids = b.column(0).to_pylist()
+                for lo, _, texts in text_slices(b.column(1)):
+                    h, starts, _ = word_hashes(texts)
                     for at, s in seeds(h, starts):
                         if screen is not None:
                             slot = s & np.uint64((1 << bits) - 1)
@@ -75,8 +75,9 @@ def _seed_rows(screen: np.ndarray | None, bits: int):
 
 def _tokens(it):
     for b in it:
-        h, starts, _ = word_hashes(strings(b.column(1)))
-        rows = ((i, h[lo:hi].tobytes()) for i, lo, hi in zip(b.column(0).to_pylist(), starts[:-1].tolist(), starts[1:].tolist()))
+        ids = b.column(0).to_pylist()
+        slices = ((at, *word_hashes(texts)[:2]) for at, _, texts in text_slices(b.column(1)))
+        rows = ((ids[at + i], h[lo:hi].tobytes()) for at, h, starts in slices for i, (lo, hi) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())))
         yield from batches(rows, pa.schema([("item_id", pa.int64()), ("tokens", pa.binary())]))
 
 

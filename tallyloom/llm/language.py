@@ -29,7 +29,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from tallyloom.llm.common import batches, discard, id_crc, mix64, stored, strings
+from tallyloom.llm.common import batches, discard, id_crc, mix64, stored, strings, text_slices
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 START = "▁"
@@ -41,11 +41,10 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 class Pieces:
     """Vectorised lookup of substrings in the vocabulary (id 0 is the unknown piece)."""
 
-    def __init__(self, path: str, longest: int = 12):
+    def __init__(self, path: str):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = sp.get_piece_size()
         known = {sp.id_to_piece(i): i for i in range(self.size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-        known = {p: i for p, i in known.items() if len(p) <= longest}
         self.longest = max(map(len, known))
         self.key = np.zeros(self.size, np.uint64)
         hashes, ids = np.array([self._hash(p) for p in known], np.uint64), np.fromiter(known.values(), np.int32)
@@ -133,21 +132,23 @@ def log_scores(words: list[str], pieces: Pieces, prob: np.ndarray) -> np.ndarray
 
 
 def expected(words: list[str], counts: np.ndarray, pieces: Pieces, prob: np.ndarray) -> np.ndarray:
-    """Expected number of uses of each piece in the words of one language."""
+    """Expected number of uses of each piece in the words of one language.
+
+    Sums at each place are kept as a share of 1 with the logarithm of their scale, so that
+    words of any length and of the rarest pieces stay within the range of doubles.
+    """
     total = np.zeros(pieces.size)
     for at, chars in by_length(words):
         n = chars.shape[1]
         edges = pieces.lattice(chars)
         p = {e: prob[ids] for e, ids in edges.items()}
-        alpha, beta = np.zeros((n + 1, len(at))), np.zeros((n + 1, len(at)))
-        alpha[0] = beta[n] = 1
-        for (j, i) in sorted(edges, key=lambda e: e[1]):
-            alpha[i] += alpha[j] * p[j, i]
-        for (j, i) in sorted(edges, key=lambda e: -e[0]):
-            beta[j] += beta[i] * p[j, i]
-        share = counts[at] / alpha[n]
+        up, down = np.zeros((n + 1, len(at))), np.zeros((n + 1, len(at)))
+        for i in range(1, n + 1):
+            up[i] = up[i - 1] + np.log(sum(np.exp(up[j] - up[i - 1]) * p[j, i] for j in range(max(0, i - pieces.longest), i) if (j, i) in p))
+        for j in range(n - 1, -1, -1):
+            down[j] = down[j + 1] + np.log(sum(np.exp(down[i] - down[j + 1]) * p[j, i] for i in range(j + 1, min(n, j + pieces.longest) + 1) if (j, i) in p))
         for (j, i), ids in edges.items():
-            use = alpha[j] * p[j, i] * beta[i] * share
+            use = np.exp(up[j] + down[i] - up[n]) * p[j, i] * counts[at]
             ok = ids >= 0
             total += np.bincount(ids[ok], weights=use[ok], minlength=pieces.size)
     return total
@@ -158,25 +159,24 @@ def _padded(model: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
     return names, np.concatenate([np.stack([model[x] for x in names], axis=1), np.zeros((1, len(names)))])
 
 
-def _count_words(longest: int):
+def _count_words():
     kinds = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
     def run(it):
         for b in it:
             seen: dict[str, Counter] = {}
             for lang, text in zip(b.column(0).to_pylist(), strings(b.column(1))):
-                seen.setdefault(lang, Counter()).update(w for w in text.split() if len(w) <= longest)
+                seen.setdefault(lang, Counter()).update(text.split())
             yield from batches(((lang, w, n) for lang, c in seen.items() for w, n in c.items()), kinds, 65536)
 
     return run
 
 
-def train(docs: DataFrame, path: str = VOCABULARY, sample_docs: int = 2000, rounds: int = 3, smooth: float = 0.1, longest: int = 64,
+def train(docs: DataFrame, path: str = VOCABULARY, sample_docs: int = 2000, rounds: int = 3, smooth: float = 0.1,
           id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[dict[str, np.ndarray], dict[str, float]]:
     """Piece probabilities and share of each language, from rows with a language and a text.
 
-    About ``sample_docs`` texts of each language are used, chosen by the hash of their id;
-    words over ``longest`` letters are left out of training (not of scoring).
+    About ``sample_docs`` texts of each language are used, chosen by the hash of their id.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 20)).alias("_h"))
@@ -185,7 +185,7 @@ def train(docs: DataFrame, path: str = VOCABULARY, sample_docs: int = 2000, roun
         return {}, {}
     most = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(max(1, int((1 << 20) * min(1.0, sample_docs / n)))))])
     some = known.where(F.col("_h") < most[F.col("lang")]).select("lang", "text")
-    words = stored(some.mapInArrow(_count_words(longest), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    words = stored(some.mapInArrow(_count_words(), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     pieces = vocabulary(path)
     model = {lang: np.full(pieces.size, 1.0 / pieces.size) for lang in sizes}
     for _ in range(rounds):
@@ -210,6 +210,8 @@ def train(docs: DataFrame, path: str = VOCABULARY, sample_docs: int = 2000, roun
             mine = found[found["lang"] == lang]
             v = np.full(pieces.size, smooth)
             v[mine["piece"].to_numpy()] += mine["uses"].to_numpy()
+            if not np.isfinite(v).all():
+                raise ValueError(f"piece counts of language {lang!r} are not finite")
             model[lang] = v / v.sum()
     discard(docs.sparkSession, words)
     total = sum(sizes.values())
@@ -248,22 +250,18 @@ def _scorer(model: dict[str, np.ndarray], share: dict[str, float], path: str):
 
 
 def predict(docs: DataFrame, model: dict[str, np.ndarray], share: dict[str, float], path: str = VOCABULARY, text_col: str = "text",
-            chunk: int = 4 << 20, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+            chunk: int = 2 << 20, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with lang_pred and score (or the names in ``into``); the text is the only input."""
     score = _scorer(model, share, path)
     where = docs.columns.index(text_col)
 
     def run(it):
         for b in it:
-            texts = strings(b.column(where))
-            tags, sure, lo, size = [], [], 0, 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size >= chunk or i == len(texts) - 1:
-                    got = score(texts[lo:i + 1])
-                    tags += got[0]
-                    sure += got[1]
-                    lo, size = i + 1, 0
+            tags, sure = [], []
+            for _, _, texts in text_slices(b.column(where), b.num_rows, chunk):
+                got = score(texts)
+                tags += got[0]
+                sure += got[1]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tags, pa.string()), pa.array(sure, pa.float64())], [*b.schema.names, *into])
 
     schema = StructType(list(docs.schema.fields)).add(into[0], StringType()).add(into[1], DoubleType())

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tallyloom.llm.common import batches, components, mix64, stored, strings, word_hashes
+from tallyloom.llm.common import batches, components, mix64, stored, text_slices, word_hashes
 
 HASHES = 64
 ROWS = 4
@@ -93,9 +93,9 @@ def _sign(size: int, hashes: int, rows: int):
     def run(it):
         def out():
             for b in it:
-                ids, texts = b.column(0).to_pylist(), strings(b.column(1))
-                for lo in range(0, len(texts), 512):
-                    sets = shingle_sets(texts[lo:lo + 512], size)
+                ids = b.column(0).to_pylist()
+                for lo, _, texts in text_slices(b.column(1)):
+                    sets = shingle_sets(texts, size)
                     full = [i for i, s in enumerate(sets) if len(s)]
                     low, high = signatures([sets[i] for i in full], hashes)
                     keys = band_keys(low, high, rows)
@@ -118,9 +118,10 @@ def _linked(size: int, percent: int):
     def run(it):
         for b in it:
             ok = []
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                for p, q in zip(shingle_sets(strings(part.column(2)), size), shingle_sets(strings(part.column(3)), size)):
+            for lo, hi, texts in text_slices(b.column(2)):
+                # the other side of a pair is of similar size, or the pair is no link
+                others = (t for _, _, some in text_slices(b.column(3).slice(lo, hi - lo)) for t in some)
+                for p, q in zip(shingle_sets(texts, size), (shingle_sets([t], size)[0] for t in others)):
                     both = np.concatenate([p, q])
                     both.sort()
                     inter = int((both[1:] == both[:-1]).sum())
@@ -133,10 +134,10 @@ def _linked(size: int, percent: int):
 def _items(size: int):
     def run(it):
         for b in it:
-            ids, texts = b.column(0).to_pylist(), strings(b.column(1))
-            for lo in range(0, len(texts), 512):
-                sets = shingle_sets(texts[lo:lo + 512], size)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids[lo:lo + 512], np.int64), [len(s) for s in sets])), pa.array(np.concatenate(sets).view(np.int64))], ["id", "item"])
+            ids = b.column(0).to_pylist()
+            for lo, hi, texts in text_slices(b.column(1)):
+                sets = shingle_sets(texts, size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids[lo:hi], np.int64), [len(s) for s in sets])), pa.array(np.concatenate(sets).view(np.int64))], ["id", "item"])
 
     return run
 
@@ -146,9 +147,9 @@ def _long_signatures(size: int, hashes: int):
 
     def run(it):
         for b in it:
-            ids, texts = b.column(0).to_pylist(), strings(b.column(1))
-            for lo in range(0, len(texts), 128):
-                sets = [(i, s) for i, s in zip(ids[lo:lo + 128], shingle_sets(texts[lo:lo + 128], size)) if len(s)]
+            ids = b.column(0).to_pylist()
+            for lo, hi, texts in text_slices(b.column(1), 128):
+                sets = [(i, s) for i, s in zip(ids[lo:hi], shingle_sets(texts, size)) if len(s)]
                 if sets:
                     sig = np.concatenate(signatures([s for _, s in sets], hashes), axis=1)
                     sig = (mix64(sig) & np.uint64(255)).astype(np.uint8)

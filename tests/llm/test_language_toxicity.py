@@ -59,6 +59,19 @@ def test_long_words_do_not_underflow():
     assert np.isfinite(long) and 90 < long / short < 110
 
 
+def test_long_rare_words_leave_the_model_finite(spark):
+    pieces = language.vocabulary(language.VOCABULARY)
+    rare = np.full(pieces.size, 1e-9)
+    rare[0] = 1e-9
+    got = language.expected(["語" * 63 + "qz" * 400, "ab"], np.array([2.0, 1.0]), pieces, np.append(rare / rare.sum(), 0.0))
+    assert np.isfinite(got).all() and got.sum() > 400
+    rng = random.Random(2)
+    rows = [(i, made_up(rng, ["ba", "bo", "bi"] if i % 2 else ["sta", "ste", "sti"], 30), "xb" if i % 2 else "xs", None, None, 0, None) for i in range(60)]
+    rows.append((1000, "語漢字假名混交文章" * 9, "xb", None, None, 0, None))
+    model, _ = language.train(spark.createDataFrame(rows, DOCS))
+    assert all(np.isfinite(v).all() and v.min() > 0 and abs(v.sum() - 1) < 1e-9 for v in model.values())
+
+
 def made_up(rng, syllables, n):
     return " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(n))
 
