@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyloom.session import Steps, cut_lineage
+from tallyloom.operators.ordering import meet
+from tallyloom.session import Log, Steps, cut_lineage, remove
 
 
 def vertices_of(edges: DataFrame) -> DataFrame:
@@ -85,16 +86,16 @@ def topo_order(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame
     waiting = links.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("open"))
     steps, level = Steps(), 0
     open_edges = steps.cut(waiting)
-    done = free = cut_lineage(nodes.join(open_edges, "id", "left_anti").withColumn("level", F.lit(0)))
+    done = Log(edges.sparkSession)
+    free = done.add(nodes.join(open_edges, "id", "left_anti").withColumn("level", F.lit(0)))
     while not free.isEmpty():
         level += 1
         # the edges of the last level alone are subtracted from the counts of what they point at
         met = free.join(links, free["id"] == links["src"]).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("gone"))
         open_edges = steps.cut(open_edges.join(met, "id", "left").select("id", (F.col("open") - F.coalesce("gone", F.lit(0))).alias("open")).where("open >= 0"))
-        free = cut_lineage(open_edges.where("open = 0").select("id", F.lit(level).alias("level")))
+        free = done.add(open_edges.where("open = 0").select("id", F.lit(level).alias("level")))
         open_edges = open_edges.where("open > 0")
-        done = done.unionByName(free)
-    return done
+    return done.read()
 
 
 def cyclic_core(edges: DataFrame) -> DataFrame:
@@ -221,28 +222,31 @@ def layout_stress(edges: DataFrame, coordinates: DataFrame, paths: DataFrame | N
     return both.agg(F.sum(F.pow(F.col("_D") - gap, F.lit(2)) / (F.col("_D") * F.col("_D"))).alias("stress"), F.count(F.lit(1)).alias("pairs"))
 
 
-def tree_metrics(edges: DataFrame) -> DataFrame:
+def tree_metrics(edges: DataFrame, per_task: int = 200000) -> DataFrame:
     """Per node of a forest (parent, child): depth below the root, height, leaf count.
 
-    Levels are walked down from the roots, then sums go up level by level.
+    In round k every node knows its ancestor 2^k above and what lies less than 2^k below it;
+    the nodes 2^k below add what they know.  So a path of n nodes takes log2(n) rounds, not
+    n.  Nodes on or below a cycle have no row.
     """
     links = cut_lineage(edges.select("parent", "child").distinct())
-    children = links.select(F.col("child").alias("id"))
-    level = cut_lineage(links.select(F.col("parent").alias("id")).distinct().join(children, "id", "left_anti").withColumn("depth", F.lit(0)))
-    levels = []
-    while not level.isEmpty():
-        levels.append(level)
-        level = cut_lineage(level.join(links, level["id"] == links["parent"]).select(F.col("child").alias("id"), (F.col("depth") + 1).alias("depth")))
-    below, out = None, None
-    for level in reversed(levels):
-        if below is None:
-            rows = level.select("id", "depth", F.lit(0).alias("height"), F.lit(1).cast("long").alias("leaves"))
-        else:
-            per = below.join(links, below["id"] == links["child"]).groupBy(F.col("parent").alias("id")).agg(
-                (F.max("height") + 1).alias("_h"), F.sum("leaves").alias("_l"))
-            rows = level.join(per, "id", "left").select("id", "depth", F.coalesce("_h", F.lit(0)).alias("height"), F.coalesce("_l", F.lit(1)).alias("leaves"))
-        below = cut_lineage(rows)
-        out = below if out is None else out.unionByName(below)
-    return out
-
-
+    ids = links.select(F.col("parent").alias("id")).union(links.select("child")).distinct()
+    inner = links.select(F.col("parent").alias("id")).distinct().withColumn("_inner", F.lit(True))
+    steps = Steps()
+    own = ids.join(links.select(F.col("child").alias("id"), F.col("parent").alias("up")), "id", "left").join(inner, "id", "left")
+    state = steps.cut(own.select("id", "up", F.col("up").isNotNull().cast("int").alias("depth"), F.lit(0).alias("height"),
+                                 F.when(F.col("_inner"), 0).otherwise(1).cast("long").alias("leaves")))
+    reach, nodes = 1, state.count()
+    while reach <= nodes and not state.where("up is not null").isEmpty():
+        below = state.where("up is not null").groupBy(F.col("up").alias("id")).agg(
+            F.sum("leaves").alias("_l"), (F.max("height") + reach).cast("int").alias("_h"))
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d"))
+        told = state.join(below, "id", "left").select("id", "up", "depth", F.greatest("height", F.coalesce("_h", F.lit(0))).alias("height"),
+                                                      (F.col("leaves") + F.coalesce("_l", F.lit(0))).alias("leaves"))
+        told = cut_lineage(told)
+        # a node with many children is asked by all of them; nodes that have met their root ask nobody
+        asking = meet(told.where("up is not null"), above, ["up"], per_task, nodes)
+        state = steps.cut(told.where("up is null").unionByName(asking.select("id", F.col("_up").alias("up"), (F.col("depth") + F.col("_d")).alias("depth"), "height", "leaves")))
+        remove(told)
+        reach *= 2
+    return state.where("up is null").select("id", "depth", "height", "leaves")

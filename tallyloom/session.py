@@ -69,6 +69,24 @@ class Steps:
         return self.held[-1]
 
 
+class Log:
+    """A table that a loop adds rows to and reads as a whole at the end; the plan does not grow with the rounds."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.schema, self.parts = spark, f"{shared_folder(spark)}/log-{uuid.uuid4().hex}", None, 0
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Write ``rows`` and return them as written."""
+        self.schema = rows.schema
+        part = f"{self.path}/part={self.parts}"
+        rows.write.parquet(part)
+        self.parts += 1
+        return self.spark.read.schema(self.schema).parquet(part)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/part={i}" for i in range(self.parts)])
+
+
 def remove(df: DataFrame) -> None:
     """Delete the files of a written step that nothing reads any more."""
     spark = df.sparkSession

@@ -366,6 +366,18 @@ def test_tree(spark):
     assert m["R"] == (0, 2, 4) and m["X"] == (1, 1, 2) and m["C"] == (2, 0, 1)
 
 
+def test_a_long_path_takes_few_rounds(spark):
+    """A path of 3,000 nodes beside a star, a lone loop and what hangs on the loop."""
+    n = 3000
+    rows = [(f"p{i}", f"p{i + 1}") for i in range(n)] + [("s", f"s{i}") for i in range(500)] + [("x", "y"), ("y", "x"), ("y", "z")]
+    jobs = spark.sparkContext.statusTracker()
+    before = max(jobs.getJobIdsForGroup(None), default=0)
+    got = {r["id"]: (r["depth"], r["height"], r["leaves"]) for r in graph.tree_metrics(spark.createDataFrame(rows, "parent string, child string")).collect()}
+    assert len(got) == n + 1 + 501 and got["s"] == (0, 1, 500) and got["s7"] == (1, 0, 1)
+    assert all(got[f"p{i}"] == (i, n - i, 1) for i in range(n + 1))
+    assert max(jobs.getJobIdsForGroup(None)) - before < 400  # twelve rounds, not three thousand
+
+
 def test_touching_boxes_intersect_and_hot_cell_splits(spark):
     a = spark.createDataFrame([(i, 0.0, 0.0, 1.0, 1.0) for i in range(50)], "id long, min_x double, min_y double, max_x double, max_y double")
     q = spark.createDataFrame([(9, 1.0, 1.0, 2.0, 2.0)], a.schema)
