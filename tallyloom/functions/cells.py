@@ -155,27 +155,49 @@ def log_factorial(x: Column) -> Column:
     return F.when(x <= 20, F.ln(F.when(x < 1, 1.0).otherwise(small))).otherwise(series)
 
 
+_EXACT = 60
+
+
 def factorial(x: Column) -> Column:
     return F.when(x >= 0, F.when(x <= 20, F.factorial(F.least(x.cast("int"), F.lit(20))).cast("double")).otherwise(F.exp(log_factorial(x))))
 
 
 def combin(total: Column, chosen: Column) -> Column:
-    """Ways to choose; an exact running product over the smaller side."""
+    """Ways to choose: an exact running product over a smaller side of at most ``_EXACT``, else by logarithms of factorials."""
     a, k = F.floor(total).cast("double"), F.floor(chosen).cast("double")
-    side = F.least(k, a - k).cast("int")
-    ways = F.aggregate(F.sequence(F.lit(1), F.greatest(side, F.lit(1))), F.lit(1.0), lambda p, i: p * (a - i + 1) / i)
-    return F.when((a >= k) & (k >= 0), F.when(side == 0, 1.0).otherwise(ways))
+    side = F.least(k, a - k)
+    steps = F.sequence(F.lit(1), F.greatest(F.least(side, F.lit(_EXACT)).cast("int"), F.lit(1)))
+    ways = F.aggregate(steps, F.lit(1.0), lambda p, i: p * (a - i + 1) / i)
+    return F.when((a >= k) & (k >= 0), F.when(side == 0, 1.0).when(side <= _EXACT, ways).otherwise(F.exp(_log_combin(a, k))))
+
+
+def _log_combin(a: Column, k: Column) -> Column:
+    return log_factorial(a) - log_factorial(k) - log_factorial(a - k)
 
 
 def binom_dist(successes: Column, trials: Column, p: Column, cumulative: bool = False) -> Column:
-    """Binomial mass or distribution; NULL for an impossible probability."""
-    x, m = F.floor(successes).cast("int"), F.floor(trials).cast("double")
+    """Binomial mass or distribution; NULL for an impossible probability.
 
-    def mass(i):
-        return combin(m, i) * F.pow(p, i) * F.pow(1 - p, m - i)
+    The distribution sums masses within forty deviations of the mode or of ``successes``:
+    what lies beyond is less than the last bit of a double.  So a row costs the square root
+    of its trials, not their number.
+    """
+    x, m = F.floor(successes).cast("long"), F.floor(trials).cast("double")
 
-    body = F.aggregate(F.transform(F.sequence(F.lit(0), x), lambda i: mass(i.cast("double"))), F.lit(0.0), lambda a, v: a + v) if cumulative else mass(x.cast("double"))
-    return F.when((p >= 0) & (p <= 1) & (x >= 0) & (x <= m), body)
+    def mass(i):
+        plain = combin(m, i) * F.pow(p, i) * F.pow(1 - p, m - i)
+        inner = (p > 0) & (p < 1) & (F.least(i, m - i) > _EXACT)
+        return F.when(inner, F.exp(_log_combin(m, i) + i * F.ln(p) + (m - i) * F.log1p(-p))).otherwise(plain)
+
+    possible = (p >= 0) & (p <= 1) & (x >= 0) & (x <= m)
+    if not cumulative:
+        return F.when(possible, mass(x.cast("double")))
+    wide = 40 * F.sqrt(m * p * (1 - p)) + 40
+    low = F.greatest(F.lit(0), F.floor(F.least(x.cast("double"), m * p) - wide)).cast("long")
+    high = F.least(x, F.ceil(m * p + wide).cast("long"))
+    # a row of impossible arguments has an empty range of its own
+    span = F.when(possible, F.sequence(F.least(low, high), high))
+    return F.when(possible, F.aggregate(span, F.lit(0.0), lambda t, i: t + mass(i.cast("double"))))
 
 
 def fisher(x: Column) -> Column:

@@ -343,9 +343,9 @@ def _(spark, sf):
     return papers(spark, sf).select("doc_id", F.md5(co.cite_resolve(F.col("text"))).alias("digest"))
 
 
-@query("cite_missing", f"with {_PAPER}, {_KEYS} select doc_id, cite_key from ko where cite_key not in (select 'k'||s_suppkey from supplier where s_nationkey<18)")
+@query("cite_missing", f"with {_PAPER}, {_KEYS} select doc_id, cite_key from ko where cite_key not in (select case when s_nationkey<18 then 'k' else 'old' end||s_suppkey from supplier)")
 def _(spark, sf):
-    refs = table(spark, sf, "supplier").where("s_nationkey < 18").select(F.concat(F.lit("k"), F.col("s_suppkey").cast("string")).alias("ref"))
+    refs = table(spark, sf, "supplier").select(F.concat(F.when(F.col("s_nationkey") < 18, "k").otherwise("old"), F.col("s_suppkey").cast("string")).alias("ref"))
     return co.cite_missing(papers(spark, sf), "doc_id", "text", refs, "ref")
 
 
@@ -355,10 +355,10 @@ def _(spark, sf):
     return co.cite_uncited(papers(spark, sf), "text", refs, "ref")
 
 
-@query("keys_except", "select distinct c_nationkey k from customer except select s_nationkey from supplier where s_acctbal>5000")
+@query("keys_except", "select distinct c_nationkey k from customer except select case when s_acctbal>5000 then s_nationkey end from supplier")
 def _(spark, sf):
     return co.keys_except(table(spark, sf, "customer").select(F.col("c_nationkey").alias("k")),
-                          table(spark, sf, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("k")), ["k"])
+                          table(spark, sf, "supplier").select(F.when(F.col("s_acctbal") > 5000, F.col("s_nationkey")).alias("k")), ["k"])
 
 
 _HEADLINE, _QPAT = r"^(#|\d+\.|第)", r"\((\w+ et al)\.,"
@@ -428,11 +428,11 @@ def _(spark, sf):
 
 
 @query("eval_readiness", """select conv_id, count(*) total, count(*) filter (not bad) ready, count(*) filter (bad) invalid, count(*) filter (not bad) needs_model, count(*) filter (e is null or trim(e)='') smoke_only
- from (select conv_id, case when turn%4=3 then '  ' else "text" end p, lead(text) over (partition by conv_id order by turn) e, turn%4=3 or "text" is null bad from conversations) group by 1""")
+ from (select conv_id, lead(text) over (partition by conv_id order by turn) e, role<>'user' or "text" is null or trim("text")='' bad from conversations) group by 1""")
 def _(spark, sf):
     from pyspark.sql import Window as W
     c = table(spark, sf, "conversations").select(
-        "conv_id", F.when(F.col("turn") % 4 == 3, "  ").otherwise(F.col("text")).alias("p"), F.lead("text").over(W.partitionBy("conv_id").orderBy("turn")).alias("e"))
+        "conv_id", F.when(F.col("role") == "user", F.col("text")).otherwise("  ").alias("p"), F.lead("text").over(W.partitionBy("conv_id").orderBy("turn")).alias("e"))
     return co.eval_readiness(c, ["conv_id"], "p", "e")
 
 

@@ -156,21 +156,21 @@ def _(spark, sf):
         sig(ce.pmt(r, n, v, F.lit(500.0), True), 12).alias("pmt_start"), sig(ce.ipmt(r, period, n, v), 12).alias("ipmt_"))
 
 
-@query("fn_combin", f"""select l_quantity::int n, l_linenumber k, count(*) rows_, {sqlsig('any_value(exp(lgamma(l_quantity+1)-lgamma(l_linenumber+1)-lgamma(greatest(l_quantity-l_linenumber,0)+1)))', 8)} combin_,
- {sqlsig('any_value(case when l_quantity<=20 then factorial(l_quantity::int)::double else exp(lgamma(l_quantity+1)) end)', 8)} fact_ from lineitem where l_quantity>=l_linenumber group by 1,2""")
+@query("fn_combin", f"""select l_quantity::int n, l_linenumber k, count(*) rows_, {sqlsig('any_value(case when l_quantity>=l_linenumber then exp(lgamma(l_quantity+1)-lgamma(l_linenumber+1)-lgamma(greatest(l_quantity-l_linenumber,0)+1)) end)', 8)} combin_,
+ {sqlsig('any_value(case when l_quantity<=20 then factorial(l_quantity::int)::double else exp(lgamma(l_quantity+1)) end)', 8)} fact_ from lineitem group by 1,2""")
 def _(spark, sf):
     n, k = F.col("l_quantity").cast("int"), F.col("l_linenumber")
-    per = table(spark, sf, "lineitem").where(F.col("l_quantity") >= k).groupBy(n.alias("n"), k.alias("k")).agg(F.count(F.lit(1)).alias("rows_"))
+    per = table(spark, sf, "lineitem").groupBy(n.alias("n"), k.alias("k")).agg(F.count(F.lit(1)).alias("rows_"))
     return per.select("n", "k", "rows_", sig(ce.combin(F.col("n"), F.col("k")), 8).alias("combin_"), sig(ce.factorial(F.col("n")), 8).alias("fact_"))
 
 
 _BIN = "exp(lgamma(n+1)-lgamma(i+1)-lgamma(n-i+1))*pow(p, i)*pow(1-p, n-i)"
 
 
-@query("binom_dist", f"""with g as (select distinct l_linenumber x, l_quantity n, l_discount+0.0037::double p from lineitem where l_quantity>=l_linenumber)
-select x, n, round(p, 6) p, {sqlsig(_BIN.replace('(i', '(x').replace(', i)', ', x)').replace('n-i', 'n-x'), 9)} pmf, {sqlsig(f'list_sum(list_transform(range(0, x+1), lambda i: {_BIN}))', 9)} cdf from g""")
+@query("binom_dist", f"""with g as (select distinct l_linenumber x, l_quantity n, l_discount+0.0037::double p from lineitem)
+select x, n, round(p, 6) p, case when n>=x then {sqlsig(_BIN.replace('(i', '(x').replace(', i)', ', x)').replace('n-i', 'n-x'), 9)} end pmf, case when n>=x then {sqlsig(f'list_sum(list_transform(range(0, x+1), lambda i: {_BIN}))', 9)} end cdf from g""")
 def _(spark, sf):
-    g = table(spark, sf, "lineitem").where("l_quantity >= l_linenumber").select(F.col("l_linenumber").alias("x"), F.col("l_quantity").alias("n"), (F.col("l_discount") + 0.0037).alias("p")).distinct()
+    g = table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("x"), F.col("l_quantity").alias("n"), (F.col("l_discount") + 0.0037).alias("p")).distinct()
     x, n, p = F.col("x"), F.col("n"), F.col("p")
     return g.select("x", "n", F.round("p", 6).alias("p"), sig(ce.binom_dist(x, n, p), 9).alias("pmf"), sig(ce.binom_dist(x, n, p, True), 9).alias("cdf"))
 

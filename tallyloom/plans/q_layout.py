@@ -103,11 +103,11 @@ def _(spark, sf):
     return ly.page_block_order(w, "page", "idx", "block").select("doc_id", "page", F.array_join("block_ids", ",").alias("ids"))
 
 
-@query("page_layout_class", f"""with p as (select source, case when length(text)>600 then length(text) else 0 end c, case when doc_id%20<5 then 0.7 when doc_id%20<9 then 0.3 else 0.05 end::double r from documents)
+@query("page_layout_class", f"""with p as (select source, coalesce(length(text), 0) c, case when doc_id%20<5 then 0.7 when doc_id%20<9 then 0.3 else 0.05 end::double r from documents)
 select source, pages, chars, class from (select source, count(*) pages, cast(sum(c) as bigint) chars, case when sum(c)*1.0/count(*)>=80 and avg(r)<0.55 then case when avg(r)>=0.20 then 'hybrid' else 'text' end when sum(c)=0 or (sum(c)*1.0/count(*)<20 and avg(r)>=0.55) then 'scan' else 'hybrid' end class from p group by 1)""")
 def _(spark, sf):
     m = F.col("doc_id") % 20
-    d = table(spark, sf, "documents").select("source", F.when(F.length("text") > 600, F.length("text")).otherwise(0).alias("c"),
+    d = table(spark, sf, "documents").select("source", F.coalesce(F.length("text"), F.lit(0)).alias("c"),
                                              F.when(m < 5, 0.7).when(m < 9, 0.3).otherwise(0.05).alias("r"))
     return ly.page_layout_class(d, "source", "c", "r").select("source", "pages", "chars", "class")
 
@@ -157,7 +157,7 @@ def _structure(spark, sf):
 
 
 def _assets(spark, sf):
-    b = _blocks(spark, sf).where("kind <> 'paragraph'").select("doc_id", F.struct(
+    b = _blocks(spark, sf).select("doc_id", F.struct(
         F.concat(F.lit("img"), F.col("idx").cast("string")).alias("id"), F.col("block_id").alias("name"), F.array(F.concat(F.lit("B"), (F.col("idx") + 1).cast("string"))).alias("usedBy")).alias("a"))
     per = b.groupBy("doc_id").agg(F.to_json(F.struct(F.collect_list("a").alias("items"))).alias("value"))
     return bl.parse_assets(per, "doc_id", "value")
@@ -172,7 +172,7 @@ def _(spark, sf):
     return _content(spark, sf).select("doc_id", "block_id", "idx", "kind").join(s, ["doc_id", "block_id"])
 
 
-@query("block_view", f"""with {_NL}, {_STR}, us as (select distinct doc_id, 'img'||idx a, unnest(['img'||idx, block_id, 'b'||(idx+1)]) b from bk where kind<>'paragraph')
+@query("block_view", f"""with {_NL}, {_STR}, us as (select distinct doc_id, 'img'||idx a, unnest(['img'||idx, block_id, 'b'||(idx+1)]) b from bk)
 select bk.doc_id, upper(bk.block_id) block_id, kind, case when has=1 then fmt end fmt, coalesce((select string_agg(a, ',' order by a) from us where us.doc_id=bk.doc_id and us.b=bk.block_id), '') assets from bk join st on st.doc_id=bk.doc_id and st.idx=bk.idx""")
 def _(spark, sf):
     v = pk.block_view(_content(spark, sf), _structure(spark, sf), _assets(spark, sf))

@@ -319,7 +319,7 @@ def _(spark, sf):
 
 @query("src_group_json", """select event_type||user_id "label", count(*) n, round(sum(value), 4) total from events group by 1""")
 def _(spark, sf):
-    per = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.collect_list("value").alias("v"))
+    per = table(spark, sf, "events").groupBy("user_id", "event_type", F.floor(F.col("event_id") / 1000)).agg(F.collect_list("value").alias("v"))
     docs = per.select(F.to_json(F.create_map(F.concat("event_type", F.col("user_id").cast("string")), F.col("v"))).alias("value"))
     return gr.parse_group_json(docs).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 

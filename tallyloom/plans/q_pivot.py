@@ -88,14 +88,15 @@ def _(spark, sf):
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "first_part", "brand", "found")
 
 
-@query("lookup_asof", """with l as (select event_id, user_id, ts from events where event_type='purchase'), r as (select event_id, user_id, ts, value from events where event_type='view')
-select l.event_id, l.user_id, arg_max(r.ts, struct_pack(a := r.ts, b := r.event_id)) matched_key, arg_max(r.value, struct_pack(a := r.ts, b := r.event_id)) view_value
- from l left join r on l.user_id=r.user_id and r.ts<=l.ts group by 1,2""")
+@query("lookup_asof", """with l as (select event_id, user_id, ts - interval 6 hour ts from events)
+select l.event_id, l.user_id, arg_max(r.ts, struct_pack(a := r.ts, b := r.event_id)) matched_key, arg_max(r.value, struct_pack(a := r.ts, b := r.event_id)) old_value
+ from l left join events r on l.user_id=r.user_id and r.ts<=l.ts group by 1,2""")
 def _(spark, sf):
+    """What each user's newest value was six hours before each of their events."""
     e = table(spark, sf, "events")
-    left = e.where("event_type='purchase'").select("event_id", "user_id", "ts")
-    right = e.where("event_type='view'").select("user_id", "ts", F.col("event_id").alias("p"), F.col("value").alias("view_value"))
-    return lk.lookup_asof(left, right, ["user_id"], "ts", "ts", "p", ["view_value"]).select("event_id", "user_id", "matched_key", "view_value")
+    left = e.select("event_id", "user_id", (F.col("ts") - F.expr("interval 6 hours")).alias("ts"))
+    right = e.select("user_id", "ts", F.col("event_id").alias("p"), F.col("value").alias("old_value"))
+    return lk.lookup_asof(left, right, ["user_id"], "ts", "ts", "p", ["old_value"]).select("event_id", "user_id", "matched_key", "old_value")
 
 
 @query("lookup_asof_number", """select c_custkey, arg_max(s_acctbal, struct_pack(a := s_acctbal, b := s_suppkey)) matched_key, arg_max(s_name, struct_pack(a := s_acctbal, b := s_suppkey)) s_name

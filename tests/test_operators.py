@@ -491,3 +491,22 @@ def test_line_features_mode_font(spark):
         [("A", "X-Bold"), ("b", "Y"), ("c", "Y")])], "doc_id int, page int, word_id int, x0 double, y0 double, x1 double, y1 double, text string, font string, size double, page_width double, page_height double")
     r = one(layout.line_features(layout.line_build(w)))
     assert (r["text"], r["font"], r["bold"], r["gibberish"]) == ("A b c", "Y", True, False)
+
+
+def test_large_combinations_and_distributions(spark):
+    from math import comb, exp, lgamma, log, log1p
+    from tallyloom.functions import cells as ce
+    rows = [(1_000_000.0, 2.0), (1_000_000.0, 999_997.0), (200.0, 90.0), (61.0, 30.0), (120.0, 60.0), (5.0, 7.0), (1e6, 60.0)]
+    df = spark.createDataFrame(rows, "a double, k double")
+    got = [r["c"] for r in df.select(ce.combin(F.col("a"), F.col("k")).alias("c")).collect()]
+    assert got == [None if k > a else pytest.approx(float(comb(int(a), int(k))), rel=1e-8) for a, k in rows]
+
+    def cdf(x, n, p):
+        return sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log1p(-p)) for i in range(max(0, min(x, int(n * p)) - 60_000), min(x, int(n * p) + 60_000) + 1))
+
+    cases = [(500_100, 1_000_000, 0.5), (9_000, 1_000_000, 0.01), (3, 1_000_000, 1e-6), (990_300, 1_000_000, 0.99), (1_000_000, 1_000_000, 0.3), (40, 100, 0.4), (0, 1_000_000, 0.5)]
+    got = [r["d"] for r in spark.createDataFrame(cases, "x long, n long, p double").select(ce.binom_dist(F.col("x"), F.col("n"), F.col("p"), True).alias("d")).collect()]
+    assert got == [pytest.approx(cdf(*c), rel=1e-7, abs=1e-300) for c in cases]
+    ends = [(3, 3, 1.0), (2, 3, 1.0), (0, 3, 0.0), (2, 3, 0.0), (4, 3, 0.5), (1, 3, 1.5)]
+    got = [r["d"] for r in spark.createDataFrame(ends, "x long, n long, p double").select(ce.binom_dist(F.col("x"), F.col("n"), F.col("p"), True).alias("d")).collect()]
+    assert got == [1.0, 0.0, 1.0, 1.0, None, None]
