@@ -2,7 +2,8 @@
 
 Each stage takes what its predecessor kept and returns documents again (the last one
 returns packed pieces); ``run`` writes every step as Parquet to the shared folder and
-goes on from the written table, so a lost executor costs tasks, not stages.
+goes on from the written table, so a lost executor costs tasks, not stages.  The stages
+set the session's Arrow batches to at most 1,000 rows.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.llm import decontam, language, minmax, packing, pii
-from tallyloom.llm.common import read, stored
+from tallyloom.llm.common import modest_batches, read, stored
 
 SURE = 0.5
 
@@ -20,6 +21,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Where no document has a language to learn from, only the letters are asked for.
     """
+    modest_batches(spark)
     model, share = language.train(docs)
     if not model:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
@@ -29,18 +31,21 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of smallest id of each group linked by five-word shingles at 0.8; rows without id stay."""
+    modest_batches(spark)
     groups = minmax.near_duplicates(docs, size=5, percent=80)
     return docs.join(groups.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that overlap a benchmark item."""
+    modest_batches(spark)
     leaks = decontam.overlaps(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by its kind; n_chars counts the new text."""
+    modest_batches(spark)
     model, cut = pii.train(docs)
     out = pii.redact(docs, model, cut)
     if "n_chars" in docs.columns:
@@ -50,6 +55,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences of 2048 tokens."""
+    modest_batches(spark)
     return packing.pack(docs)
 
 

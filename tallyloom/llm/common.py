@@ -58,6 +58,13 @@ def text_slices(column: pa.Array, rows: int = 256, most: int = 1 << 20) -> Itera
         lo = hi
 
 
+def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let the session hand Python at most ``rows`` rows at a time; whole texts in batches of ten thousand fill executors."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 2048, weigh=None, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Pack row tuples into Arrow batches of at most ``size`` rows, or about ``most`` weight if rows are weighed."""
     held, weight = [], 0

@@ -105,4 +105,4 @@ def test_query_matches_sql(spark, folder, name):
 
 
 def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
