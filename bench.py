@@ -1,9 +1,10 @@
-"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line."""
+"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS], the median of three runs each; prints one JSON line."""
 
 from __future__ import annotations
 
 import json
 import os
+import statistics
 import time
 
 from tallyloom.plans.catalog import QUERIES
@@ -24,9 +25,12 @@ def main() -> None:
     QUERIES["group_stats"](spark, folder).write.format("noop").mode("overwrite").save()
     took = {}
     for name in HEADLINE:
-        t0 = time.perf_counter()
-        QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
-        took[name] = round(time.perf_counter() - t0, 3)
+        runs = []
+        for _ in range(3):
+            t0 = time.perf_counter()
+            QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+            runs.append(time.perf_counter() - t0)
+        took[name] = round(statistics.median(runs), 3)
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took,
                       "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf")}))
 

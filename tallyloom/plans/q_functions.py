@@ -75,8 +75,8 @@ _LATE = "(case when day(b)>=day(a) then 0 else 1 end)"
  (case when a=last_day(a) or day(a)>day(last_day((a+to_months(q))::date)) then last_day((a+to_months(q))::date) else (a+to_months(q))::date end) edate_raw, last_day((a+to_months(-q))::date) eomonth_,
  cast(week(a) as int) isoweek, cast((isodow(a)%7)+1 as int) wd1, cast(isodow(a) as int) wd2, cast(isodow(a)-1 as int) wd3, cast((isodow(a)+1)%7+1 as int) wd16,
  cast((dayofyear(a)-1+(isodow(date_trunc('year',a)::date)%7))//7+1 as int) wn1, cast((dayofyear(a)-1+isodow(date_trunc('year',a)::date)-1)//7+1 as int) wn2,
- {sqlsig(f'abs({_D360}/360.0::double)')} yf0, {sqlsig('abs((b-a)/(list_sum(list_transform(range(year(a), year(b)+1), lambda y: dayofyear(make_date(y,12,31))))/(year(b)-year(a)+1)::double))')} yf1,
- {sqlsig('abs((b0-a)/360.0::double)')} yf2, {sqlsig('abs((b0-a)/365.0::double)')} yf3, {sqlsig(f'abs({_E360}/360.0::double)')} yf4,
+ round(abs({_D360}/360.0::double), 9) yf0, round(abs((b-a)/(list_sum(list_transform(range(year(a), year(b)+1), lambda y: dayofyear(make_date(y,12,31))))/(year(b)-year(a)+1)::double)), 9) yf1,
+ round(abs((b0-a)/360.0::double), 9) yf2, round(abs((b0-a)/365.0::double), 9) yf3, round(abs({_E360}/360.0::double), 9) yf4,
  make_date(year(a)+(month(a)+q-1)//12, (month(a)+q-1)%12+1, 1)+cast(day(a)+q-1 as int) date_ from {_PAIR}""".replace("(case when a=last_day(a) or day(a)>day(last_day((a+to_months(q))::date)) then last_day((a+to_months(q))::date) else (a+to_months(q))::date end) edate_raw", "(a+to_months(q))::date edate_")
        .replace("yf1", "yf1").replace("from " + _PAIR, "from (select * from " + _PAIR + " where true)"))
 def _(spark, sf):
@@ -85,7 +85,7 @@ def _(spark, sf):
         "l_orderkey", "l_linenumber", "l_partkey", dt.days(b0, a).alias("days_"), dt.days360(a, b0).alias("d360"), dt.days360(a, b0, True).alias("e360"),
         *[dt.datedif(a, b, u).alias(f"dif_{u.lower()}") for u in ("Y", "M", "D", "YM", "MD", "YD")], dt.edate(a, q).alias("edate_"), dt.eomonth(a, -q).alias("eomonth_"),
         dt.isoweeknum(a).alias("isoweek"), *[dt.weekday(a, f).alias(f"wd{f}") for f in (1, 2, 3, 16)], *[dt.weeknum(a, f).alias(f"wn{f}") for f in (1, 2)],
-        *[sig(dt.yearfrac(a, b if k == 1 else b0, k)).alias(f"yf{k}") for k in range(5)], dt.date(F.year(a), F.month(a) + q, F.day(a) + q).alias("date_"))
+        *[F.round(dt.yearfrac(a, b if k == 1 else b0, k), 9).alias(f"yf{k}") for k in range(5)], dt.date(F.year(a), F.month(a) + q, F.day(a) + q).alias("date_"))
 
 
 @query("fn_workdays", f"""select o_orderkey, cast(len(list_filter(range(0, k+1), lambda i: isodow(a+cast(i as int))<6 and not list_contains({_HS}, a+cast(i as int)))) as int) net_,
