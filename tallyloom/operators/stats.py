@@ -155,7 +155,10 @@ def _bins(df: DataFrame, value: str, lo: Column, hi: Column, width: Column, coun
         inside = F.when(v < F.col("_s.lo"), F.lit(0)).when(v > F.col("_s.hi"), last).otherwise(inside)
     hits = df.where(v.isNotNull()).select(v, s.alias("_s")).select(inside.alias("bin")).where(F.col("bin").isNotNull())
     counted = hits.groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
-    frame = spec.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("bin"), "lo", "w")
+    # bins are unrolled in two steps, so that no row holds more than a block of them
+    block = F.lit(65536).cast("long")
+    blocks = spec.select(F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("k") - 1, F.lit(0)), block)).alias("_from"), "k", "lo", "w").where("k > 0")
+    frame = blocks.select(F.explode(F.sequence("_from", F.least(F.col("_from") + block, F.col("k")) - 1)).alias("bin"), "lo", "w")
     return frame.join(counted, "bin", "left").select(
         "bin", (F.col("lo") + F.col("bin") * F.col("w")).alias("left"), F.coalesce("count", F.lit(0)).alias("count"))
 

@@ -26,6 +26,20 @@ def _events(spark, sf, files=4):
     return live.events_stream(spark, folder, events.schema, files_per_batch=1)
 
 
+def _events_in_order(spark, sf, files=4):
+    """The events table as files of ascending time, and at the end one row from the day after, which closes all buckets."""
+    events = table(spark, sf, "events")
+    folder = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
+    cuts = [*events.selectExpr(f"percentile_approx(unix_micros(cast(ts as timestamp)), array({', '.join(str(i / files) for i in range(1, files))}))").first()[0]]
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        part = events.where((at >= lo if lo is not None else F.lit(True)) & (at < hi if hi is not None else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    last = events.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("interval 1 day")).alias("ts"))
+    last.select(*[F.col(c) if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in events.dtypes]).write.mode("append").parquet(folder)
+    return live.events_stream(spark, folder, events.schema, files_per_batch=1)
+
+
 def _sink(spark, stream, mode, keys=()):
     """Rows of the finished stream: the last batch (complete), the last row of each key (update) or all rows (append)."""
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -46,7 +60,7 @@ def _sink(spark, stream, mode, keys=()):
 
 @query("stream_buckets", """select event_type, date_trunc('hour', ts) bucket, count(*) n, round(sum(value),4) total from events group by 1,2""")
 def _(spark, sf):
-    d = _sink(spark, live.stream_buckets(_events(spark, sf), ["event_type"], "ts", "value"), "complete")
+    d = _sink(spark, live.stream_buckets(_events_in_order(spark, sf), ["event_type"], "ts", "value"), "append")
     return d.select("event_type", F.col("bucket").cast("timestamp_ntz").alias("bucket"), "n", F.round("total", 4).alias("total"))
 
 
