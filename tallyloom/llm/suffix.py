@@ -1,7 +1,7 @@
 """Exact substring dedup with run-length compressed suffix indexes.
 
 A byte is removed if a string of ``length`` bytes that covers it also starts earlier in
-the corpus.  Every such string (window) has an anchor: its leftmost ``mer``-byte string of
+the corpus.  A document equal to an earlier one goes whole and takes no further part.  Every such string (window) has an anchor: its leftmost ``mer``-byte string of
 smallest hash.  Equal windows have equal anchors, so windows travel as runs that share an
 anchor (segments), and only segments whose anchor occurs at least twice travel at all.
 
@@ -12,7 +12,7 @@ run-compressed Burrows-Wheeler transform that keeps, per run, its first and last
 position and the image of its head.  The later halves are streamed against it from right
 to left and their matching statistics say which windows start earlier.
 
-Anchors with more than ``hot`` occurrences are dealt out by document; what is first in its
+Texts and anchors that hold a large share of all rows are joined in parts.  Anchors with more than ``hot`` occurrences are dealt out by document; what is first in its
 share of such an anchor is settled by window hash in a second, map-side combined pass, so
 neither a frequent string nor a frequent passage gathers in one task.
 
@@ -364,13 +364,37 @@ def _cut(it):
     yield from batches(out(), kinds, 4096)
 
 
+def spread_join(left: DataFrame, counts: DataFrame, key: str, by: str, share: int = 1000, parts: int = 64) -> DataFrame:
+    """``left`` with the ``n`` of its ``key`` from ``counts`` (unique keys, stored); rows of heavy keys are dealt by ``by``.
+
+    A key is heavy if it holds over 1/``share`` of the counted rows, so there are fewer than ``share`` of them.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    heavy = F.broadcast(counts.where(F.col("n") * share > total).select(key, F.lit(parts).alias("_parts")))
+    part = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")).otherwise(0)
+    dealt = left.join(heavy, key, "left").withColumn("_part", part).drop("_parts")
+    shown = counts.join(heavy, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(shown, [key, "_part"]).drop("_part")
+
+
+def whole_copies(texts: DataFrame) -> DataFrame:
+    """(doc, n): documents each of whose texts is, byte for byte, that of a smaller doc; n is the longest text's bytes."""
+    sums = texts.select("doc", F.length("body").alias("size"), F.unhex(F.sha2("body", 256)).alias("sum"))
+    heads = stored(sums.groupBy("sum").agg(F.min("doc").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"), "heads")
+    later = spread_join(sums, heads, "sum", "doc").where("doc > head").select("doc", "size", F.lit(1).alias("copied"))
+    rows = sums.select("doc", "size", F.lit(0).alias("copied")).union(later)
+    return rows.groupBy("doc").agg(F.max("size").alias("n"), F.sum("copied").alias("copied"), F.count(F.lit(1)).alias("all")).where("copied * 2 = all").select("doc", "n")
+
+
 def repeated_spans(texts: DataFrame, length: int = 100, mer: int = 24, hot: int = 50_000, shares: int = 64) -> DataFrame:
     """(doc, lo, hi): byte spans of ``texts`` (doc long in corpus order, body binary) that start earlier as well; spans may overlap."""
     long_ones = texts.where(F.length("body") >= length).select("doc", "body")
-    counts = long_ones.mapInArrow(_anchors(length, mer, False), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+    copies = stored(whole_copies(long_ones), "copies")
+    counts = stored(long_ones.mapInArrow(_anchors(length, mer, False), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"), "counts")
     placed = long_ones.mapInArrow(_anchors(length, mer, True), "doc long, anchor long, pos long")
-    places = placed.join(counts, "anchor").select("doc", (F.col("pos") * 2 + F.when(F.col("n") > hot, 1).otherwise(0)).alias("p")).groupBy("doc").agg(F.collect_list("p").alias("places"))
-    places = stored(places, "places")
+    met_twice = spread_join(placed, counts, "anchor", "doc")
+    places = met_twice.select("doc", (F.col("pos") * 2 + F.when(F.col("n") > hot, 1).otherwise(0)).alias("p")).groupBy("doc").agg(F.collect_list("p").alias("places"))
+    places = stored(places.join(copies, "doc", "left_anti"), "places")
     segments = long_ones.join(places, "doc").select("doc", "body", "places").mapInArrow(
         _segments(length, mer, shares), "place long, anchor long, hot boolean, digest binary, doc long, start long, body binary, at int")
     met = segments.repartition("anchor", "place").sortWithinPartitions("anchor", "place", "digest", "doc", "start")
@@ -378,7 +402,8 @@ def repeated_spans(texts: DataFrame, length: int = 100, mer: int = 24, hot: int
     windows = found.where(F.col("window").isNotNull())
     firsts = windows.groupBy("window").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = windows.join(firsts, "window").where(F.struct("doc", "lo") != F.col("first")).select("doc", "lo", "hi")
-    return found.where(F.col("window").isNull()).select("doc", "lo", "hi").union(later)
+    whole = copies.select("doc", F.lit(0).cast("long").alias("lo"), F.col("n").cast("long").alias("hi"))
+    return found.where(F.col("window").isNull()).select("doc", "lo", "hi").union(later).union(whole)
 
 
 def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

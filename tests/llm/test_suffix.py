@@ -53,6 +53,18 @@ def test_dedup_matches_brute_force(spark, hot):
     assert got == brute(rows, 100)
 
 
+def test_copies_go_whole_and_heavy_texts_are_joined_in_parts(spark):
+    rng = random.Random(8)
+    a, b = ("".join(rng.choice("abcdef ") for _ in range(n)) for n in (400, 150))
+    rows = [(i, a) for i in range(40)] + [(40, b), (41, b), (42, a[50:300] + b), (43, "é" * 60), (44, "é" * 60), (45, "short"), (46, "short")]
+    df = spark.createDataFrame([(i, t, "e") for i, t in rows], SCHEMA)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.dedup(df, hot=3).collect()}
+    assert got == brute(rows, 100)
+    texts = df.selectExpr("doc_id as doc", "cast(text as binary) as body")
+    copies = {r.doc: r.n for r in suffix.whole_copies(texts.union(spark.createDataFrame([(41, b"other")], texts.schema))).collect()}
+    assert copies == {i: 400 for i in range(1, 40)} | {44: 120, 46: 5}
+
+
 def test_edge_tables(spark):
     assert suffix.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
     t = "lorem ipsum " * 20
