@@ -75,7 +75,7 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
             return labels
 
 
-def topo_order(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+def topo_order(edges: DataFrame, vertices: DataFrame | None = None, fold_at: int = 32) -> DataFrame:
     """Level of each vertex of a DAG: the number of peeling rounds before it has no open in-edge.
 
     Ordering by (level, id) is a topological order.  Vertices on or behind cycles have
@@ -83,18 +83,17 @@ def topo_order(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame
     """
     links = cut_lineage(edges.select("src", "dst").distinct())
     nodes = (vertices if vertices is not None else vertices_of(edges)).select("id").distinct()
-    waiting = links.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("open"))
-    steps, level = Steps(), 0
-    open_edges = steps.cut(waiting)
-    done = Log(edges.sparkSession)
-    free = done.add(nodes.join(open_edges, "id", "left_anti").withColumn("level", F.lit(0)))
+    waiting = cut_lineage(links.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("open")))
+    done, taken, level = Log(edges.sparkSession), Log(edges.sparkSession), 0
+    free = done.add(nodes.join(waiting, "id", "left_anti").withColumn("level", F.lit(0)))
+    total = lambda rows: rows.groupBy("id").agg(F.sum("gone").alias("gone"))
     while not free.isEmpty():
         level += 1
-        # the edges of the last level alone are subtracted from the counts of what they point at
-        met = free.join(links, free["id"] == links["src"]).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("gone"))
-        open_edges = steps.cut(open_edges.join(met, "id", "left").select("id", (F.col("open") - F.coalesce("gone", F.lit(0))).alias("open")).where("open >= 0"))
-        free = done.add(open_edges.where("open = 0").select("id", F.lit(level).alias("level")))
-        open_edges = open_edges.where("open > 0")
+        # edges taken away are added to a log; only vertices they point at this round are looked up in it
+        taken.fold(total, fold_at)
+        met = taken.add(free.join(links, free["id"] == links["src"]).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("gone")))
+        gone = total(taken.read().join(met.select("id"), "id", "left_semi"))
+        free = done.add(gone.join(waiting, "id").where("gone = open").select("id", F.lit(level).alias("level")))
     return done.read()
 
 
@@ -157,26 +156,26 @@ def mst(edges: DataFrame) -> DataFrame:
     return chosen if chosen is not None else live.select("src", "dst", "weight")
 
 
-def distances(edges: DataFrame, sources: DataFrame, directed: bool = False) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame, directed: bool = False, fold_at: int = 32) -> DataFrame:
     """Shortest distances (source, id, distance) from every source by relaxation rounds.
 
-    Only vertices improved in the last round send messages.  Unreached vertices have
-    no row.
+    Only vertices improved in the last round send messages.  Improvements are added to a
+    log, which a round reads but does not write again; after ``fold_at`` rounds it is folded
+    to the least distances.  Unreached vertices have no row.
     """
     links = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
     links = cut_lineage((links if directed else both_ways(links)).groupBy("src", "dst").agg(F.min("weight").alias("weight")))
-    steps, front = Steps(), Steps()
-    known = steps.cut(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("distance")))
-    moved = known
+    least = lambda rows: rows.groupBy("source", "id").agg(F.min("distance").alias("distance"))
+    known, front = Log(edges.sparkSession), Steps()
+    moved = known.add(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("distance")))
     while True:
-        sent = moved.join(links, moved["id"] == links["src"]).select(
-            "source", F.col("dst").alias("id"), (F.col("distance") + F.col("weight")).alias("_d")).groupBy("source", "id").agg(F.min("_d").alias("_d"))
-        better = front.cut(sent.join(known, ["source", "id"], "left").where(F.col("distance").isNull() | (F.col("_d") < F.col("distance")))
-                             .select("source", "id", F.col("_d").alias("distance")))
-        if better.isEmpty():
-            return known
-        known = steps.cut(known.unionByName(better).groupBy("source", "id").agg(F.min("distance").alias("distance")))
-        moved = better
+        sent = front.cut(moved.join(links, moved["id"] == links["src"]).select(
+            "source", F.col("dst").alias("id"), (F.col("distance") + F.col("weight")).alias("_d")).groupBy("source", "id").agg(F.min("_d").alias("_d")))
+        known.fold(least, fold_at)
+        met = known.read().join(sent, ["source", "id"]).where("distance <= _d").select("source", "id").distinct()
+        moved = known.add(sent.join(met, ["source", "id"], "left_anti").select("source", "id", F.col("_d").alias("distance")))
+        if moved.isEmpty():
+            return least(known.read())
 
 
 def sssp(edges: DataFrame, source, directed: bool = False) -> DataFrame:

@@ -86,6 +86,15 @@ class Log:
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/part={i}" for i in range(self.parts)])
 
+    def fold(self, merge, most: int = 32) -> None:
+        """Once there are ``most`` parts, replace all by one: ``merge`` of the whole.  Parts handed out before must be used up."""
+        if self.parts < most:
+            return
+        old = self.read()
+        self.path, self.parts = f"{shared_folder(self.spark)}/log-{uuid.uuid4().hex}", 0
+        self.add(merge(old))
+        remove(old)
+
 
 def remove(df: DataFrame) -> None:
     """Delete the files of a written step that nothing reads any more."""
