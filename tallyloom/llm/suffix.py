@@ -17,7 +17,8 @@ share of such an anchor is settled by window hash in a second, map-side combined
 neither a frequent string nor a frequent passage gathers in one task.
 
 Defined cases: null texts are empty; rows that repeat a doc_id are judged as one document
-each, in the order of their bytes, and whole repeated rows alike (once); rows without doc_id
+each, in the order of their SHA-256, and whole repeated rows alike (once); ids too large for
+that (about 2^62 over the most rows of one id) raise an overflow; rows without doc_id
 are never earlier than others and stay as they are; extra columns are ignored; empty
 tables give no rows.
 """
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyloom.llm.common import _TABLE, batches, mix64, stored
 
@@ -406,11 +407,25 @@ def repeated_spans(texts: DataFrame, length: int = 100, mer: int = 24, hot: int
     return found.where(F.col("window").isNull()).select("doc", "lo", "hi").union(later).union(whole)
 
 
+def _own_keys(texts: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Texts by a key of their own where an id repeats: the id shifted by ``bits``, plus the place of the text's digest among the id's."""
+    rows = texts.withColumn("sum", F.unhex(F.sha2("body", 256)))
+    order = Window.partitionBy("doc").orderBy("sum")
+    places = rows.where(F.col("doc").isNotNull()).select("doc", "sum").distinct().select("doc", "sum", (F.row_number().over(order) - 1).alias("place"))
+    keyed = rows.join(places, ["doc", "sum"], "left").select((F.col("doc") * (1 << bits) + F.col("place")).alias("doc"), "body")
+    keyed = stored(keyed, "keyed")
+    return keyed.where(F.col("doc").isNotNull()).dropDuplicates(["doc"]), keyed
+
+
 def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte bounds of what goes) of every row."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
     named = texts.where(F.col("doc").isNotNull())
+    most = named.groupBy("doc").count().agg(F.max("count")).first()[0] or 1
+    bits = int(most - 1).bit_length()
+    if bits:
+        named, texts = _own_keys(texts, bits)
     spans = repeated_spans(named, length, **options).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts"))
     joined = texts.join(spans, "doc", "left").select("doc", "body", "cuts")
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<bigint>>"
-    return joined.mapInArrow(_cut, schema).withColumnRenamed("doc", id_col)
+    return joined.mapInArrow(_cut, schema).withColumn("doc", F.shiftright("doc", bits)).withColumnRenamed("doc", id_col)

@@ -65,6 +65,19 @@ def test_copies_go_whole_and_heavy_texts_are_joined_in_parts(spark):
     assert copies == {i: 400 for i in range(1, 40)} | {44: 120, 46: 5}
 
 
+def test_rows_that_repeat_an_id_are_documents_of_their_own(spark):
+    rng = random.Random(1)
+    t = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, b, c = t(300), t(150), t(260)
+    rows = [(1, a), (5, a[:150] + b), (5, c + b), (5, c + b), (6, c), (-7, t(200) + b), (None, a)]
+    sums = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    order = sorted({r for r in rows if r[0] is not None}, key=lambda r: (r[0], sums(r[1])))
+    want = {order[n]: v for n, v in brute([(n, x) for n, (_, x) in enumerate(order)], 100).items()}
+    want[(None, a)] = (300, 0, 0, sums(a))
+    got = suffix.dedup(spark.createDataFrame([(i, x, "e") for i, x in rows], SCHEMA)).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted((i or 0, *want[(i, x)]) for i, x in rows)
+
+
 def test_edge_tables(spark):
     assert suffix.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
     t = "lorem ipsum " * 20
