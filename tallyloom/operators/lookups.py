@@ -53,8 +53,12 @@ def lookup_asof(left: DataFrame, right: DataFrame, by: list[str], left_on: str,
 
 
 def lookup_nearest(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, pos: str, take: list[str],
-                   key: list[str]) -> DataFrame:
-    """Right row with the smallest distance to the left key; the lower key wins a tie."""
+                   key: list[str], digits: int | None = None) -> DataFrame:
+    """Right row with the smallest distance to the left key; the lower key wins a tie.
+
+    ``digits``: distances that agree to so many decimals tie, whatever their binary fractions.
+    """
+    apart = lambda d: d if digits is None else F.round(d, digits)
     back = lookup_asof(left, right, by, left_on, right_on, pos, take)
     ahead = lookup_asof(left, right, by, left_on, right_on, pos, take, forward=True)
     b = back.select(*left.columns, F.struct("matched_key", *take).alias("_b"))
@@ -62,7 +66,7 @@ def lookup_nearest(left: DataFrame, right: DataFrame, by: list[str], left_on: st
     both = join_same(b, a, key, "left")
     closer = F.when(F.col("_b").isNull() | F.col("_b.matched_key").isNull(), F.col("_a")).when(
         F.col("_a.matched_key").isNull(), F.col("_b")).when(
-        F.col(left_on) - F.col("_b.matched_key") <= F.col("_a.matched_key") - F.col(left_on), F.col("_b")).otherwise(F.col("_a"))
+        apart(F.col(left_on) - F.col("_b.matched_key")) <= apart(F.col("_a.matched_key") - F.col(left_on)), F.col("_b")).otherwise(F.col("_a"))
     return both.withColumn("_n", closer).select(*left.columns, "_n.*")
 
 

@@ -128,7 +128,7 @@ def _(spark, sf):
 @query("lookup_nearest", """select c_custkey, arg_min(s_acctbal, struct_pack(d := round(abs(s_acctbal-c_acctbal),6), k := s_acctbal)) matched_key from customer, supplier group by 1""")
 def _(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
-    return lk.lookup_nearest(c, table(spark, sf, "supplier"), [], "c_acctbal", "s_acctbal", "s_suppkey", ["s_suppkey"], ["c_custkey"]) \
+    return lk.lookup_nearest(c, table(spark, sf, "supplier"), [], "c_acctbal", "s_acctbal", "s_suppkey", ["s_suppkey"], ["c_custkey"], digits=6) \
         .select("c_custkey", "matched_key")
 
 

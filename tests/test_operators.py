@@ -510,3 +510,10 @@ def test_large_combinations_and_distributions(spark):
     ends = [(3, 3, 1.0), (2, 3, 1.0), (0, 3, 0.0), (2, 3, 0.0), (4, 3, 0.5), (1, 3, 1.5)]
     got = [r["d"] for r in spark.createDataFrame(ends, "x long, n long, p double").select(ce.binom_dist(F.col("x"), F.col("n"), F.col("p"), True).alias("d")).collect()]
     assert got == [1.0, 0.0, 1.0, 1.0, None, None]
+
+
+def test_nearest_ties_by_decimals(spark):
+    left = spark.createDataFrame([(1, 5144.84)], "id int, x double")
+    right = spark.createDataFrame([(5144.36, 0), (5145.32, 1)], "y double, pos int")
+    assert 5144.84 - 5144.36 > 5145.32 - 5144.84  # one distance in decimals, two in binary
+    assert [r.matched_key for r in lookups.lookup_nearest(left, right, [], "x", "y", "pos", ["pos"], ["id"], digits=6).collect()] == [5144.36]
