@@ -1,17 +1,35 @@
 """Page geometry: words to lines, line features, reading order, tables, headings.
 
-Groups are pages; the number of words on a page is small whatever the corpus holds,
-so plain windows per page are safe.  Baselines and edges are grouped by chained gaps
-over sorted values, where the source toolkit takes the first group in reach.
+Groups are pages; the number of words on a page is small whatever the corpus holds, so
+plain windows per page are safe, and the lines of a page are gathered into one row, inside
+which columns, reading order and tables are found without a join.  Baselines and edges are
+grouped by chained gaps over sorted values, where the source toolkit takes the first group in reach.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tallyloom.operators.corpus import quality_score
+from tallyloom.operators.corpus import let, quality_score
+from tallyloom.operators.ordering import join_same
 
 PAGE = ["doc_id", "page"]
+_WIDE = ["page_width", "page_height"]
+
+
+def _cut(items: Column, opens) -> Column:
+    """A bound array as the array of its runs; ``opens(x, before)`` marks the first of a run, as does the array's start."""
+    at = F.filter(F.transform(items, lambda x, i: F.when((i == 0) | opens(x, F.get(items, i - 1)), i)), lambda i: i.isNotNull())
+    return let(at, lambda a: F.transform(a, lambda s, j: F.slice(items, s + 1, F.coalesce(F.get(a, j + 1), F.size(items)) - s)))
+
+
+def _falling(v: Column) -> Column:
+    """A sort key that falls with ``v``: NaN first and NULL last, as in a descending sort."""
+    return F.struct(F.when(v.isNull(), 2).when(F.isnan(v), 0).otherwise(1).alias("kind"), (-v).alias("v"))
+
+
+def _mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda t, x: t + x) / F.size(values)
 
 
 def _runs(df: DataFrame, keys: list[str], order: list[Column], opens: Column, name: str) -> DataFrame:
@@ -29,112 +47,153 @@ def line_build(words: DataFrame) -> DataFrame:
     reach = F.greatest(F.lit(2.0), F.col("size") * 0.45)
     flagged = words.withColumn("_n", step.isNull() | (step > reach))
     based = _runs(flagged, PAGE, down, F.col("_n"), "_base").drop("_n")
-    row = [*PAGE, "_base"]
-    mid = F.get(F.array_sort(F.collect_list("size").over(W.partitionBy(*row))), F.floor(F.count(F.lit(1)).over(W.partitionBy(*row)) / 2).cast("int"))
-    across = [F.col("x0"), F.col("word_id")]
-    gap = F.col("x0") - F.lag("x1").over(W.partitionBy(*row).orderBy(*across))
-    split = based.withColumn("_w", F.greatest(mid * 3, F.col("page_width") * 0.10)).withColumn("_g", gap)
-    order = [F.col("_base"), *across]
-    return _runs(split, PAGE, order, F.col("_g").isNull() | (F.col("_g") > F.col("_w")), "line_no").drop("_base", "_w", "_g")
+    row = W.partitionBy(*PAGE, "_base").orderBy("x0", "word_id")
+    # the whole row in the order of the gaps, so that one sort serves both
+    whole = row.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    spread = based.withColumn("_g", F.col("x0") - F.lag("x1").over(row)).withColumn("_s", F.collect_list("size").over(whole)).withColumn("_k", F.count(F.lit(1)).over(whole))
+    mid, tenth = F.get(F.sort_array("_s"), F.floor(F.col("_k") / 2).cast("int")), F.col("page_width") * 0.10
+    # most gaps are narrower than a tenth of the page, and only the others look at the sizes
+    wide = F.when(F.col("_g") <= tenth, False).otherwise(F.col("_g") > F.greatest(mid * 3, tenth))
+    split = spread.withColumn("_open", F.col("_g").isNull() | wide).drop("_s", "_k", "_g")
+    return _runs(split, PAGE, [F.col("_base"), F.col("x0"), F.col("word_id")], F.col("_open"), "line_no").drop("_base", "_open")
 
 
 def _most_common(fonts: Column) -> Column:
     """Most frequent value; the earliest one wins a tie."""
-    counted = F.transform(F.array_distinct(fonts), lambda f: F.struct(
-        F.size(F.filter(fonts, lambda g: g == f)).alias("n"), (-F.array_position(fonts, f)).alias("p"), f.alias("f")))
-    return F.array_max(counted)["f"]
+    return let(fonts, lambda all_: F.array_max(F.transform(F.array_distinct(all_), lambda f: F.struct(
+        F.size(F.filter(all_, lambda g: g == f)).alias("n"), (-F.array_position(all_, f)).alias("p"), f.alias("f"))))["f"])
 
 
-def line_features(words: DataFrame, suspects: DataFrame | None = None) -> DataFrame:
-    """One row per line: box, text, font, median size, bold, italic, gibberish."""
-    at = F.array_sort(F.collect_list(F.struct("x0", "word_id", "text", "font", "size")))
+def _boxed(words: DataFrame, *more: Column) -> DataFrame:
+    """One row per line that has a text: its box, the page's size and ``more``."""
+    written = F.max(F.trim("text") != "")
     lines = words.groupBy(*PAGE, "line_no").agg(
         F.min("x0").alias("left"), F.min("y0").alias("bottom"), F.max("x1").alias("right"), F.max("y1").alias("top"),
-        F.max("page_width").alias("page_width"), F.max("page_height").alias("page_height"), at.alias("_w"),
-        F.bool_or(F.lower("font").contains("bold")).alias("bold"), F.bool_or(F.lower("font").rlike("italic|oblique")).alias("italic"))
+        *[F.max(c).alias(c) for c in _WIDE], written.alias("_some"), *more)
+    return lines.where("_some").drop("_some")
+
+
+def line_boxes(words: DataFrame) -> DataFrame:
+    """The boxes of :func:`line_features`, for what needs no text."""
+    return _boxed(words)
+
+
+def line_features(words: DataFrame, suspects: DataFrame | None = None) -> DataFrame:
+    """One row per line: box, text, font, median size, bold, italic, gibberish."""
+    at = F.sort_array(F.collect_list(F.struct("x0", "word_id", "text", "font", "size")))
+    lines = _boxed(words, at.alias("_w"), F.bool_or(F.lower("font").contains("bold")).alias("bold"), F.bool_or(F.lower("font").rlike("italic|oblique")).alias("italic"))
     get = lambda f: F.transform("_w", lambda x: x[f])
+    sizes = F.sort_array(F.filter(get("size"), lambda x: x.isNotNull()))
     out = lines.withColumn("text", F.array_join(get("text"), " ")).withColumn("font", _most_common(get("font"))) \
-        .withColumn("size", F.get(F.array_sort(get("size")), F.floor(F.size("_w") / 2).cast("int"))).drop("_w")
+        .withColumn("size", F.get(sizes, F.floor(F.size("_w") / 2).cast("int"))).drop("_w")
     if suspects is not None:
         out = out.join(suspects.select("doc_id", "font").withColumn("_bad", F.lit(True)), ["doc_id", "font"], "left")
         score = F.when(F.coalesce("_bad", F.lit(False)), 1.0).otherwise(quality_score(F.col("text")))
     else:
         score = quality_score(F.col("text"))
-    out = out.withColumn("gibberish_score", score).withColumn("gibberish", F.col("gibberish_score") > 0.25)
-    return out.drop("_bad").where(F.trim("text") != "")
+    return out.withColumn("gibberish_score", score).withColumn("gibberish", F.col("gibberish_score") > 0.25).drop("_bad")
+
+
+def _gathered(lines: DataFrame) -> DataFrame:
+    """One row per page with the array ``lines``, which a frame of pages has already."""
+    if "lines" in lines.columns:
+        return lines
+    rest = [c for c in lines.columns if c not in [*PAGE, *_WIDE]]
+    wide = [F.max(c).alias(c) for c in _WIDE if c in lines.columns]
+    return lines.groupBy(*PAGE).agg(*wide, F.collect_list(F.struct(*rest)).alias("lines"))
+
+
+def _mid(x: Column) -> Column:
+    return (x["left"] + x["right"]) / 2
 
 
-def page_block_order(blocks: DataFrame, page: str, idx: str, block: str, doc: str = "doc_id") -> DataFrame:
-    ids = F.transform(F.array_sort(F.collect_list(F.struct(idx, block))), lambda x: x[block])
-    return blocks.groupBy(doc, page).agg(ids.alias("block_ids"))
+def _split_x(lines: Column, width: Column) -> Column:
+    """The boundary of a two-column page, from the left edges of its narrow lines or else their widest gap; or NULL."""
+    def by_edge(lefts):
+        runs = _cut(lefts, lambda x, p: (x["left"] - p["left"]).isNull() | (x["left"] - p["left"] > F.greatest(F.lit(18.0), width * 0.04)))
+        means = F.transform(F.filter(runs, lambda r: F.size(r) >= 3), lambda r: _mean(F.transform(r, lambda x: x["left"])))
+        return let(means, lambda m: F.when((F.size(m) >= 2) & (F.array_max(m) - F.array_min(m) >= width * 0.18), (F.array_min(m) + F.array_max(m)) / 2))
+
+    def by_gap(mids):
+        def gap(x, i):
+            p = F.get(mids, i - 1)
+            found = (x["mid"] - p["mid"] > width * 0.10) & (i >= 3) & (F.size(mids) - i >= 3)
+            return F.when(found, F.struct((x["mid"] - p["mid"]).alias("gap"), (-i).alias("i"), ((p["mid"] + x["mid"]) / 2).alias("x")))
+        return F.array_max(F.transform(mids, gap))["x"]
+
+    def split(narrow):
+        lefts = F.sort_array(F.transform(narrow, lambda x: F.struct(x["left"].alias("left"), x["line_no"].alias("line_no"))))
+        mids = F.sort_array(F.transform(narrow, lambda x: F.struct(_mid(x).alias("mid"), x["line_no"].alias("line_no"))))
+        return F.when(F.size(narrow) >= 6, F.coalesce(let(lefts, by_edge), let(mids, by_gap)))
+
+    return let(F.filter(lines, lambda x: x["right"] - x["left"] < width * 0.62), split)
 
 
 def column_split(lines: DataFrame) -> DataFrame:
     """Adds ``split_x``: the boundary of a two-column page, or NULL."""
-    width = F.col("right") - F.col("left")
-    narrow = lines.where(width < F.col("page_width") * 0.62).select(*PAGE, "line_no", "left", "page_width", ((F.col("left") + F.col("right")) / 2).alias("mid"))
-    whole = W.partitionBy(*PAGE)
-    enough = narrow.withColumn("_n", F.count(F.lit(1)).over(whole)).where(F.col("_n") >= 6)
-    by_left = [F.col("left"), F.col("line_no")]
-    jump = F.col("left") - F.lag("left").over(whole.orderBy(*by_left))
-    edges = _runs(enough.withColumn("_j", jump), PAGE, by_left, F.col("_j").isNull() | (F.col("_j") > F.greatest(F.lit(18.0), F.col("page_width") * 0.04)), "_c")
-    centres = edges.groupBy(*PAGE, "_c").agg(F.avg("left").alias("_x"), F.count(F.lit(1)).alias("_k"), F.max("page_width").alias("_pw")).where(F.col("_k") >= 3)
-    by_edge = centres.groupBy(*PAGE).agg(F.min("_x").alias("_a"), F.max("_x").alias("_b"), F.max("_pw").alias("_pw"), F.count(F.lit(1)).alias("_m")) \
-        .where((F.col("_m") >= 2) & (F.col("_b") - F.col("_a") >= F.col("_pw") * 0.18)).select(*PAGE, ((F.col("_a") + F.col("_b")) / 2).alias("_edge"))
-    by_mid = whole.orderBy("mid", "line_no")
-    gaps = enough.select(*PAGE, "page_width", "_n", "mid", F.lag("mid").over(by_mid).alias("_p"), (F.row_number().over(by_mid) - 1).alias("_i")) \
-        .where((F.col("mid") - F.col("_p") > F.col("page_width") * 0.10) & (F.col("_i") >= 3) & (F.col("_n") - F.col("_i") >= 3))
-    by_gap = gaps.groupBy(*PAGE).agg(F.max_by((F.col("_p") + F.col("mid")) / 2, F.struct(F.col("mid") - F.col("_p"), -F.col("_i"))).alias("_gap"))
-    return lines.join(by_edge, PAGE, "left").join(by_gap, PAGE, "left").withColumn("split_x", F.coalesce("_edge", "_gap")).drop("_edge", "_gap")
+    pages = _gathered(lines)
+    found = pages.withColumn("split_x", _split_x(F.col("lines"), F.col("page_width")))
+    return found if pages is lines else found.select(*PAGE, *_WIDE, F.explode("lines").alias("_l"), "split_x").select(*PAGE, *_WIDE, "_l.*", "split_x")
 
 
 def reading_order(lines: DataFrame) -> DataFrame:
     """Adds ``position``: full-width lines cut a two-column page into bands; in a band the left column comes first."""
-    d = column_split(lines)
-    mid, width, sx, pw = (F.col("left") + F.col("right")) / 2, F.col("right") - F.col("left"), F.col("split_x"), F.col("page_width")
-    full = ((F.col("left") < sx - 4) & (F.col("right") > sx + 4)) | (width > pw * 0.60) | ((F.abs(mid - sx) < pw * 0.08) & (width > pw * 0.25))
-    d = d.withColumn("_full", F.when(sx.isNotNull(), full).otherwise(False))
-    down = W.partitionBy(*PAGE).orderBy(F.col("top").desc())
-    fulls = F.sum(F.when(F.col("_full"), 1).otherwise(0))
-    above = fulls.over(down.rangeBetween(W.unboundedPreceding, 0))
-    own = fulls.over(W.partitionBy(*PAGE).orderBy(F.col("top").desc(), F.col("left"), F.col("line_no")).rowsBetween(W.unboundedPreceding, 0))
-    d = d.withColumn("_band", F.when(F.col("_full"), own).otherwise(above)).withColumn("_side", F.when(
-        F.col("_full") | sx.isNull() | (mid <= sx), 0).otherwise(1))
-    order = W.partitionBy(*PAGE).orderBy("_band", F.when(F.col("_full"), 0).otherwise(1), "_side", F.col("top").desc(), "left", "line_no")
-    return d.withColumn("position", F.row_number().over(order) - 1).drop("_full", "_band", "_side")
+    sx, pw = F.col("split_x"), F.col("page_width")
+
+    def marked(x):
+        mid, width = _mid(x), x["right"] - x["left"]
+        full = ((x["left"] < sx - 4) & (x["right"] > sx + 4)) | (width > pw * 0.60) | ((F.abs(mid - sx) < pw * 0.08) & (width > pw * 0.25))
+        rest = ~F.coalesce(sx.isNotNull() & full, F.lit(False))
+        # a full line stands before the others of its height, so that it opens the band of all that are not above it
+        return F.struct(_falling(x["top"]).alias("top"), rest.alias("rest"), x["left"].alias("left"), x["line_no"].alias("line_no"),
+                        F.when(~rest | sx.isNull() | (mid <= sx), 0).otherwise(1).alias("side"), x.alias("l"))
+
+    down = F.sort_array(F.transform("lines", marked))
+    bands = let(down, lambda d: _cut(d, lambda x, p: ~x["rest"]))
+    inside = lambda b: F.sort_array(F.transform(b, lambda x: F.struct(*[x[n].alias(n) for n in ("rest", "side", "top", "left", "line_no", "l")])))
+    ordered = F.flatten(F.transform(bands, inside))
+    placed = column_split(_gathered(lines)).select(*PAGE, *_WIDE, "split_x", F.posexplode(ordered).alias("position", "_l"))
+    return placed.select(*PAGE, *_WIDE, "_l.l.*", "split_x", "position")
 
 
 def table_regions(lines: DataFrame) -> DataFrame:
     """Runs of four or more multi-cell rows with 2–12 column bands and at least three aligned rows."""
-    d = lines if "split_x" in lines.columns else column_split(lines)
-    down = [F.col("bottom").desc(), F.col("left"), F.col("line_no")]
-    w = W.partitionBy(*PAGE).orderBy(*down)
-    step = F.lag("bottom").over(w) - F.col("bottom")
-    tall = F.greatest(F.col("top") - F.col("bottom"), F.lag(F.col("top") - F.col("bottom")).over(w))
-    flagged = d.withColumn("_n", step.isNull() | (step > F.greatest(F.lit(3.0), tall * 0.45)))
-    rows = _runs(flagged, PAGE, down, F.col("_n"), "_row").drop("_n")
-    mid = (F.col("left") + F.col("right")) / 2
-    per = rows.groupBy(*PAGE, "_row").agg(
-        F.count(F.lit(1)).alias("_k"), F.max("page_width").alias("_pw"), F.max("split_x").alias("_sx"), F.min(mid).alias("_m0"), F.max(mid).alias("_m1"),
-        F.array_sort(F.collect_list("left")).alias("_cells"), F.min("left").alias("_l"), F.min("bottom").alias("_b"), F.max("right").alias("_r"), F.max("top").alias("_t"))
-    two_columns = F.coalesce((F.col("_k") == 2) & (F.col("_m0") < F.col("_sx")) & (F.col("_m1") > F.col("_sx")), F.lit(False))
-    multi = per.where((F.col("_k") >= 2) & ~two_columns)
-    island = multi.withColumn("_g", F.col("_row") - F.row_number().over(W.partitionBy(*PAGE).orderBy("_row")))
-    regions = island.groupBy(*PAGE, "_g").agg(
-        F.count(F.lit(1)).alias("rows"), F.max("_pw").alias("_pw"), F.min("_row").alias("first_row"), F.collect_list("_cells").alias("_rows"),
-        F.min("_l").alias("left"), F.min("_b").alias("bottom"), F.max("_r").alias("right"), F.max("_t").alias("top")).where(F.col("rows") >= 4)
-    xs = regions.select(*PAGE, "_g", "_pw", F.explode(F.flatten("_rows")).alias("_x"))
-    key = [*PAGE, "_g"]
-    by_x = W.partitionBy(*key).orderBy("_x")
-    clusters = _runs(xs.withColumn("_j", F.col("_x") - F.lag("_x").over(by_x)), key, [F.col("_x")],
-                     F.col("_j").isNull() | (F.col("_j") > F.greatest(F.lit(12.0), F.col("_pw") * 0.015)), "_c")
-    centres = clusters.groupBy(*key, "_c").agg(F.avg("_x").alias("_m"), F.count(F.lit(1)).alias("_q")).where(F.col("_q") >= 2)
-    bands = centres.groupBy(*key).agg(F.array_sort(F.collect_list("_m")).alias("_m"))
-    met = regions.join(bands, key).withColumn("columns", F.size("_m")).where(F.col("columns").between(2, 12))
-    edges = F.zip_with(F.slice("_m", 1, F.size("_m") - 1), F.slice("_m", 2, F.size("_m") - 1), lambda a, b: (a + b) / 2)
-    slots = F.transform("_rows", lambda r: F.size(F.array_distinct(F.transform(r, lambda x: F.size(F.filter("_e", lambda e: e <= x))))))
-    good = met.withColumn("_e", edges).withColumn("aligned_rows", F.size(F.filter(slots, lambda n: n >= 2))).where(F.col("aligned_rows") >= 3)
-    return good.select(*PAGE, "first_row", "rows", "columns", "aligned_rows", "left", "bottom", "right", "top")
+    known = "split_x" in lines.columns and "lines" not in lines.columns
+    pages = _gathered(lines).withColumn("split_x", F.array_max(F.transform("lines", lambda x: x["split_x"]))) if known else column_split(_gathered(lines))
+    sx, pw = F.col("split_x"), F.col("page_width")
+
+    def rows(down):
+        tall = lambda x: x["l"]["top"] - x["l"]["bottom"]
+        step = lambda x, p: p["l"]["bottom"] - x["l"]["bottom"]
+        return _cut(down, lambda x, p: step(x, p).isNull() | (step(x, p) > F.greatest(F.lit(3.0), F.greatest(tall(x), tall(p)) * 0.45)))
+
+    def row(r, i):
+        get = lambda n: F.transform(r, lambda x: x["l"][n])
+        mids = F.transform(r, lambda x: _mid(x["l"]))
+        two = F.coalesce((F.size(r) == 2) & (F.array_min(mids) < sx) & (F.array_max(mids) > sx), F.lit(False))
+        return F.when((F.size(r) >= 2) & ~two, F.struct(
+            i.alias("row"), F.filter(get("left"), lambda x: x.isNotNull()).alias("cells"), F.array_min(get("left")).alias("left"),
+            F.array_min(get("bottom")).alias("bottom"), F.array_max(get("right")).alias("right"), F.array_max(get("top")).alias("top")))
+
+    def region(rs):
+        def of(centres):
+            edges = F.zip_with(F.slice(centres, 1, F.size(centres) - 1), F.slice(centres, 2, F.size(centres) - 1), lambda a, b: (a + b) / 2)
+            slots = lambda e: F.transform(rs, lambda r: F.size(F.array_distinct(F.transform(r["cells"], lambda x: F.size(F.filter(e, lambda y: y <= x))))))
+            get = lambda n: F.transform(rs, lambda r: r[n])
+            aligned = let(edges, lambda e: F.size(F.filter(slots(e), lambda n: n >= 2)))
+            return F.when(F.size(centres).between(2, 12), F.struct(
+                rs[0]["row"].alias("first_row"), F.size(rs).cast("long").alias("rows"), F.size(centres).alias("columns"), aligned.alias("aligned_rows"),
+                F.array_min(get("left")).alias("left"), F.array_min(get("bottom")).alias("bottom"), F.array_max(get("right")).alias("right"), F.array_max(get("top")).alias("top")))
+
+        xs = F.sort_array(F.flatten(F.transform(rs, lambda r: r["cells"])))
+        bands = let(xs, lambda a: _cut(a, lambda x, p: x - p > F.greatest(F.lit(12.0), pw * 0.015)))
+        return let(F.sort_array(F.transform(F.filter(bands, lambda b: F.size(b) >= 2), _mean)), of)
+
+    down = F.sort_array(F.transform("lines", lambda x: F.struct(_falling(x["bottom"]).alias("k"), x["left"].alias("left"), x["line_no"].alias("line_no"), x.alias("l"))))
+    multi = F.filter(F.transform(let(down, rows), row), lambda r: r.isNotNull())
+    islands = let(multi, lambda m: _cut(m, lambda x, p: x["row"] != p["row"] + 1))
+    found = F.transform(F.filter(islands, lambda rs: F.size(rs) >= 4), region)
+    return pages.select(*PAGE, F.explode(F.filter(found, lambda t: t["aligned_rows"] >= 3)).alias("_t")).select(*PAGE, "_t.*")
 
 
 def heading_infer(lines: DataFrame) -> DataFrame:
@@ -142,17 +201,18 @@ def heading_infer(lines: DataFrame) -> DataFrame:
 
     Sizes are counted per (document, size) first; order statistics read that small table.
     """
-    sizes = lines.where(F.col("size") > 0).groupBy("doc_id", "size").agg(F.count(F.lit(1)).alias("_n"))
     whole = W.partitionBy("doc_id")
+    counted = F.when(F.col("size") > 0, F.col("size"))
+    sizes = lines.groupBy("doc_id", counted.alias("size")).agg(F.count(counted).alias("_n"), F.min(F.struct("page", "line_no")).alias("_f"))
     run = sizes.withColumn("_hi", F.sum("_n").over(whole.orderBy("size").rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(whole))
     at = lambda i: F.min(F.when(F.col("_hi") > i, F.col("size")))
-    marks = run.groupBy("doc_id").agg(at(F.floor(F.col("_all") / 2)).alias("_med"), at(F.floor((F.col("_all") - 1) * 0.95)).alias("_p95"))
-    short, size = F.length("text") <= 120, F.col("size")
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy("page", "line_no")) == 1
-    d = lines.withColumn("_first", first).join(marks, "doc_id", "left")
-    head = (F.col("_first") & (F.length("text") <= 100)) | (short & (
+    marks = run.groupBy("doc_id").agg(at(F.floor(F.col("_all") / 2)).alias("_med"), at(F.floor((F.col("_all") - 1) * 0.95)).alias("_p95"), F.min("_f").alias("_f"))
+    short, size = F.col("_len") <= 120, F.col("size")
+    first = F.struct("page", "line_no") == F.col("_f")
+    d = join_same(lines.withColumn("_len", F.length("text")), marks, ["doc_id"], "left")
+    head = (first & (F.col("_len") <= 100)) | (short & (
         ((F.col("_p95") > 0) & (size >= F.col("_p95") * 0.97)) | ((F.col("_med") > 0) & (size > F.col("_med") * 1.25)) | (F.col("bold") & (size > F.col("_med") * 1.05))))
-    return d.withColumn("kind", F.when(head, "heading").otherwise("paragraph")).drop("_first", "_med", "_p95")
+    return d.withColumn("kind", F.when(head, "heading").otherwise("paragraph")).drop("_len", "_med", "_p95", "_f")
 
 
 def page_layout_class(pages: DataFrame, doc: str, chars: str, image_ratio: str) -> DataFrame:

@@ -66,7 +66,7 @@ o2 as (select *, case when fu then sum(fu::int) over ({_P} order by top desc, "l
  case when fu or sx is null or ("left"+"right")/2<=sx then 0 else 1 end side from o1)
 select doc_id, page, line_no, {sqlsig('sx')} split_x, cast(row_number() over ({_P} order by band, case when fu then 0 else 1 end, side, top desc, "left", line_no)-1 as int) "position" from o2""")
 def _(spark, sf):
-    return ly.reading_order(_lines(spark, sf)).select("doc_id", "page", "line_no", sig("split_x").alias("split_x"), "position")
+    return ly.reading_order(ly.line_boxes(ly.line_build(page_words(spark, sf)))).select("doc_id", "page", "line_no", sig("split_x").alias("split_x"), "position")
 
 
 @query("table_regions", f"""with {_SPLIT},
@@ -85,7 +85,7 @@ x7 as (select x1.doc_id, x1.page, x1.g, x1.r, x1.x, count(x5.e) slot from x1 lef
 x8 as (select doc_id, page, g, count(*) ar from (select doc_id, page, g, r from x7 group by 1,2,3,4 having count(distinct slot)>=2) group by 1,2,3 having count(*)>=3)
 select doc_id, page, cast(r0 as int) first_row, n "rows", cast(cols as int) "columns", cast(ar as int) aligned_rows, l "left", b bottom, rt "right", t top from t5 join x6 using (doc_id, page, g) join x8 using (doc_id, page, g)""")
 def _(spark, sf):
-    return ly.table_regions(_lines(spark, sf))
+    return ly.table_regions(ly.line_boxes(ly.line_build(page_words(spark, sf))))
 
 
 @query("heading_infer", f"""with {_LF},

@@ -31,3 +31,14 @@ def test_date_group_reaches_the_scan(spark):
 @pytest.mark.parametrize("name", ["doc_sections", "doc_classify", "doc_quality", "cite_resolve", "text_quality"])
 def test_text_is_not_shuffled_by_key(spark, name):
     assert "hashpartitioning" not in plan(QUERIES[name](spark, FOLDER))
+
+
+@pytest.mark.parametrize("name", ["reading_order", "table_regions"])
+def test_pages_are_read_once(spark, name):
+    text = plan(QUERIES[name](spark, FOLDER))
+    assert text.split("== Initial Plan ==")[-1].count("FileScan") == 1 and "Join" not in text
+
+
+def test_heading_infer_finds_the_first_line_without_a_window_over_lines(spark):
+    text = plan(QUERIES["heading_infer"](spark, FOLDER))
+    assert "row_number" not in text
