@@ -178,3 +178,16 @@ def test_tall_ranges_cost_two_events(spark):
     both = df.unionByName(spark.createDataFrame([("s", 10, 0, 10, 700)], "s string, t int, a int, b int, z int"))
     # one row across all columns cuts every tall range in two, and is whole itself
     assert setops.range_consolidate(both, "s", "t", "a", "b", "z").count() == 601
+
+
+def test_joins_are_cut_by_pairs(spark):
+    left = spark.range(1000).select((F.col("id") % 2).alias("k"), F.col("id").alias("a"))
+    right = spark.range(901).select((F.col("id") % 3).alias("k"), F.col("id").alias("b"))
+    for per in (1, 1000, 10**9):
+        both = ordering.meet_pairs(left, right, ["k"], per) if per > 1 else ordering.meet_pairs(left.limit(9), right.limit(7), ["k"], per)
+        assert {tuple(r) for r in both.select("a", "b").collect()} == {(a, b) for a in range(1000 if per > 1 else 9) for b in range(901 if per > 1 else 7) if a % 2 == b % 3}
+    # few rows, many pairs: one task would have them all if partitions were merged by size
+    box = spark.range(1000).select("id", *[(F.col("id") % 3 + d).cast("double").alias(n) for n, d in (("min_x", 0), ("min_y", 0), ("max_x", 3), ("max_y", 3))])
+    for join in (spatial.spatial_intersects, spatial.spatial_contains):
+        got = join(box, box, 16.0, per_task=1000)
+        assert got.rdd.getNumPartitions() > 1 and got.distinct().count() == got.count() > 300_000
