@@ -191,3 +191,11 @@ def test_joins_are_cut_by_pairs(spark):
     for join in (spatial.spatial_intersects, spatial.spatial_contains):
         got = join(box, box, 16.0, per_task=1000)
         assert got.rdd.getNumPartitions() > 1 and got.distinct().count() == got.count() > 300_000
+
+
+def test_a_node_knows_the_middles_of_its_items(spark):
+    wide = spark.createDataFrame([(1, 0.0, 0.0, 20.0, 8.0), (2, 2.0, 1.0, 18.0, 7.0), (3, 30.0, 0.0, 10.0, 8.0)], SHAPE).union(
+        spark.range(64).select("id", *[F.lit(10.0).alias(n) for n in spatial.BOX]))
+    root = spatial.pyramid(wide, 1)[1][0].select(F.explode("children").alias("c")).agg(F.min("c.box.min_x"), F.max("c.box.max_x"), F.min("c.box.min_mid_x"), F.max("c.box.max_mid_x")).first()
+    # the third is turned around: no point of it is sure, so both its ends count
+    assert tuple(root) == (0.0, 20.0, 10.0, 30.0)
