@@ -7,12 +7,12 @@ judge each candidate by its format and its context.  They learn from the corpus
 the forms that are proposed: spans that pass a base check are positive, e-mails and ips in
 written-out form, phones without their plus.  Negative are spans of a base pattern that fail
 it (in the same forms), numbers without any shape, four numbers of a list, and prose in the
-form of an e-mail: sentences around 'at', and words before an e-mail joined as one.  A second part of that sample calibrates: per kind, the threshold is
+form of an e-mail: sentences around 'at', and words before an e-mail joined as one.  A third of the examples calibrates: per kind, the threshold is
 the middle of the gap below the smallest score that still gives the wanted precision, so a kind without proof of it
 adds nothing.  Overlapping additions are resolved by score.
 
-Training uses a hash sample of candidates, bounded by ``sample``; every text is searched
-whole.  Trees see numbers about a candidate, never ids, language or source.
+Training uses the examples of all texts: quantiles, the sums of every level of the trees and the
+calibration are counted on Spark and are of fixed size.  Every text is searched whole.  Trees see numbers about a candidate, never ids, language or source.
 
 Defined cases: null or empty texts have no spans (the digest is that of the empty text);
 rows may repeat; extra columns are ignored; an empty table gives no rows.
@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyloom.llm.common import batches, strings, text_slices
+from tallyloom.llm.common import batches, discard, stored, strings, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -188,15 +188,20 @@ class Trees:
     def predict(self, x: np.ndarray) -> np.ndarray:
         g = np.full(len(x), self.start)
         for splits, leaf in self.parts:
-            node = np.zeros(len(x), int)
-            for level in splits:
-                right = np.zeros(len(x), int)
-                for k, (j, edge) in level.items():
-                    right[(node == k) & (x[:, j] > edge)] = 1
-                node = 2 * node + right
-            g += leaf[node]
+            g += leaf[self.nodes(splits, x)]
         return 1 / (1 + np.exp(-g))
 
+    @staticmethod
+    def nodes(splits: list[dict], x: np.ndarray) -> np.ndarray:
+        """The node of each row after the levels of ``splits``."""
+        node = np.zeros(len(x), int)
+        for level in splits:
+            right = np.zeros(len(x), int)
+            for k, (j, edge) in level.items():
+                right[(node == k) & (x[:, j] > edge)] = 1
+            node = 2 * node + right
+        return node
+
 
 def training_spans(text: str):
     """(text, start, end, kind, label) of the examples in a text, in the forms in which they are proposed."""
@@ -242,47 +247,142 @@ def _prose(before: str, sign: str, dot: str):
 
 
 def _training_rows(it):
-    kinds = pa.schema([("kind", pa.int32()), ("label", pa.int32()), ("x", pa.list_(pa.float64()))])
+    kinds = pa.schema([("kind", pa.int32()), ("label", pa.int32()), ("fold", pa.int32()), ("x", pa.list_(pa.float64()))])
 
     def out():
         for b in it:
             for text in strings(b.column(0)):
                 for t, lo, hi, kind, label in training_spans(text):
-                    yield KINDS.index(kind), label, features(t, lo, hi, kind)
+                    near = t[max(0, lo - 24):hi + 24]
+                    yield KINDS.index(kind), label, zlib.crc32(near.encode("utf-8", "replace")) % 3, features(t, lo, hi, kind)
 
     yield from batches(out(), kinds, 4096)
 
 
-def train(docs: DataFrame, sample: int = 20_000, precision: float = 0.98, proof: int = 30, id_col: str = "doc_id", text_col: str = "text") -> tuple[Trees | None, dict[str, float]]:
-    """Trees and the threshold of each kind, from a hash sample of about ``sample`` texts.
+def _table(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and weights of a batch of examples (label, n, x)."""
+    return b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1), b.column(0).to_numpy(), b.column(1).to_numpy().astype(float)
+
+
+_SCALE = float(1 << 20)  # sums of whole numbers do not depend on the order of rows
+_LONGEST = 1000.0  # features are told apart up to here
+
+
+def _edges(rows: DataFrame, bins: int) -> list[np.ndarray]:
+    """Distinct quantiles of every feature over all examples: the values are counts, so a table of values is small and exact."""
+    value = F.least(F.col("v"), F.lit(_LONGEST))
+    seen = rows.select("n", F.posexplode("x").alias("j", "v")).groupBy("j", value.alias("v")).agg(F.sum("n").alias("n")).orderBy("j", "v").toPandas()
+    out = []
+    for _, part in seen.groupby("j", sort=True):
+        ends = part["n"].to_numpy().cumsum()
+        at = np.linspace(0, 1, bins + 1)[1:-1] * (ends[-1] - 1)
+        low, high = (part["v"].to_numpy()[np.searchsorted(ends, f(at), side="right")] for f in (np.floor, np.ceil))
+        out.append(np.unique(low + (high - low) * (at - np.floor(at))))
+    return out
+
+
+def _sums(model: Trees, grown: list[dict], edges: list[np.ndarray]):
+    """Slope, curve and number of the examples of a task by node, feature and bin, as one row."""
+    bins, nodes = max(map(len, edges)) + 1, 2 ** len(grown)
+
+    def run(it):
+        total = np.zeros((nodes, len(edges), bins, 3))
+        for b in it:
+            if not len(b):
+                continue
+            x, y, n = _table(b)
+            p = model.predict(x)
+            parts = [np.rint((y - p) * _SCALE) * n, np.rint((p * (1 - p) + 1e-6) * _SCALE) * n, n]
+            node = model.nodes(grown, x)
+            for j, e in enumerate(edges):
+                at = node * bins + np.searchsorted(e, x[:, j])
+                for i, w in enumerate(parts):
+                    total[:, j, :, i] += np.bincount(at, w, nodes * bins).reshape(nodes, bins)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    return run
+
+
+def boosted(rows: DataFrame, trees: int = 40, bins: int = 32) -> Trees:
+    """Trees over all ``rows`` (label, n, x): each level is a sum of fixed size over the table, whatever its length."""
+    model, edges = Trees(trees, bins=bins), _edges(rows, bins)
+    whole = rows.agg(F.sum(F.col("n") * F.col("label")), F.sum("n")).first()
+    share = min(max(whole[0] / whole[1], 1e-3), 1 - 1e-3)
+    model.start = float(np.log(share / (1 - share)))
+    shape = (len(edges), max(map(len, edges)) + 1, 3)
+    for _ in range(trees):
+        grown: list[dict] = []
+        for _ in range(model.depth):
+            nodes = 2 ** len(grown)
+            total = np.zeros((nodes, *shape))
+            for r in rows.select("label", "n", "x").mapInArrow(_sums(model, grown, edges), "sums binary").toLocalIterator():
+                total += np.frombuffer(r["sums"]).reshape(total.shape)
+            total[..., :2] /= _SCALE
+            level, leaves = {}, np.zeros((2 * nodes, 2))
+            for k in range(nodes):
+                best = (1e-9, None)
+                for j, e in enumerate(edges):
+                    a, b, n = total[k, j].cumsum(axis=0).T
+                    gain = a[:-1] ** 2 / (b[:-1] + 1) + (a[-1] - a[:-1]) ** 2 / (b[-1] - b[:-1] + 1) - a[-1] ** 2 / (b[-1] + 1)
+                    gain[(n[:-1] < model.least) | (n[-1] - n[:-1] < model.least)] = 0
+                    if len(e) and gain[:len(e)].max() > best[0]:
+                        best = (gain[:len(e)].max(), (j, int(gain[:len(e)].argmax())))
+                here = total[k, 0].sum(axis=0)[:2]
+                leaves[2 * k] = here
+                if best[1]:
+                    j, cut = best[1]
+                    level[k] = (j, float(edges[j][cut]))
+                    leaves[2 * k] = total[k, j, :cut + 1].sum(axis=0)[:2]
+                    leaves[2 * k + 1] = here - leaves[2 * k]
+            grown.append(level)
+        model.parts.append((grown, model.rate * leaves[:, 0] / (leaves[:, 1] + 1)))
+    return model
+
+
+_GRID = 1 << 14  # cells of the scores from 0 to 1
+
+
+def _scored(model: Trees):
+    kinds = pa.schema([("kind", pa.int32()), ("label", pa.int32()), ("cell", pa.int32()), ("n", pa.int64())])
+
+    def run(it):
+        for b in it:
+            if len(b):
+                x, *_ = _table(b)
+                cell = np.minimum(model.predict(x) * _GRID, _GRID - 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(3), b.column(0), pa.array(cell), b.column(1)], schema=kinds)
+
+    return run
+
+
+def train(docs: DataFrame, precision: float = 0.98, proof: int = 30, text_col: str = "text") -> tuple[Trees | None, dict[str, float]]:
+    """Trees and the threshold of each kind, from the examples of all texts.
 
-    A kind needs ``proof`` calibration candidates above its threshold, else it adds nothing.
+    Two thirds of the examples, by a hash of their surroundings, teach the trees; the others calibrate.
+    Equal examples are one row with their number.  A kind needs ``proof`` calibration candidates above
+    its threshold, else it adds nothing.
     """
-    n = docs.count()
-    h = F.pmod(F.xxhash64(id_col, F.lit("pii")), F.lit(1 << 20))
-    rows = docs.where(h < int((1 << 20) * min(1.0, sample / max(1, n)))).select(F.col(text_col).cast("string")).mapInArrow(
-        _training_rows, "kind int, label int, x array<double>").toPandas()
-    if not len(rows) or rows["label"].nunique() < 2:
-        return None, {}
-    x, y, kind = np.array(rows["x"].tolist()), rows["label"].to_numpy(), rows["kind"].to_numpy()
-    order = np.lexsort((*x.T, y, kind))  # the same sample in any row order
-    fold = np.zeros(len(y), int)
-    fold[order] = np.arange(len(y)) % 3
-    if y[fold != 0].min() == y[fold != 0].max():
-        return None, {}
-    model = Trees().fit(x[fold != 0], y[fold != 0].astype(float))
-    p, cut = model.predict(x[fold == 0]), {}
+    spark = docs.sparkSession
+    found = docs.select(F.col(text_col).cast("string")).mapInArrow(_training_rows, "kind int, label int, fold int, x array<double>")
+    rows = stored(found.groupBy("kind", "label", "fold", "x").agg(F.count(F.lit(1)).alias("n")), "examples")
+    try:
+        taught = rows.where("fold <> 0")
+        if taught.agg(F.count_distinct("label")).first()[0] < 2:
+            return None, {}
+        model, cut = boosted(taught), {}
+        tested = rows.where("fold = 0").select("label", "n", "x", "kind").mapInArrow(_scored(model), "kind int, label int, cell int, n long")
+        per = tested.groupBy("kind", "cell").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("ok")).toPandas()
+    finally:
+        discard(spark, rows)
     for k, name in enumerate(KINDS):
-        mine = kind[fold == 0] == k
-        s, ok = p[mine], y[fold == 0][mine]
-        if not len(ok) or ok.min() == 1:
+        mine = per[per["kind"] == k].sort_values("cell", ascending=False)
+        n, ok = mine["n"].to_numpy().cumsum(), mine["ok"].to_numpy().cumsum()
+        if not len(n) or ok[-1] == n[-1]:
             continue  # no counter-examples, no proof
-        down = np.argsort(-s, kind="stable")
-        share = np.cumsum(ok[down]) / np.arange(1, len(ok) + 1)
-        good = np.flatnonzero((share >= precision) & (np.arange(1, len(ok) + 1) >= proof) & (np.append(s[down][1:], -1) < s[down]))
+        good = np.flatnonzero((ok >= precision * n) & (n >= proof))
         if len(good):
-            ranked = np.append(s[down], 0.0)
-            cut[name] = float(ranked[good[-1]] + ranked[good[-1] + 1]) / 2  # any score of this gap has the same proof
+            below = np.append(mine["cell"].to_numpy()[1:] + 1, 0)
+            cut[name] = float(mine["cell"].to_numpy()[good[-1]] + below[good[-1]]) / 2 / _GRID  # any score of this gap has the same proof
     return model, cut
 
 

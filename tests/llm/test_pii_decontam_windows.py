@@ -201,3 +201,17 @@ def test_passages_of_chains_and_frequent_shingles(spark):
             assert r.source_id < r.doc_id and 100 * len(x & y) >= 80 * len(x | y)
             covered.setdefault(r.doc_id, set()).update(range(r.start, r.end))
         assert all(covered.get(i, set()) >= set(range(lo, hi)) for i, lo, hi in want)
+
+
+def test_trees_learn_from_every_example(spark):
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 40, (3000, 3)).astype(float)
+    y = ((x[:, 0] > 20) ^ (x[:, 1] > 10)).astype(int)
+    n = np.ones(3000, int)
+    x[0], y[0], n[0] = (99.0, 99.0, 99.0), 1, 500  # one row that stands for many counts as many
+    rows = spark.createDataFrame([(int(b), int(c), a.tolist()) for a, b, c in zip(x, y, n)], "label int, n long, x array<double>")
+    model = pii.boosted(rows.repartition(5), trees=12)
+    again = pii.boosted(rows.repartition(2), trees=12)
+    same = pii.Trees(trees=12).fit(np.repeat(x, n, axis=0), np.repeat(y, n).astype(float))
+    assert np.array_equal(model.predict(x), again.predict(x))
+    assert np.abs(model.predict(x) - same.predict(x)).max() < 1e-3
