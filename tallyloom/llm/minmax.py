@@ -11,8 +11,9 @@ decide.  Linked documents become one component, and only then are pairs of the s
 bucket but of different components tried, each pair once however many buckets it shares;
 shingles that no other candidate has and longer signatures drop those out of reach, the
 full sets decide again.  So no group of copies is expanded into its pairs, and no likely
-link between components stays untested.  With 128 values in bands of 4, a pair of
-similarity 0.8 shares no bucket with probability 5e-8; the signature filter stands four
+link between components stays untested.  There a document is one row with all it has to meet in
+a bucket, not a row per pair, and documents linked on the way are not tried again.  With 128 values in bands of 4, a pair of
+similarity 0.8 shares no bucket with probability 5e-8; the signature filter stands six
 standard deviations below the wanted similarity and only matters where a link is the only
 one between two components.
 
@@ -158,23 +159,34 @@ def _long_signatures(size: int, hashes: int):
     return run
 
 
-def _across(least: int, percent: int):
-    """In sorted rows (bucket, id, component, n, common, keys, signature): pairs of different components that may be alike.
+def _across(least: int, percent: int, block: int = 4096):
+    """In sorted rows (bucket, id, component, n, common, keys, signature): what of a bucket has to be held against what.
 
     ``common`` counts the shingles that some other candidate has as well: no intersection is
-    larger.  A pair is named in the first of the buckets it shares only.
+    larger.  A pair is named in the first of the buckets it shares only.  There is one row per
+    document and part of a bucket, however many others it meets there: (bucket, part, id,
+    others), and one with no others for a document that only others name.  A part has at most
+    2 x ``block`` documents.
     """
-    kinds = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    kinds = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("id", pa.int64()), ("others", pa.list_(pa.int64()))])
 
     def group(bucket, ids, comp, n, common, keys, sig):
         band = (keys == bucket).argmax(axis=1)
+        held: dict = {}
         for i in range(len(ids) - 1):
             most = np.minimum(common[i + 1:], common[i])
             other = i + 1 + np.flatnonzero((comp[i + 1:] != comp[i]) & (100 * most >= percent * (n[i + 1:] + n[i] - most)))
             other = other[(sig[other] == sig[i]).sum(axis=1) >= least]
             if len(other):
                 other = other[(keys[other] == keys[i]).argmax(axis=1) == band[i]]
-            yield from zip([int(ids[i])] * len(other), ids[other].tolist())
+            for q in np.unique(other // block).tolist():
+                held.setdefault((i // block, q), {})[i] = other[other // block == q]
+        for (p, q), met in held.items():
+            part = (p << 32) + q
+            for i, other in met.items():
+                yield int(bucket), part, int(ids[i]), ids[other].tolist()
+            for j in np.setdiff1d(np.concatenate(list(met.values())), list(met)).tolist():
+                yield int(bucket), part, int(ids[j]), []
 
     def flush(bucket, rows):
         if len(rows) > 1:
@@ -192,10 +204,60 @@ def _across(least: int, percent: int):
                     rows.append(r)
             yield from flush(key, rows)
 
-        for b in batches(out(), kinds, 8192):
-            x, y = b.column(0), b.column(1)
-            low, high = np.minimum(x, y), np.maximum(x, y)
-            yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(low)], schema=kinds)
+        yield from batches(out(), kinds, 8192, weigh=lambda r: 8 * len(r[3]))
+
+    return run
+
+
+_MEET = "bucket long, part long, id long, others array<long>"
+
+
+def _settled(size: int, percent: int):
+    """In sorted rows (bucket, part, id, others, text): links between the documents of a part, decided on their full sets.
+
+    Documents that are linked in the part already are not held against each other again, so a
+    part gives fewer links than it has documents.
+    """
+    kinds = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def settle(ids, others, sets):
+        place = {i: k for k, i in enumerate(ids)}
+        n = np.array([len(s) for s in sets])
+        ends = np.cumsum(n)
+        code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        mine = np.zeros(int(code.max()) + 1, bool)
+        comp = np.arange(len(ids))
+        for i, some in enumerate(others):
+            met = np.array([place[x] for x in some], np.int64)
+            met = met[comp[met] != comp[i]]
+            if not len(met):
+                continue
+            mine[code[ends[i] - n[i]:ends[i]]] = True
+            inter = np.array([np.count_nonzero(mine[code[ends[j] - n[j]:ends[j]]]) for j in met.tolist()])
+            mine[code[ends[i] - n[i]:ends[i]]] = False
+            for j in met[100 * inter >= percent * (n[i] + n[met] - inter)].tolist():
+                if comp[i] != comp[j]:
+                    comp[comp == comp[j]] = comp[i]
+                    yield max(ids[i], ids[j]), min(ids[i], ids[j])
+
+    def run(it):
+        def out():
+            key, ids, others, sets = None, [], [], []
+            for b in it:
+                at = list(zip(*(b.column(c).to_pylist() for c in range(4))))
+                for lo, hi, texts in text_slices(b.column(4)):
+                    for (bucket, part, i, some), s in zip(at[lo:hi], shingle_sets(texts, size)):
+                        if (bucket, part) != key:
+                            if ids:
+                                yield from settle(ids, others, sets)
+                            key, ids, others, sets = (bucket, part), [], [], []
+                        ids.append(i)
+                        others.append(some)
+                        sets.append(s)
+            if ids:
+                yield from settle(ids, others, sets)
+
+        yield from batches(out(), kinds, 8192)
 
     return run
 
@@ -216,7 +278,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, hashes: i
     shared = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     members = stored(banded.join(shared, "key", "left_semi"), "members")
     mean = percent / 100
-    least = max(0, int(2 * long_hashes * (mean - 4 * (mean * (1 - mean) / (2 * long_hashes)) ** 0.5)))
+    least = max(0, int(2 * long_hashes * (mean - 6 * (mean * (1 - mean) / (2 * long_hashes)) ** 0.5)))
 
     def picked(ids: DataFrame) -> DataFrame:
         """The texts of some ids, one each."""
@@ -231,8 +293,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, hashes: i
         return stored(pairs.join(a, "a").join(b, "b").select("a", "b", "va", "vb").mapInArrow(_linked(size, percent), "a long, b long"), "links")
 
     repeated = not texts.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    none = spark.createDataFrame([], "a long, b long")
-    edges, tested = none, none
+    edges = spark.createDataFrame([], "a long, b long")
     comp = spark.createDataFrame([], "id long, comp long")
     for turn in ("leaders", "rest"):
         of = members.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
@@ -243,6 +304,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, hashes: i
             best = W.partitionBy("id").orderBy(F.desc("count"), "lead")
             pairs = votes.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= leaders).select(
                 F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b")).distinct()
+            edges = edges.union(linked(stored(pairs, "pairs")))
         else:
             left = stored(of.join(mixed.select("key"), "key", "left_semi"), "left")
             # shingles that no other candidate has are in no intersection: they rule most pairs out
@@ -252,12 +314,11 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, hashes: i
             alone = shingles.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
             able = nodes.join(alone, "id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).where(100 * F.col("common") >= percent * F.col("n"))
             groups = left.join(able.join(signs, "id"), "id").select("key", "id", "comp", "n", "common", "keys", "long_sig")
-            pairs = groups.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_across(least, percent), "a long, b long")
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if not pairs.isEmpty():
-            edges, tested = edges.union(linked(pairs)), tested.union(pairs)
-            comp = components(edges)
+            meet = stored(groups.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_across(least, percent), _MEET), "meet")
+            held = meet.join(picked(meet.select(F.col("id").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "id"), "id").select("bucket", "part", "id", "others", "text")
+            links = held.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "id").mapInArrow(_settled(size, percent), "a long, b long")
+            edges = edges.union(stored(links, "links"))
+        comp = components(edges)
     named = heads.join(comp, "id", "left").select("digest", F.coalesce("comp", "id").alias("component"))
     out = signed.select("doc_id", "n", "digest").join(named, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
