@@ -261,10 +261,7 @@ def _(spark, sf):
 @query("norm_openalex", f"""with {_BASE} select pos, id, title, doi, "year", venue, citation_count, md5(abstract) abstract, is_open_access, first_author, array_to_string(authors,'|') authors, 'Inst' affiliations from b1""")
 def _(spark, sf):
     b = base(spark, sf)
-    # the inverted index of the whole text: word -> positions
-    words = b.select("pos", F.posexplode(F.split("abstract", " ", -1)).alias("p", "w")).groupBy("pos", "w").agg(F.sort_array(F.collect_list("p")).alias("ps"))
-    index = words.groupBy("pos").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("idx"))
-    raw = b.join(index, "pos").select("pos", F.to_json(F.struct(
+    raw = b.withColumn("idx", rc.invert_abstract(F.col("abstract"))).select("pos", F.to_json(F.struct(
         "id", F.col("title").alias("display_name"), F.concat(F.lit("https://doi.org/"), F.upper("doi")).alias("doi"), F.col("year").alias("publication_year"),
         F.col("citation_count").alias("cited_by_count"), F.struct(F.struct(F.col("venue").alias("display_name")).alias("source")).alias("primary_location"),
         F.col("idx").alias("abstract_inverted_index"), F.struct(F.col("is_open_access").alias("is_oa")).alias("open_access"),

@@ -30,6 +30,17 @@ def _names(items: Column, field: str) -> Column:
     return F.filter(F.transform(items, lambda x: _filled(x[field])), lambda x: x.isNotNull())
 
 
+def invert_abstract(text: Column) -> Column:
+    """Inverted index {word: [positions]} of a text, inside its row: sorted (word, position) pairs are cut into runs of one word."""
+    def runs(ws):
+        at = F.filter(F.transform(ws, lambda x, i: F.when((i == 0) | (x["w"] != F.get(ws, i - 1)["w"]), i)), lambda i: i.isNotNull())
+        return let(at, lambda a: F.transform(a, lambda s, k: F.struct(
+            F.get(ws, s)["w"].alias("w"), F.transform(F.slice(ws, s + 1, F.coalesce(F.get(a, k + 1), F.size(ws)) - s), lambda x: x["p"]).alias("ps"))))
+
+    pairs = F.transform(F.split(text, " ", -1), lambda w, p: F.struct(w.alias("w"), p.alias("p")))
+    return F.map_from_entries(let(F.sort_array(pairs), runs))
+
+
 def restore_abstract(index: Column) -> Column:
     """Text of an inverted index {word: [positions]}: one word per position, the later word wins."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e, k: F.transform(

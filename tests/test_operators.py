@@ -517,3 +517,19 @@ def test_nearest_ties_by_decimals(spark):
     right = spark.createDataFrame([(5144.36, 0), (5145.32, 1)], "y double, pos int")
     assert 5144.84 - 5144.36 > 5145.32 - 5144.84  # one distance in decimals, two in binary
     assert [r.matched_key for r in lookups.lookup_nearest(left, right, [], "x", "y", "pos", ["pos"], ["id"], digits=6).collect()] == [5144.36]
+
+
+# --- inputs derived once --------------------------------------------------------------
+
+def test_inverted_index_is_built_inside_its_row(spark):
+    texts = ["a b a  c b a", "", "x", None, "É é É"]
+    df = spark.createDataFrame(list(enumerate(texts)), "pos long, text string")
+    index = df.select("pos", "text", records.invert_abstract(F.col("text")).alias("idx"))
+    for r in index.collect():
+        want: dict = {}
+        for p, w in enumerate(r.text.split(" ") if r.text is not None else []):
+            want.setdefault(w, []).append(p)
+        assert r.idx == (want if r.text is not None else None)
+    assert [r.t for r in index.select(records.restore_abstract(F.col("idx")).alias("t")).collect()] == texts
+    from tallyloom.plans.catalog import QUERIES
+    assert "hashpartitioning" not in QUERIES["norm_openalex"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
