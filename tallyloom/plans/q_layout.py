@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators import corpus as co, layout as ly, packages as pk
 from tallyloom.plans.derived import PAGE_WORDS_SQL as WD, page_words, papers, papers_sql
 from tallyloom.plans.registry import query, sig, sqlsig
+from tallyloom.session import cut_lineage
 from tallyloom.sources import blocks as bl
 from tallyloom.sources.tables import table
 
@@ -141,23 +142,28 @@ def _(spark, sf):
                                      F.coalesce(F.array_join("rows", "‖"), F.lit("")).alias("rows"))
 
 
-def _content(spark, sf):
+def _written_blocks(spark, sf):
+    """The blocks as a written table, for queries that take content, structure and assets from them."""
+    return cut_lineage(_blocks(spark, sf).select("doc_id", "idx", "block_id", "kind", "level", "text"))
+
+
+def _content(blocks):
     """Block rows written as JSON lines and read back."""
-    raw = _blocks(spark, sf).select("doc_id", F.to_json(F.struct(F.upper("block_id").alias("blockId"), F.col("idx").alias("index"), "kind", "level", "text")).alias("value"))
+    raw = blocks.select("doc_id", F.to_json(F.struct(F.upper("block_id").alias("blockId"), F.col("idx").alias("index"), "kind", "level", "text")).alias("value"))
     return bl.parse_content(raw, "doc_id", "value")
 
 
-def _structure(spark, sf):
+def _structure(blocks):
     i = F.col("idx")
     prov = F.struct(F.when(i % 7 != 3, F.when(i % 5 == 4, "docx").otherwise("pdf")).alias("format"), F.when(i % 6 != 5, i.cast("string")).alias("position"),
                     F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("source"), F.when(i % 4 != 1, i).alias("page"), F.array(F.lit(0.0), F.lit(1.0), F.lit(2.0), i.cast("double")).alias("bbox"))
     entry = F.struct(F.when(i % 9 != 8, prov).alias("provenance"))
-    per = _blocks(spark, sf).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("block_id", entry.alias("e")))).alias("blockIndex"))
+    per = blocks.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("block_id", entry.alias("e")))).alias("blockIndex"))
     return bl.parse_structure(per.select("doc_id", F.to_json(F.struct("blockIndex")).alias("value")), "doc_id", "value")
 
 
-def _assets(spark, sf):
-    b = _blocks(spark, sf).select("doc_id", F.struct(
+def _assets(blocks):
+    b = blocks.select("doc_id", F.struct(
         F.concat(F.lit("img"), F.col("idx").cast("string")).alias("id"), F.col("block_id").alias("name"), F.array(F.concat(F.lit("B"), (F.col("idx") + 1).cast("string"))).alias("usedBy")).alias("a"))
     per = b.groupBy("doc_id").agg(F.to_json(F.struct(F.collect_list("a").alias("items"))).alias("value"))
     return bl.parse_assets(per, "doc_id", "value")
@@ -168,14 +174,16 @@ _STR = """st as (select doc_id, block_id, idx, case when idx%9<>8 then 1 end has
 
 @query("src_blocks", f"with {_NL}, {_STR} select bk.doc_id, upper(bk.block_id) block_id, bk.idx, kind, fmt, cast(case when has=1 then page end as int) page from bk join st on st.doc_id=bk.doc_id and st.idx=bk.idx".replace("kind, fmt", "kind, case when has=1 then fmt end fmt"))
 def _(spark, sf):
-    s = _structure(spark, sf).select("doc_id", F.upper("block_id").alias("block_id"), F.col("provenance.format").alias("fmt"), F.col("provenance.page").alias("page"))
-    return _content(spark, sf).select("doc_id", "block_id", "idx", "kind").join(s, ["doc_id", "block_id"])
+    b = _written_blocks(spark, sf)
+    s = _structure(b).select("doc_id", F.upper("block_id").alias("block_id"), F.col("provenance.format").alias("fmt"), F.col("provenance.page").alias("page"))
+    return _content(b).select("doc_id", "block_id", "idx", "kind").join(s, ["doc_id", "block_id"])
 
 
 @query("block_view", f"""with {_NL}, {_STR}, us as (select distinct doc_id, 'img'||idx a, unnest(['img'||idx, block_id, 'b'||(idx+1)]) b from bk)
 select bk.doc_id, upper(bk.block_id) block_id, kind, case when has=1 then fmt end fmt, coalesce((select string_agg(a, ',' order by a) from us where us.doc_id=bk.doc_id and us.b=bk.block_id), '') assets from bk join st on st.doc_id=bk.doc_id and st.idx=bk.idx""")
 def _(spark, sf):
-    v = pk.block_view(_content(spark, sf), _structure(spark, sf), _assets(spark, sf))
+    b = _written_blocks(spark, sf)
+    v = pk.block_view(_content(b), _structure(b), _assets(b))
     return v.select("doc_id", "block_id", "kind", F.col("provenance.format").alias("fmt"), F.array_join("asset_ids", ",").alias("assets"))
 
 
@@ -195,4 +203,4 @@ def _(spark, sf):
  union all select doc_id, block_id, 'format differs' from st where has=1 and fmt='docx' union all select doc_id, block_id, 'position missing' from st where has=1 and pos_ is null
  union all select doc_id, block_id, 'page missing' from st where has=1 and page is null)""")
 def _(spark, sf):
-    return pk.package_check(_structure(spark, sf), F.lit("PDF"))
+    return pk.package_check(_structure(_blocks(spark, sf)), F.lit("PDF"))

@@ -533,3 +533,10 @@ def test_inverted_index_is_built_inside_its_row(spark):
     assert [r.t for r in index.select(records.restore_abstract(F.col("idx")).alias("t")).collect()] == texts
     from tallyloom.plans.catalog import QUERIES
     assert "hashpartitioning" not in QUERIES["norm_openalex"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["block_view", "src_blocks"])
+def test_blocks_are_taken_from_their_text_once(spark, name):
+    from tallyloom.plans.catalog import QUERIES
+    # what is read is the written table of blocks; the documents are not parsed again for each side of a join
+    assert not any("documents" in f for f in QUERIES[name](spark, SMALL).inputFiles())
