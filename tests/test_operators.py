@@ -540,3 +540,16 @@ def test_blocks_are_taken_from_their_text_once(spark, name):
     from tallyloom.plans.catalog import QUERIES
     # what is read is the written table of blocks; the documents are not parsed again for each side of a join
     assert not any("documents" in f for f in QUERIES[name](spark, SMALL).inputFiles())
+
+
+def test_filtered_texts_are_normalised_once(spark):
+    import unicodedata
+    rows = [(1, "Plain text"), (2, "Élan \t vital"), (3, "ﬁne ① text"), (4, None), (5, "élan"), (6, "中文 text"), (7, "\x7f\x80x\n y")]
+    df = papers.as_records(spark.createDataFrame(rows, "pos long, title string"))
+    got = {r.pos: r.t for r in df.select("pos", papers.norm_text(F.col("title")).alias("t")).collect()}
+    bare = lambda t: "".join(ch for ch in unicodedata.normalize("NFKC", t or "") if not (ch < " " or "\x7f" <= ch <= "\x9f"))
+    assert got == {i: " ".join(bare(t).lower().split()) for i, t in rows}
+    kept = papers.bool_filter(df, ("or", papers.term("TI", "text"), papers.term("TI", "élan")))
+    assert {r.pos: r.match_reasons for r in kept.collect()} == {1: ["TI:text"], 2: ["TI:élan"], 3: ["TI:text"], 5: ["TI:élan"], 6: ["TI:text"]}
+    # one evaluation for match and reasons: the plan has one Python step per field
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
