@@ -91,6 +91,9 @@ VARIABLE_ROLES = {"因变量": "因变量", "自变量": "自变量", "中介变
 VARIABLE_STOP = ["变量", "指标", "模型", "数据", "研究", "影响"]
 EFFECT_OF = r"([一-龥A-Za-z0-9_]{2,30})对([一-龥A-Za-z0-9_]{2,30})的(?:影响|作用|效应)"
 AFFECTS = r"([一-龥A-Za-z0-9_]{2,30})(?:是否|如何)?(?:影响|促进|抑制)([一-龥A-Za-z0-9_]{2,30})"
+# Literals without which these patterns cannot match: of a role's name, if it is a pattern, and one of each list.
+VARIABLE_LITERALS = {"(?:处理变量|处理组变量)": "处理"}
+EFFECT_LITERALS = {EFFECT_OF: [["对"], ["的影响", "的作用", "的效应"]], AFFECTS: [["影响", "促进", "抑制"]]}
 
 REFERENCE_HEADING = r"(?im)^\s*(?:[\d一二三四五六七八九十]+[、.．]\s*)?(?:参考文献|参考资料|引用文献|references|bibliography)\s*$"
 BACK_MATTER = r"(?im)^\s*(?:附录|致谢|作者简介|appendix|acknowledg?ements?)\s*$"
