@@ -398,14 +398,22 @@ def var_candidates(df: DataFrame, key: str, text: str) -> DataFrame:
     pair = lambda label, role: F.struct(label.alias("label"), F.lit(role).alias("role"))
 
     def named(scan):
+        none = F.array().cast("array<string>")
         found = []
         for role, name in lx.VARIABLE_ROLES.items():
-            bodies = F.regexp_extract_all(scan, F.lit(name + r"(?:为|是|包括|：|:)\s*([^。；;\n]+)"), 1)
+            bodies = F.when(F.contains(scan, F.lit(lx.VARIABLE_LITERALS.get(name, name))), F.regexp_extract_all(scan, F.lit(name + r"(?:为|是|包括|：|:)\s*([^。；;\n]+)"), 1)).otherwise(none)
             found.append(F.transform(bodies, lambda b: F.struct(F.split(b, r"[、，,及和与\s]+", -1).alias("labels"), F.lit(role).alias("role"))))
         roles = F.flatten(F.transform(F.concat(*found), lambda r: F.transform(
             r["labels"], lambda x: F.struct(_clean_label(x).alias("label"), r["role"].alias("role")))))
-        effects = [F.flatten(F.zip_with(F.regexp_extract_all(scan, F.lit(p), 1), F.regexp_extract_all(scan, F.lit(p), 2), lambda a, b: F.array(
-            pair(_clean_label(a), "自变量"), pair(_clean_label(b), "因变量")))) for p in (lx.EFFECT_OF, lx.AFFECTS)]
+
+        def effect(pattern, literals):
+            # a match lies in one line, and only lines with the pattern's literals are searched; its parts are taken from the match
+            able = F.filter(F.split(scan, "\n", -1), lambda x: reduce(lambda a, b: a & b, [has_any(x, either) for either in literals]))
+            matches = F.flatten(F.transform(able, lambda x: F.regexp_extract_all(x, F.lit(pattern), 0)))
+            return F.flatten(F.transform(matches, lambda m: F.array(
+                pair(_clean_label(F.regexp_extract(m, pattern, 1)), "自变量"), pair(_clean_label(F.regexp_extract(m, pattern, 2)), "因变量"))))
+
+        effects = [effect(p, lx.EFFECT_LITERALS[p]) for p in (lx.EFFECT_OF, lx.AFFECTS)]
         return F.concat(roles, *effects)
 
     def complete(d):

@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from tallyloom.functions import lexicon as lx
 from tallyloom.operators import corpus as co
 
 TEXTS = [
@@ -39,3 +40,15 @@ def test_words_are_found_in_the_short_text_as_in_the_lower_cased_one(spark):
     # all but words with letters need the runs beyond ASCII only
     assert "wide" in str(co.holds(co.Seen(F.col("low"), F.col("wide")), "问卷")) and "low" in str(co.holds(co.Seen(F.col("low"), F.col("wide")), "t检验"))
 
+
+def test_effects_are_searched_once_in_lines_with_their_literals(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS) if t], "i int, t string")
+    got = {(r["i"], r["label"], r["role"]) for r in co.var_candidates(df, "i", "t").collect()}
+    want = set()
+    clean = lambda x: re.sub("^[ ：:，,。；;]+|[ ：:，,。；;]+$", "", re.sub("^(本文|本研究|主要|核心)", "", re.sub("[\"'“”‘’（）()]", "", x.strip())))
+    for i, t in enumerate(TEXTS):
+        for p in (lx.EFFECT_OF, lx.AFFECTS):
+            for m in re.finditer(p, t or ""):
+                want |= {(i, clean(m[1]), "自变量"), (i, clean(m[2]), "因变量")}
+    assert want and {w for w in want if w[1] not in lx.VARIABLE_STOP} <= got
+    assert all(re.search("|".join(map(re.escape, lits)), m) for p, m in ((lx.EFFECT_OF, "甲乙对丙丁的作用"), (lx.AFFECTS, "甲乙抑制丙丁")) for lits in lx.EFFECT_LITERALS[p])
