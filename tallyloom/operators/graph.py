@@ -26,24 +26,32 @@ def pagerank(edges: DataFrame, vertices: DataFrame | None = None, rounds: int =
              cut_every: int = 5) -> DataFrame:
     """Rank of every vertex; ``inverse`` walks edges backwards.  Rank of dead ends is not handed on.
 
-    Parallel edges become one weighted link.  A round is one join and one sum: the base
-    rank enters the sum as a row per vertex, so no outer join is needed.
+    Parallel edges become one weighted link, and degrees and vertices are read from the links,
+    not from the edges.  A round is one join and one sum: the base rank enters the sum as a row
+    per vertex, so no outer join is needed.  Ranks are written at rounds 2, 4 and every
+    ``cut_every``; if none differs from the last ones written beyond the noise of a sum's order,
+    they are the fixed point, and further rounds would not move them.
     """
     a, b = ("dst", "src") if inverse else ("src", "dst")
-    links = edges.groupBy(F.col(a).alias("u"), F.col(b).alias("v")).agg(F.count(F.lit(1)).alias("_m"))
-    degree = edges.groupBy(F.col(a).alias("u")).agg(F.count(F.lit(1)).alias("_d"))
-    links = cut_lineage(links.join(degree, "u").select("u", "v", (F.col("_m") / F.col("_d")).alias("share")))
-    nodes = cut_lineage((vertices if vertices is not None else vertices_of(edges)).select("id"))
+    met = cut_lineage(edges.groupBy(F.col(a).alias("u"), F.col(b).alias("v")).agg(F.count(F.lit(1)).alias("_m")))
+    degree = met.groupBy("u").agg(F.sum("_m").alias("_d"))
+    links = cut_lineage(met.join(degree, "u").select("u", "v", (F.col("_m") / F.col("_d")).alias("share")))
+    nodes = cut_lineage((vertices if vertices is not None else vertices_of(met.select(F.col("u").alias("src"), F.col("v").alias("dst")))).select("id"))
     n = nodes.count()
     if n == 0:
         return nodes.withColumn("rank", F.lit(0.0))
     base = nodes.select("id", F.lit((1 - omega) / n).alias("p"))
-    rank, steps = nodes.select("id", F.lit(1.0 / n).alias("p")), Steps()
+    rank, steps, written = nodes.select("id", F.lit(1.0 / n).alias("p")), Steps(), None
     for i in range(1, rounds + 1):
         sent = links.join(rank, links["u"] == rank["id"]).select(F.col("v").alias("id"), (F.col("share") * F.col("p") * omega).alias("p"))
         rank = base.unionByName(sent).groupBy("id").agg(F.sum("p").alias("p"))
-        if i % cut_every == 0 and i < rounds:
+        if (i in (2, 4) or i % cut_every == 0) and i < rounds:
             rank = steps.cut(rank)
+            if written is not None:
+                moved = rank.join(written.select("id", F.col("p").alias("_p")), "id").where(~(F.abs(F.col("p") - F.col("_p")) <= 1e-13 * F.col("p")))
+                if moved.isEmpty():
+                    break
+            written = rank
     return rank.withColumnRenamed("p", "rank")
 
 
