@@ -66,20 +66,19 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
     nodes = (vertices if vertices is not None else vertices_of(edges)).select("id")
     steps = Steps()
     labels = steps.cut(nodes.select("id", F.col("id").alias("component")))
+    kind = labels.schema["component"].dataType
     while True:
         own = labels.select(F.col("id").alias("src"), F.col("component").alias("_own"))
         theirs = labels.select(F.col("id").alias("dst"), F.col("component").alias("_near"))
         met = pairs.join(own, "src").join(theirs, "dst")
-        # the neighbour's label reaches the vertex and the vertex's root
-        offers = met.select(F.col("src").alias("id"), F.col("_near").alias("c")).union(met.select(F.col("_own").alias("id"), F.col("_near").alias("c")))
-        low = labels.select("id", F.col("component").alias("c")).union(offers).groupBy("id").agg(F.min("c").alias("component"))
+        # the neighbour's label reaches the vertex and the vertex's root; both offers leave one pass over the joined pairs
+        offers = met.where("_near < _own").select(F.explode(F.array("src", "_own")).alias("id"), F.col("_near").alias("c"), F.lit(None).cast(kind).alias("_o"))
+        # the own label travels along, so that no join with the last round is needed to see a change
+        low = labels.select("id", F.col("component").alias("c"), F.col("component").alias("_o")).union(offers).groupBy("id").agg(F.min("c").alias("component"), F.min("_o").alias("_old"))
         jump = low.select(F.col("id").alias("component"), F.col("component").alias("_root"))
-        after = low.join(jump, "component").select("id", F.col("_root").alias("component"))
-        before = labels.select("id", F.col("component").alias("_old"))
-        after = steps.cut(after)
-        changed = after.join(before, "id").where("component <> _old").limit(1).count()
-        labels = after
-        if not changed:
+        after = steps.cut(low.join(jump, "component").select("id", F.col("_root").alias("component"), (F.col("_root") != F.col("_old")).alias("_moved")))
+        labels = after.select("id", "component")
+        if after.where("_moved").isEmpty():
             return labels
 
 

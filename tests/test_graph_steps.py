@@ -35,3 +35,22 @@ def test_ranks_of_a_cycle_take_all_rounds(spark):
     for _ in range(7):
         rank = {1: 0.05 + 0.85 * (rank[2] / 2 + rank[3]), 2: 0.05 + 0.85 * rank[1], 3: 0.05 + 0.85 * rank[2] / 2}
     assert all(abs(got[v] - rank[v]) < 1e-12 for v in rank)
+
+
+def test_components_of_chains_strings_and_lone_vertices(spark):
+    edges = [(i, i + 1) for i in range(0, 40) if i % 13] + [(7, 30), (50, 50)]
+    comp = {v: v for e in edges for v in e}
+    for _ in range(50):
+        for a, b in edges:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    got = {r["id"]: r["component"] for r in gr.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == comp
+    named = spark.createDataFrame([(f"v{a:02}", f"v{b:02}") for a, b in edges], "src string, dst string")
+    assert {r["id"]: r["component"] for r in gr.connected_components(named).collect()} == {f"v{k:02}": f"v{v:02}" for k, v in comp.items()}
+
+
+def test_components_look_for_changes_without_a_join(spark, monkeypatch):
+    seen, plain = [], Steps.cut
+    monkeypatch.setattr(Steps, "cut", lambda self, df: seen.append(df.columns) or plain(self, df))
+    gr.connected_components(spark.createDataFrame([(1, 2)], "src long, dst long")).collect()
+    assert len(seen) > 1 and all("_moved" in c for c in seen[1:])
