@@ -170,10 +170,18 @@ def distances(edges: DataFrame, sources: DataFrame, directed: bool = False, fold
     log, which a round reads but does not write again; after ``fold_at`` rounds it is folded
     to the least distances.  Unreached vertices have no row.
     """
+    return _relaxed(_links(edges, directed), sources, fold_at)
+
+
+def _links(edges: DataFrame, directed: bool) -> DataFrame:
+    """The lightest edge of each pair, written once: vertices and rounds read this table, not the edges."""
     links = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
-    links = cut_lineage((links if directed else both_ways(links)).groupBy("src", "dst").agg(F.min("weight").alias("weight")))
+    return cut_lineage((links if directed else both_ways(links)).groupBy("src", "dst").agg(F.min("weight").alias("weight")))
+
+
+def _relaxed(links: DataFrame, sources: DataFrame, fold_at: int = 32) -> DataFrame:
     least = lambda rows: rows.groupBy("source", "id").agg(F.min("distance").alias("distance"))
-    known, front = Log(edges.sparkSession), Steps()
+    known, front = Log(links.sparkSession), Steps()
     moved = known.add(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("distance")))
     while True:
         sent = front.cut(moved.join(links, moved["id"] == links["src"]).select(
@@ -187,8 +195,10 @@ def distances(edges: DataFrame, sources: DataFrame, directed: bool = False, fold
 
 def sssp(edges: DataFrame, source, directed: bool = False) -> DataFrame:
     """Distance of every vertex from one source; infinity where no path exists."""
-    nodes = vertices_of(edges)
-    found = distances(edges, nodes.where(F.col("id") == source), directed).select("id", "distance")
+    links = _links(edges, directed)
+    # undirected links hold every vertex as a start
+    nodes = vertices_of(links) if directed else links.select(F.col("src").alias("id")).distinct()
+    found = _relaxed(links, nodes.where(F.col("id") == source)).select("id", "distance")
     return nodes.join(found, "id", "left").withColumn("distance", F.coalesce("distance", F.lit(float("inf"))))
 
 

@@ -37,6 +37,14 @@ def test_ranks_of_a_cycle_take_all_rounds(spark):
     assert all(abs(got[v] - rank[v]) < 1e-12 for v in rank)
 
 
+def test_shortest_distances_compute_the_edges_once(spark):
+    rows = [(1, 2, 4.0), (1, 2, 1.0), (3, 2, 2.0), (5, 6, 1.0)]
+    for directed, want in ((False, {1: 0.0, 2: 1.0, 3: 3.0, 5: float("inf"), 6: float("inf")}), (True, {1: 0.0, 2: 1.0, 3: float("inf"), 5: float("inf"), 6: float("inf")})):
+        edges, acc = counted(spark, rows, "src long, dst long, weight double")
+        assert {r["id"]: r["distance"] for r in gr.sssp(edges, 1, directed).collect()} == want
+        assert acc.value == len(rows) * (1 if directed else 2)  # both ways read them twice; the vertices did so four times more
+
+
 def test_components_of_chains_strings_and_lone_vertices(spark):
     edges = [(i, i + 1) for i in range(0, 40) if i % 13] + [(7, 30), (50, 50)]
     comp = {v: v for e in edges for v in e}
