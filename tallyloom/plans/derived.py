@@ -57,7 +57,10 @@ def page_words(spark: SparkSession, sf: str) -> DataFrame:
     """Words with geometry: each text line is a page, set in rows over two columns, or three on every third page."""
     from pyspark.sql import Window as W
 
-    d = table(spark, sf, "documents")
+    # texts are dealt out by document before they are unrolled: the windows per page then shuffle nothing, and a part
+    # holds so few texts that its words are sorted in memory
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = d.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-d.count() // 2500)), "doc_id")
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("page", "_line"))
     w = lines.select("doc_id", "page", F.posexplode(F.split("_line", " ", -1)).alias("word_id", "text")).where(F.col("text") != "")
     n = F.length("text")
