@@ -19,16 +19,25 @@ from tallyloom.functions import lexicon as lx
 from tallyloom.functions.cells import ERRORS
 
 
+_BLANKS = " \\t\\n\\f\\r"  # what a blank is in the SQL twins; Java's \\s has one character more
+_HEADING = lx.HEADING.replace("[、.．\\s]", f"[、.．{_BLANKS}]").replace("\\s", f"[{_BLANKS}]")
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
+def bare(c: Column) -> Column:
+    """Texts and lines of sections without the blanks around them; a vertical tab is none here."""
+    return F.btrim(c, F.lit(" \t\n\f\r"))
+
+
 def normalize_text(text: Column) -> Column:
     """Line ends as one character, runs of blanks as one; patterns run only where a plain search finds something to replace."""
     has = lambda t, x: F.contains(t, F.lit(x))
     ends = let(text, lambda t: F.when(has(t, "\r"), F.regexp_replace(t, "\r\n?", "\n")).otherwise(t))
     blanks = let(F.replace(ends, F.lit("\u3000"), F.lit(" ")), lambda t: F.when(has(t, "  ") | has(t, "\t"), F.regexp_replace(t, r"[ \t]+", " ")).otherwise(t))
-    return strip(blanks)
+    return bare(blanks)
 
 
 def let(value: Column, body) -> Column:
@@ -84,22 +93,22 @@ def canonical_section(title: Column, aliases: dict[str, list[str]] | None = None
             out = F.when(has_any(low, words), name) if out is None else out.when(has_any(low, words), name)
         return out.otherwise("other")
 
-    return let(F.lower(strip(title)), pick)
+    return let(F.lower(F.replace(bare(title), F.lit("İ"), F.lit("i"))), pick)
 
 
 def is_heading(line: Column) -> Column:
-    return let(strip(line), lambda s: F.length(s).between(1, 80) & (
-        s.rlike(lx.HEADING) | ((F.length(s) <= 24) & (canonical_section(s) != "other"))))
+    return let(bare(line), lambda s: F.length(s).between(1, 80) & (
+        s.rlike(_HEADING) | ((F.length(s) <= 24) & (canonical_section(s) != "other"))))
 
 
 def heading_title(line: Column) -> Column:
-    return let(strip(line), lambda s: F.regexp_replace(
-        F.when(s.rlike(lx.HEADING), F.regexp_extract(s, lx.HEADING, 2)).otherwise(strip(F.regexp_replace(s, "^#+", ""))),
+    return let(bare(line), lambda s: F.regexp_replace(
+        F.when(s.rlike(_HEADING), F.regexp_extract(s, _HEADING, 2)).otherwise(bare(F.regexp_replace(s, "^#+", ""))),
         "^[ ：:]+|[ ：:]+$", ""))
 
 
 def heading_level(line: Column) -> Column:
-    s = strip(line)
+    s = bare(line)
     return F.when(s.startswith("#"), F.least(F.length(F.regexp_extract(s, "^#+", 0)), F.lit(3))) \
         .when(s.rlike(r"^\d+\.\d+\.\d+"), 3).when(s.rlike(r"^\d+\.\d+"), 2).otherwise(1)
 
@@ -110,7 +119,7 @@ def section_list(norm: Column) -> Column:
         return let(F.get(lines, r["s"]), lambda head: let(heading_title(head), lambda title: F.struct(
             title.alias("title"), heading_level(head).alias("level"), canonical_section(title).alias("canonical"),
             (r["s"] + 1).alias("start_line"), r["e"].alias("end_line"),
-            strip(F.array_join(F.slice(lines, r["s"] + 2, r["e"] - r["s"] - 1), "\n")).alias("body"))))
+            bare(F.array_join(F.slice(lines, r["s"] + 2, r["e"] - r["s"] - 1), "\n")).alias("body"))))
 
     def build(lines):
         whole = F.array(F.struct(F.lit("全文").alias("title"), F.lit(1).alias("level"), F.lit("other").alias("canonical"),
@@ -134,10 +143,10 @@ def doc_sections(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def section_assign(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Each line with the latest heading at or above it (NULL before the first heading)."""
+    """Each line with the latest heading at or above it (NULL before the first heading); a blank text is one empty line of no section."""
     def spans(p):
         lead = F.array(F.struct(F.lit(None).cast("string").alias("title"), F.lit(0).alias("s"),
-                                (F.get(p["sections"], F.lit(0))["start_line"] - 1).alias("e")))
+                                F.coalesce(F.get(p["sections"], F.lit(0))["start_line"] - 1, F.size(p["lines"])).alias("e")))
         runs = F.concat(lead, F.transform(p["sections"], lambda r: F.struct(
             r["title"].alias("title"), (r["start_line"] - 1).alias("s"), r["end_line"].alias("e"))))
         return F.transform(runs, lambda r: F.struct(r["title"].alias("title"), r["s"].alias("s"),

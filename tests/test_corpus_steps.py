@@ -52,3 +52,13 @@ def test_effects_are_searched_once_in_lines_with_their_literals(spark):
                 want |= {(i, clean(m[1]), "自变量"), (i, clean(m[2]), "因变量")}
     assert want and {w for w in want if w[1] not in lx.VARIABLE_STOP} <= got
     assert all(re.search("|".join(map(re.escape, lits)), m) for p, m in ((lx.EFFECT_OF, "甲乙对丙丁的作用"), (lx.AFFECTS, "甲乙抑制丙丁")) for lits in lx.EFFECT_LITERALS[p])
+
+
+def test_lines_of_blank_texts_and_titles_with_odd_blanks(spark):
+    texts = ["", " \n ", None, "\x0ba", "1. Foo\x0b\nx", "\x0b\nabstract\nx", "İNTRODUCTION\ny"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = sorted((r["i"], r["line_no"], r["line"], r["section"]) for r in co.section_assign(df, "i", "t").collect())
+    assert [(i, n, line, s or "") for i, n, line, s in got] == [
+        (0, 1, "", ""), (1, 1, "", ""), (3, 1, "\x0ba", "全文"), (4, 1, "1. Foo\x0b", "Foo\x0b"), (4, 2, "x", "Foo\x0b"), (5, 1, "\x0b", ""),
+        (5, 2, "abstract", "abstract"), (5, 3, "x", "abstract"), (6, 1, "İNTRODUCTION", "İNTRODUCTION"), (6, 2, "y", "İNTRODUCTION")]
+    assert [s for i, n, _, s in got if n == 1 and i in (0, 1, 5)] == [None, None, None]
