@@ -199,3 +199,20 @@ def test_a_node_knows_the_middles_of_its_items(spark):
     root = spatial.pyramid(wide, 1)[1][0].select(F.explode("children").alias("c")).agg(F.min("c.box.min_x"), F.max("c.box.max_x"), F.min("c.box.min_mid_x"), F.max("c.box.max_mid_x")).first()
     # the third is turned around: no point of it is sure, so both its ends count
     assert tuple(root) == (0.0, 20.0, 10.0, 30.0)
+
+
+def test_points_of_a_place_ask_once_and_equal_items_stand_for_k(spark, monkeypatch):
+    seen = {}
+    build, join = spatial.pyramid, spatial.meet_pairs
+    monkeypatch.setattr(spatial, "pyramid", lambda items, k: seen.update(items=items.count()) or build(items, k))
+    monkeypatch.setattr(spatial, "meet_pairs", lambda a, b, *r: seen.update(asked=a.select("x", "y").distinct().count()) or join(a, b, *r))
+    bs = [(i * 7 % 300, 0.0, 0.0, 4.0, 4.0) for i in range(300)] + [(300 + b[0], *b[1:]) for b in boxes(20, 3)]
+    ps = [(i, float(i % 3), 1.0) for i in range(90)] + [(7, 50.0, 50.0)]
+    got = {}
+    for r in spatial.knn(spark.createDataFrame(bs, SHAPE), spark.createDataFrame(ps, "id long, x double, y double"), 3).collect():
+        got.setdefault((r.point_id, r.rank), []).append((r.item_id, r.distance))
+    for p in ps:
+        for rank, want in enumerate(nearest(bs, p, 3), 1):
+            assert want[1] in [x[0] for x in got[p[0], rank]]
+    assert sum(map(len, got.values())) == 3 * len(ps)
+    assert seen == {"items": 23, "asked": 4}
