@@ -216,3 +216,17 @@ def test_points_of_a_place_ask_once_and_equal_items_stand_for_k(spark, monkeypat
             assert want[1] in [x[0] for x in got[p[0], rank]]
     assert sum(map(len, got.values())) == 3 * len(ps)
     assert seen == {"items": 23, "asked": 4}
+
+
+def test_equal_boxes_meet_as_one_row(spark, monkeypatch):
+    met = []
+    join = spatial.meet_pairs
+    monkeypatch.setattr(spatial, "meet_pairs", lambda a, b, *r: met.append((a.distinct().count(), b.distinct().count())) or join(a, b, *r))
+    monkeypatch.setattr(spatial, "_ALIKE", 400)
+    a = [(i, 1.0, 1.0, 2.0, 2.0) for i in range(500)] + [(i, 3.0, 3.0, 3.5, 3.5) for i in range(500, 520)] + [(None, 1.0, 1.0, 2.0, 2.0), (3, None, 1.0, 2.0, 2.0), (3, 1.0, float("nan"), 2.0, 2.0)]
+    b = [(i, 0.5, 0.5, 2.5, 2.5) for i in range(40)] + [(7, 0.5, 0.5, 2.5, 2.5)]
+    x, y = spark.createDataFrame(a, SHAPE), spark.createDataFrame(b, SHAPE)
+    want = sorted((i, q[0]) for i in [*range(500), -1] for q in b)
+    for f in (spatial.spatial_intersects, spatial.spatial_contains):
+        assert sorted((-1 if r[0] is None else r[0], r[1]) for r in f(x, y, 16.0).collect()) == want
+    assert all(max(m) <= 4 for m in met)
