@@ -215,3 +215,45 @@ def test_trees_learn_from_every_example(spark):
     same = pii.Trees(trees=12).fit(np.repeat(x, n, axis=0), np.repeat(y, n).astype(float))
     assert np.array_equal(model.predict(x), again.predict(x))
     assert np.abs(model.predict(x) - same.predict(x)).max() < 1e-3
+
+
+def _alike_places(x, y, width, percent):
+    """Places of x in stretches of ``width`` that are alike to one of y."""
+    out = set()
+    for i in range(len(x) - width + 1):
+        a = set(x[i:i + width])
+        if any(100 * len(a & b) >= percent * len(a | b) for b in (set(y[j:j + width]) for j in range(len(y) - width + 1))):
+            out |= set(range(i, i + width))
+    return out
+
+
+def test_even_parts_by_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        width, kinds = int(rng.integers(3, 9)), int(rng.choice([4, 12, 1000]))
+        x = rng.integers(0, kinds, int(rng.integers(width, 26))).astype(np.uint64)
+        y = np.array([v if rng.random() < .85 else rng.integers(0, 2000) for v in x], np.uint64)[int(rng.integers(0, 3)):]
+        got = set()
+        for a, z, c, d, shared, combined in windows.even_parts(x, y, 80, width, []):
+            p, q = set(x[a:z].tolist()), set(y[c:d].tolist())
+            assert (len(p & q), len(p | q)) == (shared, combined) and 100 * shared >= 80 * combined
+            got |= set(range(a, z))
+        assert got == _alike_places(x.tolist(), y.tolist(), width, 80)
+
+
+def test_passages_leave_no_stretch_out(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for g in range(12):  # near copies whose edits differ, so that few min-hashes agree
+        b = [word() for _ in range(60)]
+        for _ in range(6):
+            rows.append((len(rows), [word() if rng.random() < .012 * (g % 4 + 1) else w for w in b]))
+    df = spark.createDataFrame([(i, " ".join(w), "", "", 0) for i, w in rows], DOCS)
+    got: dict = {}
+    for r in windows.passages(df).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.end - 4))
+    cut = [(i, [tuple(w[p:p + 5]) for p in range(56)]) for i, w in rows]
+    for i, x in cut:
+        want = set().union(*[_alike_places(x, y, 46, 80) for j, y in cut if j < i and j // 6 == i // 6])
+        assert want <= got.get(i, set())
